@@ -1,4 +1,4 @@
 """All checks, imported for their registration."""
 
-from checks import points  # noqa: F401
+from checks import intervals, points, segments  # noqa: F401
 from checks.roles import ORACLES, QUERIES  # noqa: F401

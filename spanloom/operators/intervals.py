@@ -56,20 +56,20 @@ def overlap_join(a: DataFrame, b: DataFrame, *, by="timeline_id", a_cols=("a_sta
         hit = overlap_join(a, b, by=keys, a_cols=a_cols, b_cols=b_cols, mode=mode, width=width, spread=spread)
         bare = _matching(a, hit.select(*a.columns), "left_anti")
         return hit.unionByName(bare, allowMissingColumns=True)
-    a2 = a.withColumn("_s", F.floor(s).cast("double") if mode == "int_ceil" else F.col(s).cast("double"))
+    a2 = a.withColumn("_as", F.floor(s).cast("double") if mode == "int_ceil" else F.col(s).cast("double"))
     if mode == "int_ceil":
-        a2 = a2.withColumn("_e", F.greatest(F.ceil(e).cast("double"), F.col("_s") + 1))
-        b2 = b.withColumn("_S", F.floor(S).cast("double")).withColumn("_E", F.floor(E).cast("double"))
+        a2 = a2.withColumn("_ae", F.greatest(F.ceil(e).cast("double"), F.col("_as") + 1))
+        b2 = b.withColumn("_bs", F.floor(S).cast("double")).withColumn("_be", F.floor(E).cast("double"))
     else:
-        a2 = a2.withColumn("_e", F.col(e).cast("double"))
-        b2 = b.withColumn("_S", F.col(S).cast("double")).withColumn("_E", F.col(E).cast("double"))
-    a2, b2 = _binned(a2, "_s", "_e", width), _binned(b2, "_S", "_E", width)
+        a2 = a2.withColumn("_ae", F.col(e).cast("double"))
+        b2 = b.withColumn("_bs", F.col(S).cast("double")).withColumn("_be", F.col(E).cast("double"))
+    a2, b2 = _binned(a2, "_as", "_ae", width), _binned(b2, "_bs", "_be", width)
     a2, b2, salt = _salted(a2, b2, spread)
     if mode == "closed":
-        hit = (F.col("_s") <= F.col("_E")) & (F.col("_e") >= F.col("_S"))
+        hit = (F.col("_as") <= F.col("_be")) & (F.col("_ae") >= F.col("_bs"))
     else:
-        hit = (F.col("_s") < F.col("_E")) & (F.col("_e") > F.col("_S"))
-    owner = a2[BIN] == F.greatest(cell_of("_s", width), cell_of("_S", width))
+        hit = (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
+    owner = a2[BIN] == F.greatest(cell_of("_as", width), cell_of("_bs", width))
     cond = [a2[k] == b2[k] for k in (*keys, BIN, *salt)]
     if how == "left_semi":
         pairs = a2.join(b2, [*cond, hit, owner], "left_semi")

@@ -70,7 +70,10 @@ def normalize_by_type(df: DataFrame, *, by="timeline_id", type="type") -> DataFr
 def composite_score(df: DataFrame, weights: Mapping[str, float] | None = None, *, type="type") -> DataFrame:
     """Weight of the type times the normalised intensity; an unknown type gets the mean weight."""
     weights = dict(weights or DETECTOR_WEIGHTS)
-    mean = sum(weights.values()) / len(weights)
+    total = 0.0
+    for w in weights.values():      # plain additions: sum() compensates and would round differently
+        total += w
+    mean = total / len(weights)
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     return df.withColumn("composite_score", F.coalesce(F.try_element_at(table, F.col(type)), F.lit(mean))
                          * F.coalesce("normalized_intensity", F.lit(0.5)))

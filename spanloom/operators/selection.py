@@ -132,10 +132,10 @@ def _admit_rounds(df: DataFrame, keys, cols, order, id, width) -> DataFrame:
     S, E = cols
     state = df.withColumn("_state", F.lit(0))
     while True:
-        other = state.select(*keys, F.col(S).alias("_S"), F.col(E).alias("_E"), F.col(order).alias("_o"), F.col(id).alias("_i"),
+        other = state.select(*keys, F.col(S).alias("_os"), F.col(E).alias("_oe"), F.col(order).alias("_o"), F.col(id).alias("_i"),
                              F.col("_state").alias("_st"))
         open_ = state.filter("_state = 0").select(*keys, S, E, order, id)
-        pairs = overlap_join(open_, other, by=keys, a_cols=cols, b_cols=("_S", "_E"), width=width)
+        pairs = overlap_join(open_, other, by=keys, a_cols=cols, b_cols=("_os", "_oe"), width=width)
         earlier = F.struct("_o", "_i") < F.struct(F.col(order), F.col(id))
         seen = pairs.groupBy(*keys, id).agg(F.max((F.col("_st") == 1).cast("int")).alias("_hit"),
                                             F.max(((F.col("_st") == 0) & earlier).cast("int")).alias("_wait"))
