@@ -1,4 +1,4 @@
 """All checks, imported for their registration."""
 
-from checks import intervals, points, scalars, scenes, segments, streams  # noqa: F401
+from checks import intervals, pipelines, points, scalars, scenes, segments, selection, sources, streams, vectors  # noqa: F401
 from checks.roles import ORACLES, QUERIES  # noqa: F401

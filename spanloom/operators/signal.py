@@ -53,7 +53,8 @@ def key_from_chroma(df: DataFrame, method: str = "ks", *, chroma="chroma") -> Da
     """``key`` and ``score``: the best of 24 templates by cosine (``ks``) or of 24 triads on a helix (``spiral``).
 
     The templates are constants of the expression, so each row is decided on its own. A chroma without energy
-    gets key "" and score 0; the first template wins a tie.
+    gets key "" and score 0. Scores equal to 9 decimals are a tie, which the first template wins: rotations of a
+    symmetric chroma are equal but for rounding, and summation order must not decide the key.
     """
     c = F.col(chroma)
     total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -70,8 +71,11 @@ def key_from_chroma(df: DataFrame, method: str = "ks", *, chroma="chroma") -> Da
     out = df.withColumn("_sum", total).withColumn("_q", F.array(*query))
     out = out.withColumn("_norm", F.sqrt(F.aggregate(F.col("_q"), F.lit(0.0), lambda a, x: a + x * x)) + EPS)
     q = [F.get("_q", F.lit(d)) / F.col("_norm") for d in range(len(query))]
-    scored = [F.struct(sum((q[d] * t[d] for d in range(1, len(t))), q[0] * t[0]).alias("score"), F.lit(-i).alias("i"),
-                       F.lit(name).alias("key")) for i, (name, t) in enumerate(templates)]
+    def entry(i, name, t):
+        dot = sum((q[d] * t[d] for d in range(1, len(t))), q[0] * t[0])
+        return F.struct(F.round(dot, 9).alias("r"), F.lit(-i).alias("i"), F.lit(name).alias("key"), dot.alias("score"))
+
+    scored = [entry(i, name, t) for i, (name, t) in enumerate(templates)]
     best = F.array_max(F.array(*scored))
     out = out.withColumn("_best", F.when(F.col("_sum") > 0, best))
     return (out.withColumn("key", F.coalesce("_best.key", F.lit(""))).withColumn("score", F.coalesce("_best.score", F.lit(0.0)))
