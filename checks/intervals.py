@@ -11,13 +11,13 @@ from spanloom.operators import intervals as I
 
 def _two(s, d):
     x = spans(s, d)
-    a = x.filter("k % 2 = 0").select("timeline_id", F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    b = x.filter("k % 2 = 1").select("timeline_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    a = x.select("timeline_id", F.col("id").alias("a_id"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    b = x.select("timeline_id", F.col("id").alias("b_id"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     return a, b
 
 
-AB = """a AS (SELECT timeline_id, id AS a_id, "start" AS a_start, "end" AS a_end FROM spans WHERE k % 2 = 0),
-b AS (SELECT timeline_id, id AS b_id, "start" AS b_start, "end" AS b_end FROM spans WHERE k % 2 = 1)"""
+AB = """a AS (SELECT timeline_id, id AS a_id, "start" AS a_start, "end" AS a_end FROM spans),
+b AS (SELECT timeline_id, id AS b_id, "start" AS b_start, "end" AS b_end FROM spans)"""
 PAIR = "SELECT '{0}' AS mode, timeline_id, a_id, b_id FROM a JOIN b USING (timeline_id) WHERE {1}"
 
 
@@ -42,28 +42,28 @@ def _(s, d):
     return left.unionByName(semi)
 
 
-@check("point_in_interval", sql("spans", """SELECT kp.timeline_id, kp.id, s.id AS span_id FROM kp JOIN spans s ON kp.timeline_id = s.timeline_id AND t >= s."start" AND t < s."end" AND s.k % 3 = 0"""))
+@check("point_in_interval", sql("spans", """SELECT kp.timeline_id, kp.id, s.id AS span_id FROM kp JOIN spans s ON kp.timeline_id = s.timeline_id AND t >= s."start" AND t < s."end" """))
 def _(s, d):
-    x = spans(s, d).filter("k % 3 = 0").select("timeline_id", F.col("id").alias("span_id"), "start", "end")
+    x = spans(s, d).select("timeline_id", F.col("id").alias("span_id"), "start", "end")
     return I.point_in_interval(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end"), width=20_000.0, spread=2).select("timeline_id", "id", "span_id")
 
 
-@check("gate_by_intervals", sql("spans", """sp AS (SELECT * FROM spans WHERE k % 5 = 0 AND timeline_id % 3 <> 0)
+@check("gate_by_intervals", sql("spans", """sp AS (SELECT * FROM spans WHERE "end" - "start" > 60000)
 SELECT timeline_id, id FROM kp WHERE timeline_id NOT IN (SELECT timeline_id FROM sp) OR EXISTS (SELECT 1 FROM sp WHERE sp.timeline_id = kp.timeline_id AND kp.t >= sp."start" AND kp.t <= sp."end")"""))
 def _(s, d):
-    x = spans(s, d).filter("k % 5 = 0 and timeline_id % 3 <> 0").select("timeline_id", "start", "end")
+    x = spans(s, d).filter("end - start > 60000").select("timeline_id", "start", "end")
     return I.gate_by_intervals(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end"), width=20_000.0).select("timeline_id", "id")
 
 
-@check("dominant_label", sql("spans", """seg AS (SELECT * FROM spans WHERE k % 2 = 0), tr AS (SELECT * FROM spans WHERE k % 2 = 1),
+@check("dominant_label", sql("spans", """seg AS (SELECT * FROM spans), tr AS (SELECT * FROM spans),
 o AS (SELECT seg.timeline_id, seg.id, tr.type, round(sum(least(seg."end", tr."end") - greatest(seg."start", tr."start")), 4) AS o, min(tr.id) AS f FROM seg JOIN tr
   ON seg.timeline_id = tr.timeline_id AND seg."start" < tr."end" AND seg."end" > tr."start" GROUP BY ALL),
 b AS (SELECT timeline_id, id, type FROM o QUALIFY row_number() OVER (PARTITION BY timeline_id, id ORDER BY o DESC, f) = 1)
 SELECT seg.timeline_id, seg.id AS seg_id, coalesce(b.type, 'UNKNOWN') AS speaker FROM seg LEFT JOIN b USING (timeline_id, id)"""))
 def _(s, d):
     x = spans(s, d)
-    seg = x.filter("k % 2 = 0").select("timeline_id", F.col("id").alias("seg_id"), "start", "end")
-    turns = x.filter("k % 2 = 1").select("timeline_id", F.col("start").alias("turn_start"), F.col("end").alias("turn_end"), F.col("type").alias("speaker"), F.col("id").alias("turn_ord"))
+    seg = x.select("timeline_id", F.col("id").alias("seg_id"), "start", "end")
+    turns = x.select("timeline_id", F.col("start").alias("turn_start"), F.col("end").alias("turn_end"), F.col("type").alias("speaker"), F.col("id").alias("turn_ord"))
     return I.dominant_label(seg, turns, width=20_000.0).select("timeline_id", "seg_id", "speaker")
 
 
@@ -108,15 +108,15 @@ def _(s, d):
     return I.frames_in_clips(f, c).select("timeline_id", "clip_id", "frame_idx")
 
 
-CONFLICT = """p AS (SELECT timeline_id, id AS p_id, "start", "end" FROM spans WHERE k % 4 = 0), u AS (SELECT timeline_id, id AS u_id, "start" AS used_start, "end" AS used_end FROM spans WHERE k % 4 = 1)"""
+CONFLICT = """p AS (SELECT timeline_id, id AS p_id, "start", "end" FROM spans WHERE type = 'click'), u AS (SELECT timeline_id, id AS u_id, "start" AS used_start, "end" AS used_end FROM spans WHERE type <> 'click')"""
 
 
 @check("conflicts", sql("spans", CONFLICT + """ SELECT timeline_id, p_id, u_id, greatest("start", used_start) AS overlap_start, least("end", used_end) AS overlap_end
 FROM p JOIN u USING (timeline_id) WHERE "start" < used_end AND "end" > used_start"""))
 def _(s, d):
     x = spans(s, d)
-    p = x.filter("k % 4 = 0").select("timeline_id", F.col("id").alias("p_id"), "start", "end")
-    u = x.filter("k % 4 = 1").select("timeline_id", F.col("id").alias("u_id"), F.col("start").alias("used_start"), F.col("end").alias("used_end"))
+    p = x.filter("type = 'click'").select("timeline_id", F.col("id").alias("p_id"), "start", "end")
+    u = x.filter("type <> 'click'").select("timeline_id", F.col("id").alias("u_id"), F.col("start").alias("used_start"), F.col("end").alias("used_end"))
     return I.conflicts(p, u, width=20_000.0).select("timeline_id", "p_id", "u_id", "overlap_start", "overlap_end")
 
 
@@ -133,22 +133,22 @@ def _(s, d):
     return I.rebase(kids, sec, on=["timeline_id", "ord"]).select("timeline_id", "id", "start_time", "end_time")
 
 
-@check("snap_clip_to_cut", sql("spans", """c AS (SELECT * FROM spans WHERE k % 2 = 0),
-m AS (SELECT c.id, min(kp.t) AS cut FROM c JOIN kp ON kp.timeline_id = c.timeline_id AND kp.k % 2 = 1 AND kp.t > c."start" + 100 AND kp.t < c."end" - 100 GROUP BY 1)
+@check("snap_clip_to_cut", sql("spans", """c AS (SELECT * FROM spans),
+m AS (SELECT c.id, min(kp.t) AS cut FROM c JOIN kp ON kp.timeline_id = c.timeline_id AND kp.t > c."start" + 100 AND kp.t < c."end" - 100 GROUP BY 1)
 SELECT timeline_id, c.id AS clip_id, coalesce(cut, "start") AS "start", CASE WHEN cut IS NULL THEN "end" ELSE cut + ("end" - "start") END AS "end", cut IS NOT NULL AS adjusted FROM c LEFT JOIN m USING (id)"""))
 def _(s, d):
-    c = spans(s, d).filter("k % 2 = 0").select("timeline_id", F.col("id").alias("clip_id"), "start", "end")
-    cuts = keypoints(s, d).filter("k % 2 = 1").select("timeline_id", F.col("t").alias("cut"))
+    c = spans(s, d).select("timeline_id", F.col("id").alias("clip_id"), "start", "end")
+    cuts = keypoints(s, d).select("timeline_id", F.col("t").alias("cut"))
     return I.snap_clip_to_cut(c, cuts, tol=100.0, width=20_000.0).select("timeline_id", "clip_id", "start", "end", "adjusted")
 
 
-@check("nearest_boundary", sql("kp", """m AS (SELECT timeline_id, t AS mark FROM kp WHERE k % 7 = 0), p AS (SELECT timeline_id, id, t FROM kp WHERE k % 7 <> 0),
+@check("nearest_boundary", sql("kp", """m AS (SELECT timeline_id, t AS mark FROM kp WHERE type = 'error'), p AS (SELECT timeline_id, id, t FROM kp WHERE type <> 'error'),
 l AS (SELECT p.*, mark AS lo FROM p ASOF LEFT JOIN m ON p.timeline_id = m.timeline_id AND p.t >= m.mark),
 r AS (SELECT l.*, mark AS hi FROM l ASOF LEFT JOIN m ON l.timeline_id = m.timeline_id AND l.t <= m.mark)
 SELECT timeline_id, id, t, CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo WHEN t - lo <= hi - t THEN lo ELSE hi END AS nearest FROM r"""))
 def _(s, d):
     k = keypoints(s, d)
-    return I.nearest_boundary(k.filter("k % 7 <> 0").select("timeline_id", "id", "t"), k.filter("k % 7 = 0").select("timeline_id", F.col("t").alias("mark")))
+    return I.nearest_boundary(k.filter("type <> 'error'").select("timeline_id", "id", "t"), k.filter("type = 'error'").select("timeline_id", F.col("t").alias("mark")))
 
 
 MAPPING = """map AS (SELECT timeline_id, speaker, CASE WHEN timeline_id % 3 = 0 THEN 'Unknown' WHEN timeline_id % 3 = 1 THEN 'N' || speaker ELSE NULL END AS name,
@@ -176,13 +176,13 @@ def _(s, d):
     return I.resolve_entities(x, m, characters="tags").select("timeline_id", "source_filename", "pos", "visual_id", "resolved")
 
 
-@check("allowed_neighbors", sql("kp", """rec AS (SELECT DISTINCT timeline_id, k AS scene_id FROM kp WHERE k % 10 = 0), req AS (SELECT DISTINCT timeline_id, k AS scene_id FROM kp WHERE k % 10 <> 0),
+@check("allowed_neighbors", sql("kp", """rec AS (SELECT DISTINCT timeline_id, k AS scene_id FROM kp WHERE intensity > 50), req AS (SELECT DISTINCT timeline_id, k AS scene_id FROM kp),
 ok AS (SELECT DISTINCT timeline_id, scene_id + o AS scene_id FROM rec, (SELECT unnest(generate_series(-3, 3)) AS o) WHERE scene_id + o BETWEEN 0 AND 95)
 SELECT req.timeline_id, req.scene_id, ok.scene_id IS NOT NULL AS allowed FROM req LEFT JOIN ok USING (timeline_id, scene_id)"""))
 def _(s, d):
-    k = keypoints(s, d).select("timeline_id", F.col("k").alias("scene_id")).distinct()
-    rec = k.filter("scene_id % 10 = 0").withColumn("max_scene", F.lit(95))
-    return I.allowed_neighbors(rec, k.filter("scene_id % 10 <> 0"))
+    k = keypoints(s, d).withColumnRenamed("k", "scene_id")
+    rec = k.filter("intensity > 50").select("timeline_id", "scene_id").distinct().withColumn("max_scene", F.lit(95))
+    return I.allowed_neighbors(rec, k.select("timeline_id", "scene_id").distinct())
 
 
 @check("scene_shots", sql("shots", """slot AS (SELECT timeline_id, ord AS slot, w.scene_id FROM shots, (VALUES (0), (1)) v(j), LATERAL (SELECT CASE WHEN j = 0 THEN ord // 20 ELSE ord // 20 + 3 END AS scene_id) w),

@@ -34,7 +34,7 @@ def _(s, d):
 
 
 # by_start: segments over the whole timeline, given to the section their start lies in
-@check("two_level_segments_by_start", sql("kp sec", f"""kept AS (SELECT timeline_id, t FROM kp WHERE k % 4 = 0),
+@check("two_level_segments_by_start", sql("kp sec", f"""kept AS (SELECT timeline_id, t FROM kp WHERE type = 'click'),
 mk AS (SELECT timeline_id, t FROM kept UNION SELECT timeline_id, 0e0 FROM sec UNION SELECT timeline_id, {SPAN}::DOUBLE FROM sec),
 sg AS (SELECT timeline_id, t AS s, lead(t) OVER (PARTITION BY timeline_id ORDER BY t) AS e FROM mk),
 sh AS (SELECT *, sum(CASE WHEN e - s >= 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY timeline_id ORDER BY s) AS g FROM sg WHERE e - s >= 1),
@@ -43,13 +43,13 @@ SELECT mg.timeline_id, ord AS section_ord, row_number() OVER (PARTITION BY mg.ti
 FROM mg JOIN sec ON sec.timeline_id = mg.timeline_id AND s >= start_time AND s < end_time"""))
 def _(s, d):
     k = keypoints(s, d)
-    return song.two_level_segments(sections(s, d), k.filter("k % 4 = 0").select("timeline_id", "t"), k, mode="by_start", min_len=30_000.0, width=86_400.0)
+    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), k, mode="by_start", min_len=30_000.0, width=86_400.0)
 
 
 # cut_at_sections: inside each section; every over-long piece is first cut at its strongest instants, what is still
 # too long near even times, each as a recursion over lists
 CUT = f"""recursive: {{norm}},
-mk AS (SELECT sec.timeline_id, ord, t FROM sec JOIN kp ON kp.timeline_id = sec.timeline_id AND t >= start_time AND t < end_time AND k % 6 = 0 UNION SELECT timeline_id, ord, start_time FROM sec UNION SELECT timeline_id, ord, end_time FROM sec),
+mk AS (SELECT sec.timeline_id, ord, t FROM sec JOIN kp ON kp.timeline_id = sec.timeline_id AND t >= start_time AND t < end_time AND type = 'click' UNION SELECT timeline_id, ord, start_time FROM sec UNION SELECT timeline_id, ord, end_time FROM sec),
 sg AS (SELECT timeline_id, ord, t AS s, lead(t) OVER (PARTITION BY timeline_id, ord ORDER BY t) AS e FROM mk),
 sh AS (SELECT *, sum(CASE WHEN e - s >= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY timeline_id, ord ORDER BY s) AS g FROM sg WHERE e - s >= 1),
 mg AS (SELECT timeline_id, ord, min(s) AS s, max(e) AS e FROM sh GROUP BY timeline_id, ord, g),
@@ -82,20 +82,20 @@ def _cut_sql():
 @check("two_level_segments", sql("kp sec", _cut_sql()))
 def _(s, d):
     k = keypoints(s, d)
-    return song.two_level_segments(sections(s, d), k.filter("k % 6 = 0").select("timeline_id", "t"), P.normalize_by_type(points(s, d)), min_len=20_000.0, max_len=60_000.0, width=50_000.0)
+    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), P.normalize_by_type(points(s, d)), min_len=20_000.0, max_len=60_000.0, width=50_000.0)
 
 
 # ---------------------------------------------------------------- edit list
 
-PICKS = """p0 AS (SELECT timeline_id, CAST(floor(t / 259200) AS BIGINT) AS section_idx, id AS shot_idx, k, CAST(floor(t % 80000) AS BIGINT) AS s FROM kp WHERE k % 2 = 0),
+PICKS = """p0 AS (SELECT timeline_id, CAST(floor(t / 259200) AS BIGINT) AS section_idx, id AS shot_idx, k, CAST(floor(t % 80000) AS BIGINT) AS s FROM kp),
 sel AS (SELECT *, 1280 AS vw, CASE WHEN k % 4 = 0 THEN 720 ELSE 1920 END AS vh FROM p0 WHERE k % 10 <> 0),
 cl AS (SELECT sel.*, j AS pos, s + j * 7e0 AS a, s + j * 7e0 + 5.5e0 AS z FROM sel, (VALUES (0), (1)) v(j)),
-cu AS (SELECT DISTINCT timeline_id, CAST(floor(t % 80000) AS BIGINT) + 2.5e0 AS cut FROM kp WHERE k % 2 = 1)"""
+cu AS (SELECT DISTINCT timeline_id, CAST(floor(t % 80000) AS BIGINT) + 2.5e0 AS cut FROM kp)"""
 
 
 def _picks(s, d):
     k = keypoints(s, d).withColumn("s", F.floor(F.col("t") % 80000))
-    p = k.filter("k % 2 = 0").select("timeline_id", F.floor(F.col("t") / 259200).alias("section_idx"), F.col("id").alias("shot_idx"), "k", "s")
+    p = k.select("timeline_id", F.floor(F.col("t") / 259200).alias("section_idx"), F.col("id").alias("shot_idx"), "k", "s")
     sel = p.select("timeline_id", "section_idx", "shot_idx", F.when(F.col("k") % 10 == 0, "error").otherwise("success").alias("status"),
                    F.lit(1280).alias("video_width"), F.when(F.col("k") % 4 == 0, 720).otherwise(1920).alias("video_height"))
     c = p.withColumn("pos", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -108,7 +108,7 @@ def _picks(s, d):
     det = p.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") % 3))).select(
         "timeline_id", "section_idx", "shot_idx", (F.col("s") + F.col("j")).cast("double").alias("time_sec"), (F.col("j") != 1).alias("protagonist_detected"),
         F.struct((F.col("k") + F.col("j")).alias("x"), F.col("k").alias("y"), (F.col("k") + 20).alias("width"), F.lit(40).alias("height")).alias("bounding_box"))
-    cuts = k.filter("k % 2 = 1").select("timeline_id", (F.col("s") + 2.5).alias("cut")).distinct()
+    cuts = k.select("timeline_id", (F.col("s") + 2.5).alias("cut")).distinct()
     return sel, clips, det, cuts
 
 

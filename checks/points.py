@@ -206,11 +206,11 @@ pick AS (SELECT timeline_id, g0, g1, k, 0 AS j, c, CAST(NULL AS STRUCT(d DOUBLE,
 added AS (SELECT timeline_id, p.t AS t, p.id AS id FROM pick WHERE p IS NOT NULL)"""
 
 
-@check("fill_long_gaps", sql("kp", fill_sql("(SELECT * FROM kp WHERE k % 3 = 0)", "kp", 30_000.0)
-                             + " SELECT timeline_id, t, id FROM added UNION ALL SELECT timeline_id, t, id FROM kp WHERE k % 3 = 0"))
+@check("fill_long_gaps", sql("kp", fill_sql("(SELECT * FROM kp WHERE type IN ('click', 'error'))", "kp", 30_000.0)
+                             + " SELECT timeline_id, t, id FROM added UNION ALL SELECT timeline_id, t, id FROM kp WHERE type IN ('click', 'error')"))
 def _(s, d):
-    k = keypoints(s, d).select("timeline_id", "t", "id", "k")
-    return P.fill_long_gaps(k.filter("k % 3 = 0"), k, 30_000.0, width=86_400.0).select("timeline_id", "t", "id")
+    k = keypoints(s, d).select("timeline_id", "t", "id", "type")
+    return P.fill_long_gaps(k.filter("type in ('click', 'error')"), k, 30_000.0, width=86_400.0).select("timeline_id", "t", "id")
 
 
 SIGNIFICANT = NORM + """, thr AS (SELECT timeline_id, quantile_cont(normalized_intensity, 0.3) AS q FROM norm GROUP BY 1), """

@@ -9,8 +9,10 @@ from checks.roles import SPAN, check, cues, detections, keypoints, points, secti
 from spanloom.operators import points as P
 from spanloom.operators import segments as G
 
-# segments of whole timelines from one event in three
-SEG = f"""mk AS (SELECT DISTINCT timeline_id, t FROM kp WHERE k % 3 = 0 UNION SELECT timeline_id, 0e0 FROM kp UNION SELECT timeline_id, {SPAN}::DOUBLE FROM kp),
+KEPT = "type in ('click', 'error')"
+
+# segments of whole timelines from two kinds of events
+SEG = f"""mk AS (SELECT DISTINCT timeline_id, t FROM kp WHERE type IN ('click', 'error') UNION SELECT timeline_id, 0e0 FROM kp UNION SELECT timeline_id, {SPAN}::DOUBLE FROM kp),
 seg AS (SELECT timeline_id, t AS start_time, lead(t) OVER (PARTITION BY timeline_id ORDER BY t) AS end_time FROM mk),
 sg AS (SELECT timeline_id, start_time, end_time, end_time - start_time AS duration FROM seg WHERE end_time - start_time >= 1)"""
 MERGED = SEG + """,
@@ -21,7 +23,7 @@ mg AS (SELECT timeline_id, min(start_time) AS start_time, max(end_time) AS end_t
 def _segments(s, d):
     k = keypoints(s, d)
     bounds = k.select("timeline_id", F.lit(0.0).alias("start_time"), F.lit(SPAN).alias("end_time")).distinct()
-    return G.segments_from_points(k.filter("k % 3 = 0"), bounds)
+    return G.segments_from_points(k.filter(KEPT), bounds)
 
 
 @check("segments_from_points", sql("kp", SEG + " SELECT * FROM sg"))
@@ -46,7 +48,7 @@ SELECT timeline_id, CASE WHEN p = 1 THEN st ELSE st + j * ((e - st) / p) END AS
 def _(s, d):
     k = keypoints(s, d)
     dur = k.select("timeline_id", F.lit(SPAN).alias("duration")).distinct()
-    return G.preview_segments(k.filter("k % 3 = 0"), dur, 30_000.0, 100_000.0).drop("duration")
+    return G.preview_segments(k.filter(KEPT), dur, 30_000.0, 100_000.0).drop("duration")
 
 
 # over-long segments and the strongest interior instants, one greedy pick per recursion step
@@ -91,7 +93,7 @@ def _(s, d):
     return G.split_near_midpoints(seg, P.normalize_by_type(points(s, d)), 60_000.0, 9_000.0, min_len=5_000.0, width=50_000.0)
 
 
-SNAP = f"""recursive: mk AS (SELECT timeline_id, list_sort(list_distinct(list_concat(list(t), [0e0, {SPAN}::DOUBLE]))) AS m FROM kp WHERE k % 9 = 0 GROUP BY 1),
+SNAP = f"""recursive: mk AS (SELECT timeline_id, list_sort(list_distinct(list_concat(list(t), [0e0, {SPAN}::DOUBLE]))) AS m FROM kp WHERE type = 'error' GROUP BY 1),
 s1 AS (SELECT timeline_id, list({{'ord': ord, 'e': end_time}} ORDER BY ord) AS secs FROM sec GROUP BY 1),
 base AS (SELECT s1.timeline_id, secs, coalesce(m, [0e0, {SPAN}::DOUBLE]) AS m FROM s1 LEFT JOIN mk USING (timeline_id)),
 wk AS (SELECT timeline_id, secs, m, 0 AS i, 0e0 AS s, 0e0 AS e FROM base
@@ -102,7 +104,7 @@ SELECT timeline_id, secs[i].ord AS ord, s AS start_time, e AS end_time FROM wk W
 
 @check("snap_sections", sql("kp sec", SNAP))
 def _(s, d):
-    return G.snap_sections(sections(s, d), keypoints(s, d).filter("k % 9 = 0")).select("timeline_id", "ord", "start_time", "end_time")
+    return G.snap_sections(sections(s, d), keypoints(s, d).filter("type = 'error'")).select("timeline_id", "ord", "start_time", "end_time")
 
 
 TURNS = """f AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_sec - lag(end_sec) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM cues WINDOW w AS (PARTITION BY timeline_id ORDER BY start_sec, "index")),

@@ -9,10 +9,10 @@ from spanloom.operators import selection as S
 from spanloom.operators import validate as V
 
 
-@check("resume_pending", sql("kp", """SELECT timeline_id AS section_idx, id AS shot_idx FROM kp WHERE NOT (k % 3 = 0 AND type <> 'error')"""))
+@check("resume_pending", sql("kp", """SELECT timeline_id AS section_idx, id AS shot_idx FROM kp WHERE NOT (intensity > 15 AND type <> 'error')"""))
 def _(s, d):
-    x = keypoints(s, d).select(F.col("timeline_id").alias("section_idx"), F.col("id").alias("shot_idx"), "k", F.when(F.col("type") == "error", "failed").otherwise("success").alias("status"))
-    return S.resume_pending(x.select("section_idx", "shot_idx"), x.filter("k % 3 = 0"))
+    x = keypoints(s, d).select(F.col("timeline_id").alias("section_idx"), F.col("id").alias("shot_idx"), "intensity", F.when(F.col("type") == "error", "failed").otherwise("success").alias("status"))
+    return S.resume_pending(x.select("section_idx", "shot_idx"), x.filter("intensity > 15"))
 
 
 # the text of each proposal is known by construction, so its ranges are computed, not parsed
@@ -104,7 +104,7 @@ def _(s, d):
     return S.crop_window(x, 9, 16).select("id", "crop_width", "crop_x")
 
 
-PLAN = """pl AS (SELECT timeline_id, CAST(floor(t / 259200) AS INT) AS section_idx, k AS scene_id FROM kp WHERE k % 3 = 0 AND (timeline_id % 4 <> 0 OR k < 30)),
+PLAN = """pl AS (SELECT timeline_id, CAST(floor(t / 259200) AS INT) AS section_idx, k * (timeline_id % 5 + 1) // 5 AS scene_id FROM kp WHERE intensity > 15),
 per AS (SELECT timeline_id, scene_id, count(*) AS n FROM pl GROUP BY ALL),
 base AS (SELECT timeline_id, count(*) AS scenes, count(*) FILTER (n > 1) AS duplicated, max(scene_id) - min(scene_id) AS span, 100 AS total_scenes, count(*) FILTER (scene_id < 50) AS first_half, count(*) FILTER (scene_id >= 50) AS second_half FROM per GROUP BY 1),
 win AS (SELECT timeline_id, max(c) AS most FROM (SELECT timeline_id, a, count(*) AS c FROM per, (SELECT unnest(generate_series(0, 70)) AS a) WHERE scene_id >= a AND scene_id < a + 30 GROUP BY ALL) GROUP BY 1)"""
@@ -113,16 +113,16 @@ win AS (SELECT timeline_id, max(c) AS most FROM (SELECT timeline_id, a, count(*)
 @check("scene_distribution", sql("kp", PLAN + """ SELECT timeline_id, scenes, duplicated, span, total_scenes, first_half, second_half, most / scenes AS concentration,
  concat_ws(',', CASE WHEN duplicated > 0 THEN 'overlap' END, CASE WHEN span < 50 THEN 'coverage' END, CASE WHEN second_half = 0 THEN 'second_half_unused' WHEN first_half > 2 * second_half THEN 'unbalanced' END, CASE WHEN most / scenes > 0.7 THEN 'concentrated' END) AS issues FROM base JOIN win USING (timeline_id)"""))
 def _(s, d):
-    x = keypoints(s, d).filter("k % 3 = 0 and (timeline_id % 4 <> 0 or k < 30)").select("timeline_id", F.floor(F.col("t") / 259200).cast("int").alias("section_idx"), F.col("k").alias("scene_id"), F.lit(100).alias("total_scenes"))
+    x = keypoints(s, d).filter("intensity > 15").select("timeline_id", F.floor(F.col("t") / 259200).cast("int").alias("section_idx"), F.floor(F.col("k") * (F.col("timeline_id") % 5 + 1) / 5).alias("scene_id"), F.lit(100).alias("total_scenes"))
     return S.scene_distribution(x).withColumn("issues", F.array_join("issues", ",")).drop("passed")
 
 
-@check("flat_selection_check", sql("kp", """x AS (SELECT timeline_id, CASE WHEN k = 50 THEN 'x' ELSE CAST(k - 2 AS VARCHAR) END AS s, k FROM kp WHERE k < 60 AND (timeline_id % 2 = 0 OR k BETWEEN 2 AND 20))
-SELECT timeline_id, count(*) AS scenes, count(*) FILTER (k = 50) AS not_integer, count(*) FILTER (k < 2) AS negative, count(*) FILTER (k <> 50 AND k - 2 >= 55) AS past_end,
- count(*) >= 8 AND count(*) FILTER (k = 50 OR k < 2 OR k - 2 >= 55) = 0 AS passed FROM x GROUP BY 1"""))
+@check("flat_selection_check", sql("kp", """x AS (SELECT timeline_id, k = 50 AND timeline_id % 4 = 0 AS odd, k - timeline_id % 3 AS v FROM kp)
+SELECT timeline_id, count(*) AS scenes, count(*) FILTER (odd) AS not_integer, count(*) FILTER (NOT odd AND v < 0) AS negative, count(*) FILTER (NOT odd AND v >= 98) AS past_end,
+ count(*) >= 8 AND count(*) FILTER (odd OR v < 0 OR v >= 98) = 0 AS passed FROM x GROUP BY 1"""))
 def _(s, d):
-    x = keypoints(s, d).filter("k < 60 and (timeline_id % 2 = 0 or k between 2 and 20)")
-    x = x.select("timeline_id", F.when(F.col("k") == 50, "x").otherwise((F.col("k") - 2).cast("string")).alias("scene_id"), F.lit(55).alias("total_scenes"))
+    k, tl = F.col("k"), F.col("timeline_id")
+    x = keypoints(s, d).select("timeline_id", F.when((k == 50) & (tl % 4 == 0), "x").otherwise((k - tl % 3).cast("string")).alias("scene_id"), F.lit(98).alias("total_scenes"))
     return S.flat_selection_check(x)
 
 
@@ -210,8 +210,9 @@ def _(s, d):
     return V.repair_sections(sections(s, d).withColumn("duration", F.lit(1_500_000.0))).select("timeline_id", "ord", "start_time", "end_time")
 
 
-@check("default_sections", sql("kp sec", """has AS (SELECT timeline_id, name, ord, start_time, end_time FROM sec WHERE timeline_id % 3 = 0), tl AS (SELECT timeline_id, max(t) AS d FROM kp GROUP BY 1)
+@check("default_sections", sql("kp sec", """has AS (SELECT timeline_id, name, ord, start_time, end_time FROM sec WHERE timeline_id IN (SELECT timeline_id FROM kp WHERE intensity > 80)), tl AS (SELECT timeline_id, max(t) AS d FROM kp GROUP BY 1)
 SELECT * FROM has UNION ALL SELECT timeline_id, 'Section ' || (i + 1), i, i * 100000e0, least((i + 1) * 100000e0, d) FROM tl, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(d / 100000) AS BIGINT) - 1)) AS i) WHERE timeline_id NOT IN (SELECT timeline_id FROM has)"""))
 def _(s, d):
     tl = points(s, d).groupBy("timeline_id").agg(F.max("t").alias("duration"))
-    return V.default_sections(tl, sections(s, d).filter("timeline_id % 3 = 0"), 100_000.0)
+    loud = points(s, d).filter("intensity > 80").select("timeline_id").distinct()
+    return V.default_sections(tl, sections(s, d).join(loud, "timeline_id", "left_semi"), 100_000.0)

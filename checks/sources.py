@@ -89,15 +89,17 @@ def _(s, d):
     return Q.cut_points(Q.boundary_rows(_boundary_lines(s, d)), 2.0)
 
 
-@check("read_json_docs", "SELECT 'doc' || event_id AS doc_key, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events WHERE event_id % 10 <> 3 AND user_id % 50 = 7")
+@check("read_json_docs", """SELECT 'c' || conv_id AS doc_key, count(*) AS turns, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id""")
 def _(s, d):
-    e = table(s, d, "events").filter("user_id % 50 = 7")
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    docs = table(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(rows.alias("turns"))).alias("j"))
+    # every tenth document is cut short and must be skipped
+    body = F.when(F.col("conv_id") % 10 == 3, F.expr("substring(j, 1, length(j) - 3)")).otherwise(F.col("j"))
     path = _folder(s)
-    body = F.when(F.col("event_id") % 10 == 3, F.substring("props", 1, 5)).otherwise(F.col("props"))
-    # one folder per document holds its one file; the document's key is its folder here
-    e.select(F.concat(F.lit("doc"), "event_id").alias("doc"), body.alias("value")).write.partitionBy("doc").text(path)
-    docs = D.read_json_docs(s, f"{path}/doc=*", "k int")
-    return docs.select(F.regexp_extract(F.input_file_name(), "doc=([^/]+)/", 1).alias("doc_key"), "k")
+    docs.select(F.concat(F.lit("c"), "conv_id").alias("doc"), body.alias("value")).write.partitionBy("doc").text(path)
+    back = D.read_json_docs(s, f"{path}/doc=*", "turns array<struct<turn: bigint, role: string>>")
+    return back.select(F.regexp_extract(F.input_file_name(), "doc=([^/]+)/", 1).alias("doc_key"), F.size("turns").cast("bigint").alias("turns"),
+                       F.array_join(F.transform("turns", lambda x: x["role"]), ",").alias("roles"))
 
 
 @check("read_caption_map", sql("kp", """SELECT timeline_id, k || '_' || (k + 5) || '_shot' || id AS key, type AS summary FROM kp"""))
@@ -125,12 +127,12 @@ def _(s, d):
     return D.load_sections(_section_json(s, d))
 
 
-@check("write_section_docs", sql("kp sec", """sub AS (SELECT timeline_id, CAST(floor(t / 259200e0) AS BIGINT) AS section_ord, row_number() OVER (PARTITION BY timeline_id, CAST(floor(t / 259200e0) AS BIGINT) ORDER BY t) - 1 AS sub_ord, k, type FROM kp WHERE k % 5 = 0)
+@check("write_section_docs", sql("kp sec", """sub AS (SELECT timeline_id, CAST(floor(t / 259200e0) AS BIGINT) AS section_ord, row_number() OVER (PARTITION BY timeline_id, CAST(floor(t / 259200e0) AS BIGINT) ORDER BY t) - 1 AS sub_ord, k, type FROM kp)
 SELECT sub.timeline_id, name AS section, 'Section ' || (sub_ord + 1) AS sub, CASE k % 3 WHEN 0 THEN 'about ' || type WHEN 1 THEN 'raw ' || type ELSE '' END AS description, CASE WHEN k % 3 = 0 THEN 'calm' END AS tone, CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) END AS energy
 FROM sub JOIN sec ON sec.timeline_id = sub.timeline_id AND sec.ord = section_ord"""))
 def _(s, d):
     from spanloom.operators.ordered import scan
-    k = keypoints(s, d).filter("k % 5 = 0").withColumn("section_ord", F.floor(F.col("t") / 259200))
+    k = keypoints(s, d).withColumn("section_ord", F.floor(F.col("t") / 259200))
     k = scan(k, by=["timeline_id", "section_ord"], run={"n": ("sum", F.lit(1))}).withColumn("sub_ord", F.col("n") - 1)
     sub = k.select("timeline_id", "section_ord", "sub_ord", F.lit(0.0).alias("relative_start"), F.lit(5.0).alias("relative_end"))
     rich = F.concat(F.lit('Sure: {"summary": "about '), "type", F.lit('", "emotion": "calm", "energy": '), F.col("k"), F.lit("}"))

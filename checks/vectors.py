@@ -10,11 +10,11 @@ from spanloom.operators import vectors as V
 
 
 @check("vector_topk", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-q AS (SELECT * FROM v WHERE id % 25 = 0), r AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.id) AS rank FROM q, v)
+q AS (SELECT * FROM v), r AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.id) AS rank FROM q, v)
 SELECT query_id, id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 16""")
 def _(s, d):
     v = vectors(s, d)
-    q = v.filter("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    q = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return V.vector_topk(v, q, 16).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 

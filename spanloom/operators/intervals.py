@@ -35,7 +35,7 @@ def _binned(df: DataFrame, s: str, e: str, width: float) -> DataFrame:
 def _matching(a: DataFrame, seen: DataFrame, how: str) -> DataFrame:
     """Rows of ``a`` that do (``left_semi``) or do not (``left_anti``) occur in ``seen``."""
     seen = seen.select(*[F.col(c).alias(f"_m_{c}") for c in a.columns])
-    return a.join(seen, [a[c].eqNullSafe(seen[f"_m_{c}"]) for c in a.columns], how)
+    return a.join(seen, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in a.columns], how)
 
 
 def overlap_join(a: DataFrame, b: DataFrame, *, by="timeline_id", a_cols=("a_start", "a_end"),
@@ -63,19 +63,21 @@ def overlap_join(a: DataFrame, b: DataFrame, *, by="timeline_id", a_cols=("a_sta
     else:
         a2 = a2.withColumn("_ae", F.col(e).cast("double"))
         b2 = b.withColumn("_bs", F.col(S).cast("double")).withColumn("_be", F.col(E).cast("double"))
-    a2, b2 = _binned(a2, "_as", "_ae", width), _binned(b2, "_bs", "_be", width)
+    a2 = _binned(a2, "_as", "_ae", width)
+    # the right side is renamed, so that both sides may stem from one table
+    b2 = _binned(b2, "_bs", "_be", width)
     a2, b2, salt = _salted(a2, b2, spread)
+    b2 = b2.select(*[F.col(c).alias(f"_r_{c}") for c in b2.columns if c not in ("_bs", "_be")], "_bs", "_be")
     if mode == "closed":
         hit = (F.col("_as") <= F.col("_be")) & (F.col("_ae") >= F.col("_bs"))
     else:
         hit = (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
-    owner = a2[BIN] == F.greatest(cell_of("_as", width), cell_of("_bs", width))
-    cond = [a2[k] == b2[k] for k in (*keys, BIN, *salt)]
+    owner = F.col(BIN) == F.greatest(cell_of("_as", width), cell_of("_bs", width))
+    cond = [F.col(k) == F.col(f"_r_{k}") for k in (*keys, BIN, *salt)]
+    pairs = a2.join(b2, [*cond, hit, owner], "left_semi" if how == "left_semi" else "inner")
     if how == "left_semi":
-        pairs = a2.join(b2, [*cond, hit, owner], "left_semi")
         return _matching(a, pairs.select(*a.columns), "left_semi")
-    pairs = a2.join(b2, [*cond, hit, owner], "inner")
-    return pairs.select(*[a2[c] for c in a.columns], *[b2[c] for c in b.columns if c not in keys])
+    return pairs.select(*a.columns, *[F.col(f"_r_{c}").alias(c) for c in b.columns if c not in keys])
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, *, by="timeline_id", t="t",
@@ -90,12 +92,14 @@ def point_in_interval(points: DataFrame, spans: DataFrame, *, by="timeline_id",
     p = points.withColumn(BIN, cell_of(t, width))
     q = _binned(spans, S, E, width)
     p, q, salt = _salted(p, q, spread)
-    low = p[t] > q[S] if mode == "open" else p[t] >= q[S]
-    high = p[t] <= q[E] if mode == "closed" else p[t] < q[E]
-    j = p.join(q, [*[p[k] == q[k] for k in (*keys, BIN, *salt)], low, high], how)
+    q = q.select(*[F.col(c).alias(f"_r_{c}") for c in q.columns])
+    lo, hi = F.col(f"_r_{S}"), F.col(f"_r_{E}")
+    low = F.col(t) > lo if mode == "open" else F.col(t) >= lo
+    high = F.col(t) <= hi if mode == "closed" else F.col(t) < hi
+    j = p.join(q, [*[F.col(k) == F.col(f"_r_{k}") for k in (*keys, BIN, *salt)], low, high], how)
     if how == "left_semi":
         return j.select(*points.columns)
-    return j.select(*[p[c] for c in points.columns], *[q[c] for c in spans.columns if c not in keys])
+    return j.select(*points.columns, *[F.col(f"_r_{c}").alias(c) for c in spans.columns if c not in keys])
 
 
 def gate_by_intervals(points: DataFrame, spans: DataFrame, *, by="timeline_id", t="t",
