@@ -54,6 +54,21 @@ def mmss_to_seconds(c) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+def _decimals(x: Column, d: int) -> Column:
+    """Seconds as ``SS.ddd``, rounded half to even on the exact binary value.
+
+    The formatter of the JVM rounds the shortest decimal form half up, so 37.5625 and 1.15 would differ from the
+    printed values elsewhere. ``x`` is split into parts whose products with ``2 * 10**d`` are exact; the sign of the
+    rest decides.
+    """
+    unit = 10 ** d
+    n = F.floor(x * unit)
+    high = F.floor(x * 1048576.0) / 1048576.0
+    rest = (high * (2.0 * unit) - (n * 2 + 1)) + (x - high) * (2.0 * unit)
+    value = n + F.when((rest > 0) | ((rest == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.format_string(f"%02d.%0{d}d", F.floor(value / unit), value % unit)
+
+
 def seconds_to_timecode(c, style: str = "hms") -> Column:
     """Styles: ``hms`` (truncated), ``hms1``, ``hms3``, ``ms1``, ``ms2`` (decimals of the seconds) and ``srt``
     (input in milliseconds)."""
@@ -69,13 +84,13 @@ def seconds_to_timecode(c, style: str = "hms") -> Column:
     if style == "hms":
         return F.format_string("%02d:%02d:%02d", hours, minutes, F.floor(rest))
     if style == "hms1":
-        return F.format_string("%02d:%02d:%04.1f", hours, minutes, rest)
+        return F.format_string("%02d:%02d:%s", hours, minutes, _decimals(rest, 1))
     if style == "hms3":
-        return F.format_string("%02d:%02d:%06.3f", hours, minutes, rest)
+        return F.format_string("%02d:%02d:%s", hours, minutes, _decimals(rest, 3))
     if style == "ms1":
-        return F.format_string("%02d:%04.1f", F.floor(x / 60), rest)
+        return F.format_string("%02d:%s", F.floor(x / 60), _decimals(rest, 1))
     if style == "ms2":
-        return F.format_string("%02d:%05.2f", F.floor(x / 60), rest)
+        return F.format_string("%02d:%s", F.floor(x / 60), _decimals(rest, 2))
     raise ValueError(f"unknown style {style}")
 
 

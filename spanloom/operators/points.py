@@ -161,8 +161,9 @@ def nms_time(df: DataFrame, min_dist: float, threshold: float | Column | None =
     if threshold is not None:
         df = df.filter(F.col(value) >= threshold)
     best = distinct_instants(df, by=keys, t=t, score=score, tie=tie)   # of equal instants only the best can survive
-    comp = scan(best, by=keys, t=t, cell=cell, island_on={"t": t}, island_name="_comp",
-                island=lambda p, c: c("t") - p("t") >= min_dist)
+    # stored once: the size check, the fold and the final join all read it
+    comp = materialize(scan(best, by=keys, t=t, cell=cell, island_on={"t": t}, island_name="_comp",
+                            island=lambda p, c: c("t") - p("t") >= min_dist))
     sizes = comp.groupBy(*keys, "_comp").count().filter(F.col("count") > max_component)
     if sizes.isEmpty():
         small, big = comp, None
@@ -183,7 +184,7 @@ def nms_time(df: DataFrame, min_dist: float, threshold: float | Column | None =
     kept = grouped_stream(small.select(*keys, "_comp", t, score), [*keys, "_comp"], [t], fold, schema)
     if big is not None:
         kept = kept.unionByName(_nms_rounds(big.select(*keys, t, score), keys, t, score, min_dist, cell))
-    out = best.join(kept, [*keys, t], "left_semi")
+    out = comp.drop("_comp").join(kept, [*keys, t], "left_semi")
     if max_n is not None:
         out = top_rows(out, by=keys, order=[F.col(score).desc(), F.col(t)], k=max_n, t=t, cell=cell).drop("_rank")
     return out
@@ -293,7 +294,7 @@ def min_interval_best(df: DataFrame, d: float, *, by="timeline_id", t="t", score
     if d <= 0:
         return df
     keys = as_list(by)
-    best = distinct_instants(df, by=keys, t=t, score=score, tie=tie).withColumn("_dist", F.lit(float(d)))
+    best = materialize(distinct_instants(df, by=keys, t=t, score=score, tie=tie).withColumn("_dist", F.lit(float(d))))
     marked = chain(best, by=keys, t=t, dist="_dist", cell=cell)
     cols = [c for c in df.columns if c not in keys]
     win = F.min_by(F.struct(*cols), F.struct(-F.col(score), F.col(t)))
@@ -316,8 +317,8 @@ def enforce_spacing(df: DataFrame, min_gap: float, duration: str | float | None
         early = (me == F.col("_first")) & (F.col(t) < min_gap)
         late = (me == F.col("_last")) & (dur - F.col(t) < min_gap)
         src = df.join(ends, keys).filter(~(early | late) | (dur <= 0)).select(*df.columns)
-    best = distinct_instants(src, by=keys, t=t, score=score, tie=tie).withColumn("_dist", F.lit(float(min_gap)))
-    hits = chain(best, by=keys, t=t, dist="_dist", score=score, cell=cell).filter("hit").select(*df.columns)
+    best = materialize(distinct_instants(src, by=keys, t=t, score=score, tie=tie).withColumn("_dist", F.lit(float(min_gap))))
+    hits = materialize(chain(best, by=keys, t=t, dist="_dist", score=score, cell=cell).filter("hit").select(*df.columns))
     # a chain point stays unless the next one replaced it from within the gap
     after = scan(hits, by=keys, t=t, cell=cell, next={"_nt": t})
     return after.filter(F.col("_nt").isNull() | (F.col("_nt") - F.col(t) >= min_gap)).select(*df.columns)
@@ -387,6 +388,7 @@ def fill_long_gaps(kept: DataFrame, raw: DataFrame, max_gap: float, *, by="timel
     keys = as_list(by)
     if max_gap <= 0:
         return kept
+    kept = materialize(kept)        # read for the gaps and for the result
     gaps = (scan(kept.select(*keys, t).distinct(), by=keys, t=t, cell=cell, next={"_g1": t})
             .withColumnRenamed(t, "_g0").filter(F.col("_g1") - F.col("_g0") > max_gap)
             .withColumn("_k", (F.ceil((F.col("_g1") - F.col("_g0")) / max_gap) - 1).cast("bigint")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.intervals import point_in_interval
 from spanloom.operators.ordered import DAY, as_list, grouped_stream, scan, top_rows
 from spanloom.operators.points import _outer_ranks, nms_time
+from spanloom.session import materialize
 
 
 # ---------------------------------------------------------------- from instants
@@ -52,7 +53,7 @@ def preview_segments(points: DataFrame, durations: DataFrame, min_len: float = 3
     """
     keys = as_list(by)
     bounds = durations.select(*keys, F.lit(0.0).alias("start"), F.col(duration).cast("double").alias("end"))
-    seg = segments_from_points(points, bounds, by=keys, t=t, cols=("start", "end"), cell=cell)
+    seg = materialize(segments_from_points(points, bounds, by=keys, t=t, cols=("start", "end"), cell=cell))
     n = seg.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     seg = scan(seg.join(n, keys), by=keys, t="start", cell=cell, prev={"_ps": "start", "_pe": "end"},
                run={"_i": ("sum", F.lit(1))})
@@ -98,12 +99,13 @@ def split_at_strongest(segments: DataFrame, points: DataFrame, min_len: float, m
     segments with no interior instant go to :func:`split_near_midpoints` unless ``fallback`` is off."""
     keys, (S, E) = as_list(by), cols
     length = F.col(E) - F.col(S)
+    segments = materialize(segments)        # several branches below read the segments and the instants inside
     fine = segments.filter(length <= max_len)
     long = segments.filter(length > max_len)
     need = (F.ceil(length / max_len) - 1).cast("bigint")
     spans = long.select(*keys, S, E, need.alias("_need"))
-    inside = point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
-                               width=width)
+    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
+                                           width=width))
     able = inside.filter((F.col(t) - F.col(S) >= min_len) & (F.col(E) - F.col(t) >= min_len))
     kept = nms_time(able, min_len, by=[*keys, S], t=t, value=score, tie=tie, cell=cell)
     picks = top_rows(kept, by=[*keys, S], order=[F.col(score).desc(), F.col(t)], k=F.col("_need"), t=t,
@@ -127,12 +129,13 @@ def split_near_midpoints(segments: DataFrame, points: DataFrame, max_len: float,
     nearest unused one, else the time itself. Pieces below ``min_len`` are dropped."""
     keys, (S, E) = as_list(by), cols
     length = F.col(E) - F.col(S)
+    segments = materialize(segments)        # several branches below read the segments and the instants inside
     fine = segments.filter(length <= max_len)
     long = segments.filter(length > max_len)
     spans = long.select(*keys, S, E, (F.ceil(length / max_len) - 1).cast("bigint").alias("_k"))
     part = (F.col(E) - F.col(S)) / (F.col("_k") + 1)
-    inside = point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
-                               width=width)
+    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
+                                           width=width))
     pos = (F.col(t) - F.col(S)) / part
 
     def clamp(j):

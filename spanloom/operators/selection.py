@@ -39,11 +39,12 @@ def selection_check(df: DataFrame, *, answer="answer", target="target", tol: flo
     length = F.transform(r, lambda x: x["end"] - x["start"])
     # gaps are judged in order, so the first failing pair names the error
     bad_gap = F.get(F.filter(gaps, lambda g: (g < 0) | (g > max_gap)), F.lit(0))
-    total = F.aggregate(length, F.lit(0.0), lambda a, x: a + x)
     # clips are judged in order too: an unreadable time or an empty clip, whichever comes first
+    out = df.withColumn("_r", shot_ranges(answer, fps)).withColumn("n_clips", n).withColumn("_len", length)
+    length = F.col("_len")
+    total = F.aggregate(length, F.lit(0.0), lambda a, x: a + x)
     bad = F.get(F.filter(length, lambda x: x.isNull() | (x <= 0)), F.lit(0))
     n_bad = F.size(F.filter(length, lambda x: x.isNull() | (x <= 0)))
-    out = df.withColumn("_r", shot_ranges(answer, fps)).withColumn("n_clips", n)
     out = out.withColumn("_total", F.when((n > 0) & (n_bad == 0), total)).withColumn("_bad_gap", F.when(n > 1, bad_gap))
     diff = F.col("_total") - F.col(target)
     status = (F.when(n == 0, "no_range").when(n > max_clips, "too_many")
@@ -59,7 +60,7 @@ def selection_check(df: DataFrame, *, answer="answer", target="target", tol: flo
            .withColumn("final_duration", F.when(trims, F.col(target)).otherwise(F.col("_total")))
            .withColumn("is_stitched", n > 1)
            .withColumn("first_start", F.get(r, F.lit(0))["start"]).withColumn("first_end", F.get(r, F.lit(0))["end"]))
-    return out.drop("_r", "_total", "_bad_gap")
+    return out.drop("_r", "_len", "_total", "_bad_gap")
 
 
 def review_selections(proposals: DataFrame, used: DataFrame, *, by="timeline_id", id="proposal_id", answer="answer",
@@ -67,7 +68,10 @@ def review_selections(proposals: DataFrame, used: DataFrame, *, by="timeline_id"
     """Selection check plus overlap of the first range with used ranges: approved, issues and suggestions."""
     keys = as_list(by)
     checked = selection_check(proposals, answer=answer, target=target)
-    first = checked.filter(F.col("first_start").isNotNull() & F.col("first_end").isNotNull())
+    # the overlap needs the first range only, so it is read from the text without the other checks
+    one = F.get(shot_ranges(answer), F.lit(0))
+    first = (proposals.select(*keys, id, one.alias("_x")).select(*keys, id, F.col("_x.start").alias("first_start"), F.col("_x.end").alias("first_end"))
+             .filter(F.col("first_start").isNotNull() & F.col("first_end").isNotNull()))
     hits = (conflicts(first.select(*keys, id, "first_start", "first_end"), used.select(*keys, *taken), by=by,
                       proposal=("first_start", "first_end"), taken=taken, width=width)
             .groupBy(*keys, id).agg(F.count(F.lit(1)).alias("overlaps")))
@@ -91,8 +95,8 @@ def admit_clips(proposals: DataFrame, *, by="timeline_id", cols=("start", "end")
     keys, (S, E) = as_list(by), cols
     slim = proposals.select(*keys, S, E, order, id)
     reach = scan(slim, by=keys, t=S, tie=[E, id], cell=cell, run={"_far": ("max", E)})
-    comp = scan(reach, by=keys, t=S, tie=[E, id], cell=cell, island_name="_comp", island_on={"f": "_far", "s": S},
-                island=lambda p, c: c("s") >= p("f")).drop("_far")
+    comp = materialize(scan(reach, by=keys, t=S, tie=[E, id], cell=cell, island_name="_comp", island_on={"f": "_far", "s": S},
+                            island=lambda p, c: c("s") >= p("f")).drop("_far"))
     sizes = comp.groupBy(*keys, "_comp").count().filter(F.col("count") > max_component)
     none_big = sizes.isEmpty()
     small = comp if none_big else comp.join(sizes, [*keys, "_comp"], "left_anti")

@@ -16,34 +16,45 @@ def validate_docs(docs: DataFrame, *, body="body", required: Sequence[str] = ("s
     """JSON documents with an array of violations: required keys, a non-empty ``sections`` list whose members hold
     ``section_keys`` and, with ``check_times``, a start and an end in either spelling. ``int_list`` names a key
     that must be a list of integers."""
-    top = F.from_json(body, "map<string,string>")
-    is_object = top.isNotNull()
-    has = F.map_keys(top)
+    # parsed once per row, then read by all rules
+    d = docs.withColumn("_top", F.from_json(body, "map<string,string>"))
+    d = d.withColumn("_raw", F.try_element_at("_top", F.lit("sections"))).withColumn("_ids", F.try_element_at("_top", F.lit(int_list or "")))
+    d = d.withColumn("_items", F.from_json("_raw", "array<map<string,string>>")).withColumn("_idlist", F.from_json("_ids", "array<string>"))
+    is_object = F.col("_top").isNotNull()
+
+    def has(k):
+        return F.map_contains_key("_top", k)
+
+    def is_list(c):
+        return F.coalesce(F.trim(c).startswith("["), F.lit(False))
+
     out = [F.when(~is_object, F.lit("not an object"))]
-    out += [F.when(is_object & ~F.array_contains(has, k), F.lit(f"missing {k}")) for k in required]
+    out += [F.when(is_object & ~has(k), F.lit(f"missing {k}")) for k in required]
     if "sections" in required:
-        raw = F.try_element_at(top, F.lit("sections"))
-        items = F.from_json(raw, "array<map<string,string>>")
-        listed = F.coalesce(F.trim(raw).startswith("["), F.lit(False))
-        given = is_object & F.array_contains(has, "sections")
-        out.append(F.when(given & ~listed, F.lit("sections is not a list")))
-        out.append(F.when(given & listed & (F.json_array_length(raw) == 0), F.lit("sections is empty")))
+        given = is_object & has("sections")
+        listed = given & is_list("_raw")
+        out.append(F.when(given & ~is_list("_raw"), F.lit("sections is not a list")))
+        out.append(F.when(listed & (F.json_array_length("_raw") == 0), F.lit("sections is empty")))
 
         def lacks(*names):
-            return F.exists(items, lambda m: m.isNull() | ~F.arrays_overlap(F.map_keys(m), F.array(*[F.lit(n) for n in names])))
-
-        out += [F.when(given & listed & lacks(k), F.lit(f"section without {k}")) for k in section_keys]
+            def without(m):
+                found = F.map_contains_key(m, names[0])
+                for n in names[1:]:
+                    found = found | F.map_contains_key(m, n)
+                return m.isNull() | ~found
+            return F.exists("_items", without)
+
+        out += [F.when(listed & lacks(k), F.lit(f"section without {k}")) for k in section_keys]
         if check_times:
-            out.append(F.when(given & listed & lacks("start_time", "Start_Time"), F.lit("section without start time")))
-            out.append(F.when(given & listed & lacks("end_time", "End_Time"), F.lit("section without end time")))
+            out.append(F.when(listed & lacks("start_time", "Start_Time"), F.lit("section without start time")))
+            out.append(F.when(listed & lacks("end_time", "End_Time"), F.lit("section without end time")))
     if int_list:
-        raw = F.try_element_at(top, F.lit(int_list))
-        items = F.from_json(raw, "array<string>")
-        given = is_object & F.array_contains(has, int_list)
-        out.append(F.when(given & ~F.coalesce(F.trim(raw).startswith("["), F.lit(False)), F.lit(f"{int_list} is not a list")))
-        out.append(F.when(given & F.exists(items, lambda x: x.isNull() | ~x.rlike(r"^-?\d+$")), F.lit(f"{int_list} holds a non-integer")))
+        given = is_object & has(int_list)
+        out.append(F.when(given & ~is_list("_ids"), F.lit(f"{int_list} is not a list")))
+        out.append(F.when(given & F.exists("_idlist", lambda x: x.isNull() | ~x.rlike(r"^-?\d+$")), F.lit(f"{int_list} holds a non-integer")))
     found = F.array_compact(F.array(*out))
-    return docs.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
+    return (d.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
+            .drop("_top", "_raw", "_ids", "_items", "_idlist"))
 
 
 def validate_section_bounds(sections: DataFrame, *, duration="duration", tol: float = 1.0,

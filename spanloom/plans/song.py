@@ -25,8 +25,7 @@ def filter_significant(points: DataFrame, min_interval: float = 0.0, top_k: int
     if percentile > 0:
         out = percentile_filter(out, percentile, by=by, value=score)
     if min_interval > 0:
-        # read by three passes below, so computed once
-        out = min_interval_best(materialize(out), min_interval, by=by, score=score, cell=cell)
+        out = min_interval_best(out, min_interval, by=by, score=score, cell=cell)
     if top_k > 0:
         out = topk_per_type(out, top_k, by=by, score=score)
     return out
@@ -50,19 +49,20 @@ def filter_by_sections(points: DataFrame, sections: DataFrame, *, by="timeline_i
     scored = materialize(composite_score(scored, weights))
     with_sections = sections.select(*keys).distinct()
     slots = allocate_slots(scored, sections, total, by=by, width=width)
-    kept = materialize(topk_per_section(scored, slots, by=by, width=width, cell=cell).drop("ord"))
+    # the steps below store the rows they read more than once
+    kept = topk_per_section(scored, slots, by=by, width=width, cell=cell).drop("ord")
     if min_interval > 0:
-        kept = materialize(min_interval_best(kept, min_interval, by=by, score="composite_score", cell=cell))
+        kept = min_interval_best(kept, min_interval, by=by, score="composite_score", cell=cell)
     inside = scored.join(with_sections, keys, "left_semi")
     if max_segment > 0:
-        kept = materialize(fill_long_gaps(kept, inside, max_segment, by=by, width=width, cell=cell))
+        kept = fill_long_gaps(kept, inside, max_segment, by=by, width=width, cell=cell)
     if min_segment > 0:
         if isinstance(duration, str):
             lengths = sections.groupBy(*keys).agg(F.max(duration).alias("_duration"))
-            spaced = kept.join(lengths, keys)
+            spaced = materialize(kept.join(lengths, keys))
             kept = enforce_spacing(spaced, min_segment, "_duration", by=by, cell=cell).drop("_duration")
         else:
-            kept = enforce_spacing(kept, min_segment, duration, by=by, cell=cell)
+            kept = enforce_spacing(materialize(kept), min_segment, duration, by=by, cell=cell)
     plain = points.join(with_sections, keys, "left_anti")
     return kept.unionByName(plain, allowMissingColumns=True)
 
@@ -88,9 +88,10 @@ def two_level_segments(sections: DataFrame, kept: DataFrame, raw: DataFrame, *,
         sec = ok.select(*keys, F.col("ord").alias("section_ord"), S, E)
         inside = materialize(point_in_interval(raw, sec, by=by, t="t", cols=(S, E), width=width).drop(S, E))
         marks = point_in_interval(kept.select(*keys, "t"), sec, by=by, t="t", cols=(S, E), width=width).drop(S, E)
-        seg = materialize(merge_short_back(segments_from_points(marks, sec, by=own, cell=cell), min_len, by=own, cell=cell))
+        seg = merge_short_back(segments_from_points(marks, sec, by=own, cell=cell), min_len, by=own, cell=cell)
         if max_len > 0:
-            seg = materialize(split_at_strongest(seg, inside, min_len, max_len, by=own, width=width, cell=cell))
+            # both store what they branch on themselves
+            seg = split_at_strongest(seg, inside, min_len, max_len, by=own, width=width, cell=cell)
             seg = materialize(split_near_midpoints(seg, inside, max_len, by=own, min_len=min_len, width=width, cell=cell))
         seg = merge_short_back(seg, min_len, by=own, cell=cell)
         bare = sec.join(seg.select(*own).distinct(), own, "left_anti").withColumn("duration", F.col(E) - F.col(S))

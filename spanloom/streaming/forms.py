@@ -111,24 +111,26 @@ def stream_window_topk(df: DataFrame, size: float, k: int = 1, delay: str = "10
     out = f"{key} {types[key]}, window_start double, rank bigint, {id} {types[id]}, {score} double"
 
     def run(group, frames, state):
-        owner, number = group
-        kept = json.loads(state.get[0]) if state.exists else []
+        held = json.loads(state.get[0]) if state.exists else {}
         for pdf in frames:
             t = _seconds(pdf[ts])
-            kept.extend(list(r) for r in zip((-pdf[score]).tolist(), t.tolist(), pdf[id].tolist()))
-            kept = sorted(kept)[:k]
-        end_ms = int((number + 1) * size * 1000)
-        if state.getCurrentWatermarkMs() >= end_ms:
-            state.remove()
-            if kept:
-                yield pd.DataFrame({key: owner, "window_start": number * float(size), "rank": range(1, len(kept) + 1),
-                                    id: [r[2] for r in kept], score: [-r[0] for r in kept]})
+            win = (t // size).astype("int64")
+            best = pd.DataFrame({"w": win, "v": -pdf[score], "t": t, "i": pdf[id]}).sort_values(["w", "v", "t", "i"]).groupby("w").head(k)
+            for w, v, at, i in zip(best["w"].tolist(), best["v"].tolist(), best["t"].tolist(), best["i"].tolist()):
+                held.setdefault(str(w), []).append([v, at, i])
+            held = {w: sorted(rows)[:k] for w, rows in held.items()}
+        now = state.getCurrentWatermarkMs()
+        closed = [w for w in held if (int(w) + 1) * size * 1000 <= now]
+        out_rows = [(group[0], int(w) * float(size), n, r[2], -r[0]) for w in closed for n, r in enumerate(held.pop(w), 1)]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(int((min(map(int, held)) + 1) * size * 1000))
         else:
-            state.update((json.dumps(kept),))
-            state.setTimeoutTimestamp(end_ms)
+            state.remove()
+        if out_rows:
+            yield pd.DataFrame(out_rows, columns=[key, "window_start", "rank", id, score])
 
-    number = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6 / F.lit(float(size))).cast("bigint")
-    return (marked.select(key, number.alias("_win"), ts, id, score).groupBy(key, "_win")
+    return (marked.select(key, ts, id, score).groupBy(key)
             .applyInPandasWithState(run, out, "s string", "append", "EventTimeTimeout"))
 
 
