@@ -1,7 +1,7 @@
 """Streaming forms of three batch operators.
 
-They are derived work: windows are aligned to the epoch (a stream has no first row), rows later than the
-watermark are dropped, and a result is emitted once the watermark shows that nothing can change it. State per
+They are derived work: windows are aligned to the epoch (a stream has no first row), rows behind the
+watermark of the batch before are dropped by Spark, and a result is emitted once the watermark shows that nothing can change it. State per
 key is bounded: the best ``k`` rows of a window, or the rows newer than the watermark plus one open group.
 """
 
