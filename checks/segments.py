@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.points import NORM, fill_sql, nms_sql
+from checks.points import ALLOC, NORM, SCORED, WEIGHTS
 from checks.roles import SPAN, check, cues, detections, keypoints, points, sections, shots, spans, sql
 from spanloom.operators import points as P
 from spanloom.operators import segments as G
@@ -93,7 +93,7 @@ def _(s, d):
     return G.split_near_midpoints(seg, P.normalize_by_type(points(s, d)), 60_000.0, 9_000.0, min_len=5_000.0, width=50_000.0)
 
 
-SNAP = f"""recursive: mk AS (SELECT timeline_id, list_sort(list_distinct(list_concat(list(t), [0e0, {SPAN}::DOUBLE]))) AS m FROM kp WHERE type = 'error' GROUP BY 1),
+SNAP = f"""recursive: {SCORED}, {ALLOC}, mk AS (SELECT timeline_id, list_sort(list_distinct(list_concat(list(t), [0e0, {SPAN}::DOUBLE]))) AS m FROM best GROUP BY 1),
 s1 AS (SELECT timeline_id, list({{'ord': ord, 'e': end_time}} ORDER BY ord) AS secs FROM sec GROUP BY 1),
 base AS (SELECT s1.timeline_id, secs, coalesce(m, [0e0, {SPAN}::DOUBLE]) AS m FROM s1 LEFT JOIN mk USING (timeline_id)),
 wk AS (SELECT timeline_id, secs, m, 0 AS i, 0e0 AS s, 0e0 AS e FROM base
@@ -104,7 +104,10 @@ SELECT timeline_id, secs[i].ord AS ord, s AS start_time, e AS end_time FROM wk W
 
 @check("snap_sections", sql("kp sec", SNAP))
 def _(s, d):
-    return G.snap_sections(sections(s, d), keypoints(s, d).filter("type = 'error'")).select("timeline_id", "ord", "start_time", "end_time")
+    scored = P.composite_score(P.normalize_by_type(points(s, d)), WEIGHTS)
+    slots = P.allocate_slots(scored, sections(s, d), 20, width=86_400.0)
+    kept = P.topk_per_section(scored, slots, width=86_400.0)
+    return G.snap_sections(sections(s, d), kept).select("timeline_id", "ord", "start_time", "end_time")
 
 
 TURNS = """f AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_sec - lag(end_sec) OVER w <= 1 THEN 0 ELSE 1 END AS new FROM cues WINDOW w AS (PARTITION BY timeline_id ORDER BY start_sec, "index")),

@@ -367,17 +367,29 @@ def topk_per_section(points: DataFrame, allocation: DataFrame, *, by="timeline_i
     return best.select(*points.columns, "section", ord)
 
 
-def _outer_ranks(cands: DataFrame, group: list[str], k: Column, x: str, near: str, cell: float) -> DataFrame:
-    """Candidates that a no-reuse matching of ``k`` ideal positions can reach.
-
-    ``near`` is the ordinal of the nearest ideal. On each side of it a candidate can be chosen only if fewer
-    than ``k`` candidates lie between it and the ideal, or between it and the border to the next ideal.
+def reachable(cands: DataFrame, group: list[str], ideals: Column, x: str, near: str, cell: float,
+              fits: Column | None = None) -> DataFrame:
+    """Candidates that a no-reuse matching of evenly spaced ideal positions can reach; adds ``_need``.
+
+    ``near`` is the ordinal of the nearest ideal, so the candidates of one ordinal form its zone. An ideal leaves its
+    zone only when the zone has nothing left. Follow each leaving ideal back to one that took from its zone before:
+    these paths never share an ideal and each starts at an ideal whose zone was empty from the outset. Hence a zone
+    gives at most as many candidates to others as there are empty zones in the group, plus one to its own ideal.
+    Others take from the borders of a zone, its own ideal from the middle, so on each side of the ideal the
+    ``_need`` innermost and outermost candidates suffice (one more for candidates on a border).
+
+    Where zones are filled, that is a handful per ideal however many candidates there are. ``fits`` tells for which
+    groups the argument holds; the others keep as many candidates as there are ideals.
     """
-    side = F.col("_d") >= 0
+    filled = (cands.groupBy(*group, near).agg(F.max(ideals).alias("_ideals")).groupBy(*group)
+              .agg((F.max("_ideals") - F.count(F.lit(1)) + 2).alias("_need")))
+    c = cands.join(filled, group)
+    if fits is not None:
+        c = c.withColumn("_need", F.when(fits, F.col("_need")).otherwise(F.greatest("_need", ideals)))
     g = [*group, near, "_side"]
-    c = cands.withColumn("_side", side).withColumn("_a", F.abs("_d"))
-    inner = top_rows(c, by=g, order=[F.col("_a"), F.col(x)], k=k, t=x, cell=cell).drop("_rank")
-    outer = top_rows(c, by=g, order=[F.col("_a").desc(), F.col(x)], k=k, t=x, cell=cell).drop("_rank")
+    c = c.withColumn("_side", F.col("_d") >= 0).withColumn("_a", F.abs("_d"))
+    inner = top_rows(c, by=g, order=[F.col("_a"), F.col(x)], k=F.col("_need"), t=x, cell=cell).drop("_rank")
+    outer = top_rows(c, by=g, order=[F.col("_a").desc(), F.col(x)], k=F.col("_need"), t=x, cell=cell).drop("_rank")
     return inner.unionByName(outer).distinct().drop("_side", "_a")
 
 
@@ -397,7 +409,7 @@ def fill_long_gaps(kept: DataFrame, raw: DataFrame, max_gap: float, *, by="timel
     step = (F.col("_g1") - F.col("_g0")) / (F.col("_k") + 1)
     j = F.least(F.greatest(F.round((F.col(t) - F.col("_g0")) / step), F.lit(1)), F.col("_k")).cast("bigint")
     near = inside.withColumn("_j", j).withColumn("_d", F.col(t) - (F.col("_g0") + step * F.col("_j")))
-    reach = _outer_ranks(near, [*keys, "_g0"], F.col("_k"), t, "_j", cell)
+    reach = reachable(materialize(near), [*keys, "_g0"], F.col("_k"), t, "_j", cell)
     dt = dict(raw.dtypes)
     schema = ", ".join(f"`{c}` {dt[c]}" for c in (*keys, t, *tie))
 

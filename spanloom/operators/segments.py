@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators.intervals import point_in_interval
 from spanloom.operators.ordered import DAY, as_list, grouped_stream, scan, top_rows
-from spanloom.operators.points import _outer_ranks, nms_time
+from spanloom.operators.points import nms_time, reachable
 from spanloom.session import materialize
 
 
@@ -142,12 +142,15 @@ def split_near_midpoints(segments: DataFrame, points: DataFrame, max_len: float,
         return F.least(F.greatest(j, F.lit(1)), F.col("_k")).cast("bigint")
 
     near = inside.withColumn("_j", clamp(F.round(pos))).withColumn("_d", F.col(t) - (F.col(S) + part * F.col("_j")))
-    reach = _outer_ranks(near, [*keys, S], F.col("_k"), t, "_j", cell)
+    # a radius within half a part keeps each ideal time in its own zone, as the bound on candidates requires
+    fits = F.lit(float(radius)) <= part / 2
+    reach = reachable(near, [*keys, S], F.col("_k"), t, "_j", cell, fits)
+    need = reach.groupBy(*keys, S).agg(F.max("_need").alias("_need"))
     # strongest within the radius of any ideal time; one instant may lie within reach of several
     lo, hi = F.ceil((F.col(t) - radius - F.col(S)) / part - 1e-9), F.floor((F.col(t) + radius - F.col(S)) / part + 1e-9)
     around = (inside.withColumn("_lo", F.greatest(lo, F.lit(1))).withColumn("_hi", F.least(hi, F.col("_k")))
-              .filter("_lo <= _hi").withColumn("_j", F.explode(F.sequence("_lo", "_hi"))))
-    strong = top_rows(around, by=[*keys, S, "_j"], k=F.col("_k"), t=t, cell=cell,
+              .filter("_lo <= _hi").withColumn("_j", F.explode(F.sequence("_lo", "_hi"))).join(need, [*keys, S]))
+    strong = top_rows(around, by=[*keys, S, "_j"], k=F.col("_need"), t=t, cell=cell,
                       order=[F.col(score).desc(), F.col(t), *[F.col(c) for c in tie]])
     use = [*keys, S, E, "_k", t, score, *tie]
     pool = reach.select(*use).unionByName(strong.select(*use)).distinct()
@@ -196,7 +199,8 @@ def snap_sections(sections: DataFrame, points: DataFrame, *, by="timeline_id", o
     """Each section end moves to the nearest instant (or 0, or the duration) more than ``min_len`` after its
     start; a section starts where the one before ends; the first starts at 0, the last ends at the duration.
 
-    ``points`` are the instants left after slot allocation, so a timeline holds a bounded number of them.
+    ``points`` are the instants left after slot allocation: at most the slots of the timeline, which bounds the rows
+    of one fold. The fold itself needs few of them but which ones depends on every section before.
     """
     keys, (S, E) = as_list(by), cols
     dt = dict(sections.dtypes)

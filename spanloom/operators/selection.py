@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import json_lenient
 from spanloom.functions.timecode import seconds_to_timecode, shot_ranges
 from spanloom.operators.intervals import conflicts, overlap_join, point_in_interval
-from spanloom.operators.ordered import DAY, as_list, grouped_stream, scan
+from spanloom.operators.ordered import DAY, as_list, grouped_stream, scan, top_rows
 from spanloom.session import materialize
 
 # Limits of a selection.
@@ -174,7 +174,6 @@ def break_ratio(frames: DataFrame, min_size: float = 50, max_ratio: float = 0.3,
     reason = F.when(F.col(size).isNull(), "no_face").when(F.col(size) < min_size, "face_too_small")
     f = frames.withColumn("_reason", reason)
     # only the lowest frame numbers can be examples; keeping them partial avoids collecting every break
-    from spanloom.operators.ordered import top_rows
     few = top_rows(f.filter(F.col("_reason").isNotNull()), by=keys, order=[F.col(frame)], k=examples, t=t)
     shown = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col(t).alias("time"),
                                                                        F.col("_reason").alias("reason")))).alias("examples"))
@@ -315,8 +314,13 @@ def dialogue_by_speaker(cues: DataFrame, max_n: int | None = None, *, by="timeli
     said = cues.filter(F.length(text) > 0)
     lines = said.groupBy(*keys, speaker).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x")))),
                                                          lambda p: p["x"]).alias("lines"))
-    shown = F.col("lines") if max_n is None else F.slice("lines", 1, max_n)
-    block = F.concat(F.lit("["), F.col(speaker), F.lit("]: "), F.array_join(shown, " | "))
-    text_ = (lines.filter(F.col(speaker) != "UNKNOWN").groupBy(*keys)
+    shown = lines
+    if max_n is not None:
+        # only the first lines are shown, so only they are gathered
+        few = top_rows(said, by=[*keys, speaker], order=[F.col(order)], k=max_n, t=order, cell=4096)
+        shown = few.groupBy(*keys, speaker).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x")))),
+                                                            lambda p: p["x"]).alias("lines"))
+    block = F.concat(F.lit("["), F.col(speaker), F.lit("]: "), F.array_join("lines", " | "))
+    text_ = (shown.filter(F.col(speaker) != "UNKNOWN").groupBy(*keys)
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(speaker).alias("s"), block.alias("b")))), lambda p: p["b"]), "\n\n").alias("formatted")))
     return lines, text_.withColumn("tokens", est_tokens("formatted")).withColumn("over_limit", F.col("tokens") > max_tokens)
