@@ -368,7 +368,7 @@ def topk_per_section(points: DataFrame, allocation: DataFrame, *, by="timeline_i
 
 
 def reachable(cands: DataFrame, group: list[str], ideals: Column, x: str, near: str, cell: float,
-              fits: Column | None = None) -> DataFrame:
+              tie: Sequence[str], fits: Column | None = None) -> DataFrame:
     """Candidates that a no-reuse matching of evenly spaced ideal positions can reach; adds ``_need``.
 
     ``near`` is the ordinal of the nearest ideal, so the candidates of one ordinal form its zone. An ideal leaves its
@@ -386,10 +386,10 @@ def reachable(cands: DataFrame, group: list[str], ideals: Column, x: str, near:
     c = cands.join(filled, group)
     if fits is not None:
         c = c.withColumn("_need", F.when(fits, F.col("_need")).otherwise(F.greatest("_need", ideals)))
-    g = [*group, near, "_side"]
+    g, ties = [*group, near, "_side"], [F.col(x) for x in tie]      # equal times: the lower tie-break goes first
     c = c.withColumn("_side", F.col("_d") >= 0).withColumn("_a", F.abs("_d"))
-    inner = top_rows(c, by=g, order=[F.col("_a"), F.col(x)], k=F.col("_need"), t=x, cell=cell).drop("_rank")
-    outer = top_rows(c, by=g, order=[F.col("_a").desc(), F.col(x)], k=F.col("_need"), t=x, cell=cell).drop("_rank")
+    inner = top_rows(c, by=g, order=[F.col("_a"), *ties], k=F.col("_need"), t=x, cell=cell).drop("_rank")
+    outer = top_rows(c, by=g, order=[F.col("_a").desc(), *ties], k=F.col("_need"), t=x, cell=cell).drop("_rank")
     return inner.unionByName(outer).distinct().drop("_side", "_a")
 
 
@@ -409,7 +409,7 @@ def fill_long_gaps(kept: DataFrame, raw: DataFrame, max_gap: float, *, by="timel
     step = (F.col("_g1") - F.col("_g0")) / (F.col("_k") + 1)
     j = F.least(F.greatest(F.round((F.col(t) - F.col("_g0")) / step), F.lit(1)), F.col("_k")).cast("bigint")
     near = inside.withColumn("_j", j).withColumn("_d", F.col(t) - (F.col("_g0") + step * F.col("_j")))
-    reach = reachable(materialize(near), [*keys, "_g0"], F.col("_k"), t, "_j", cell)
+    reach = reachable(materialize(near), [*keys, "_g0"], F.col("_k"), t, "_j", cell, tie)
     dt = dict(raw.dtypes)
     schema = ", ".join(f"`{c}` {dt[c]}" for c in (*keys, t, *tie))
 

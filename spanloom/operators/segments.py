@@ -144,7 +144,7 @@ def split_near_midpoints(segments: DataFrame, points: DataFrame, max_len: float,
     near = inside.withColumn("_j", clamp(F.round(pos))).withColumn("_d", F.col(t) - (F.col(S) + part * F.col("_j")))
     # a radius within half a part keeps each ideal time in its own zone, as the bound on candidates requires
     fits = F.lit(float(radius)) <= part / 2
-    reach = reachable(near, [*keys, S], F.col("_k"), t, "_j", cell, fits)
+    reach = reachable(near, [*keys, S], F.col("_k"), t, "_j", cell, tie, fits)
     need = reach.groupBy(*keys, S).agg(F.max("_need").alias("_need"))
     # strongest within the radius of any ideal time; one instant may lie within reach of several
     lo, hi = F.ceil((F.col(t) - radius - F.col(S)) / part - 1e-9), F.floor((F.col(t) + radius - F.col(S)) / part + 1e-9)

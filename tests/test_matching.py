@@ -18,7 +18,7 @@ def layouts(n):
         times = []
         for _ in range(rng.randint(0, 5)):
             c, w = rng.uniform(2, 98), rng.choice([0.0, 1.0, 6.0, 20.0])
-            times += [min(99.5, max(0.5, rng.choice([round(c + rng.uniform(-w, w)), c + rng.uniform(-w, w), c]))) for _ in range(rng.randint(1, 14))]
+            times += [float(min(99.5, max(0.5, rng.choice([round(c + rng.uniform(-w, w)), c + rng.uniform(-w, w), c])))) for _ in range(rng.randint(1, 14))]
         out[tl] = [(i, t, float(rng.randint(0, 5))) for i, t in enumerate(times)]
     return out
 
