@@ -212,6 +212,18 @@ def _(s, d):
     return G.segments_to_cuts(g, boundaries="boundaries")
 
 
+@check("cuts_to_segments", sql("kp", """x AS (SELECT timeline_id, CAST(floor(t / 86400) AS BIGINT) AS w, CAST(floor(t / 7200) AS BIGINT) * 7200e0 AS b, min_by(type, t) AS type FROM kp GROUP BY ALL),
+m AS (SELECT timeline_id, w, b AS z, type FROM x WHERE b > w * 86400 UNION ALL SELECT DISTINCT timeline_id, w, (w + 1) * 86400e0, 'End' FROM x)
+SELECT timeline_id, coalesce(lag(z) OVER (PARTITION BY timeline_id, w ORDER BY z), w * 86400e0) AS "start", z AS "end", type AS visual_type FROM m"""))
+def _(s, d):
+    w = F.floor(F.col("t") / 86400).cast("bigint")
+    b = F.struct((F.floor(F.col("t") / 7200) * 7200.0).alias("timestamp"), "type")
+    # boundaries in time order, several may fall on one two-hour mark
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("t", b.alias("b")))), lambda p: p["b"])
+    g = points(s, d).groupBy("timeline_id", w.alias("w")).agg(rows.alias("boundaries"))
+    return G.cuts_to_segments(g.select("timeline_id", (F.col("w") * 86400.0).alias("start_sec"), ((F.col("w") + 1) * 86400.0).alias("end_sec"), "boundaries"))
+
+
 @check("sample_frames", sql("shots", """x AS (SELECT timeline_id, ord, start_frame AS a, end_frame AS z, end_frame - start_frame + 1 AS n FROM shots), y AS (SELECT *, greatest(6, least(n, 128)) AS k FROM x)
 SELECT timeline_id, ord, CASE WHEN k >= n THEN a + j ELSE CAST(trunc(a + j * (n / k)) AS BIGINT) END AS sample FROM y, LATERAL (SELECT unnest(generate_series(0, CASE WHEN k >= n THEN n - 1 ELSE k - 1 END)) AS j)"""))
 def _(s, d):

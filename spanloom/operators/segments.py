@@ -389,6 +389,21 @@ def segments_to_cuts(windows: DataFrame, *, by="timeline_id", segments="segments
     return windows.select(*keys, start, F.explode(new).alias("_b")).select(*keys, start, "_b.*")
 
 
+def cuts_to_segments(windows: DataFrame, *, by="timeline_id", boundaries="boundaries", start="start_sec", end="end_sec") -> DataFrame:
+    """Segments between the absolute boundaries of a window; each takes the type of the boundary that ends it, the
+    last one is of type ``End``. Boundaries at or before the segment start are skipped."""
+    later = F.filter(boundaries, lambda b: b["timestamp"] > F.col(start))
+    placed = F.array_sort(F.transform(later, lambda b, i: F.struct(b["timestamp"].alias("x"), i.alias("i"), b["type"].alias("type"))))
+    w = windows.withColumn("_b", placed)
+    first = F.filter("_b", lambda b, i: (i == 0) | (b["x"] > F.get("_b", i - 1)["x"]))
+    w = w.withColumn("_b", first)
+    heads = F.concat(F.array(F.col(start)), F.transform("_b", lambda b: b["x"]))
+    tails = F.concat(F.transform("_b", lambda b: F.struct(b["x"].alias("x"), b["type"].alias("type"))), F.array(F.struct(F.col(end).alias("x"), F.lit("End").alias("type"))))
+    seg = F.zip_with(heads, tails, lambda a, z: F.struct(a.alias("a"), z["x"].alias("z"), z["type"].alias("type")))
+    return (w.select(*as_list(by), F.explode(seg).alias("_s")).filter(F.col("_s.z") > F.col("_s.a"))
+            .select(*as_list(by), F.col("_s.a").alias("start"), F.col("_s.z").alias("end"), F.col("_s.type").alias("visual_type")))
+
+
 def sample_frames(scenes: DataFrame, min_frames: int = 6, max_frames: int = 128, *,
                   cols=("start_frame", "end_frame")) -> DataFrame:
     """Evenly spaced frame numbers of a scene."""
