@@ -9,6 +9,7 @@ from checks.roles import SPAN, check, keypoints, points, sections, shots, sql
 from checks.scenes import ABSORB, _with_vectors
 from spanloom.operators import points as P
 from spanloom.plans import edit, footage, song
+from spanloom.session import materialize
 
 GAP, FILL, SPACE = 15_000.0, 60_000.0, 25_000.0
 
@@ -123,7 +124,7 @@ ce AS (SELECT shot_idx, sum((bx + bw / 2) * bw * bh) / sum(bw * bh) * (any_value
 def _(s, d):
     from spanloom.operators.ordered import scan
     out, _ = edit.edit_list(*_picks(s, d), bin_width=3600.0)
-    n = scan(out, t="section_idx", tie=["shot_idx", "pos"], cell=1, run={"place": ("sum", F.lit(1))})
+    n = scan(materialize(out), t="section_idx", tie=["shot_idx", "pos"], cell=1, run={"place": ("sum", F.lit(1))})
     return n.select("timeline_id", "section_idx", "shot_idx", "pos", "start", "end", "adjusted", "center_x", "center_y", "place")
 
 

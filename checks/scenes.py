@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.roles import check, keypoints, shots, sql, vectors
-from spanloom.functions.media import cosine
 from spanloom.operators import scenes as S
 
 # pictures and tag vectors come from the embeddings table: tag<n> is vector n

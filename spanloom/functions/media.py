@@ -107,12 +107,22 @@ def fit_resolution(height, width, factor: int = PICTURE_FACTOR, min_pixels: int
     return F.when(fits, F.struct(pick(h, h0).alias("height"), pick(w, w0).alias("width")))
 
 
+def _total(arr: Column) -> Column:
+    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def with_norm(v) -> Column:
+    """Vector and its length, so that comparing it many times costs one product each."""
+    x = _c(v)
+    return F.struct(x.alias("v"), F.sqrt(_total(F.transform(x, lambda p: p.cast("double") * p.cast("double")))).alias("n"))
+
+
+def cosine_normed(a: Column, b: Column) -> Column:
+    """Cosine of two :func:`with_norm` structs; 0 where a length is 0."""
+    dot = _total(F.zip_with(a["v"], b["v"], lambda p, q: p.cast("double") * q.cast("double")))
+    return F.coalesce(F.try_divide(dot, a["n"] * b["n"]), F.lit(0.0))
+
+
 def cosine(a, b) -> Column:
-    """Cosine of two numeric arrays; 0 where a norm is 0."""
-    def total(arr):
-        return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    x, y = _c(a), _c(b)
-    dot = total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
-    nx = F.sqrt(total(F.transform(x, lambda p: p.cast("double") * p.cast("double"))))
-    ny = F.sqrt(total(F.transform(y, lambda p: p.cast("double") * p.cast("double"))))
-    return F.coalesce(F.try_divide(dot, nx * ny), F.lit(0.0))
+    """Cosine of two numeric arrays; 0 where a length is 0."""
+    return cosine_normed(with_norm(a), with_norm(b))

@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_WHOLE = r"^\s*[+-]?\d+\s*$"
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def number(c) -> Column:
-    """Text to double; only plain decimal notation counts."""
-    col = _c(c)
-    return F.when(col.rlike(_NUMBER), F.trim(col).try_cast("double"))
+    """Text to double; only plain decimal notation counts. The cast alone would also take ``1.0f``, ``NaN`` and hex,
+    none of which ends in a digit or a dot without an ``x``."""
+    text = F.trim(_c(c))
+    last = F.right(text, F.lit(1))
+    return F.when((last.between("0", "9") | (last == ".")) & ~F.lower(text).contains("x"), text.try_cast("double"))
 
 
 def whole(c) -> Column:
-    col = _c(c)
-    return F.when(col.rlike(_WHOLE), F.trim(col).try_cast("bigint"))
+    """Text to integer; a fraction is null."""
+    return F.trim(_c(c)).try_cast("bigint")
 
 
 def timecode_to_seconds(c, fps: float = 2.0) -> Column:
     """``HH:MM:SS:FF`` (frames divided by ``fps``), ``HH:MM:SS(.s)``, ``MM:SS(.s)`` or plain seconds."""
-    text = F.trim(_c(c))
-    p = F.split(text, ":")
-
-    def at(i):
-        return F.get(p, F.lit(i))
-
-    n = F.size(p)
-    return (F.when(n == 4, whole(at(0)) * 3600 + whole(at(1)) * 60 + whole(at(2)) + whole(at(3)) / F.lit(float(fps)))
-            .when(n == 3, whole(at(0)) * 3600 + whole(at(1)) * 60 + number(at(2)))
-            .when(n == 2, whole(at(0)) * 60 + number(at(1)))
-            .when(n == 1, number(at(0))))
+    def value(p):
+        def at(i):
+            return F.get(p, F.lit(i))
+
+        n = F.size(p)
+        return (F.when(n == 3, whole(at(0)) * 3600 + whole(at(1)) * 60 + number(at(2)))
+                .when(n == 2, whole(at(0)) * 60 + number(at(1)))
+                .when(n == 4, whole(at(0)) * 3600 + whole(at(1)) * 60 + whole(at(2)) + whole(at(3)) / F.lit(float(fps)))
+                .when(n == 1, number(at(0))))
+
+    # the text is split once and the parts are bound, instead of splitting it for every part read
+    return F.get(F.transform(F.array(F.split(F.trim(_c(c)), ":")), value), F.lit(0))
 
 
 def srt_to_seconds(c) -> Column:

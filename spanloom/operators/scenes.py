@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.media import PLACE_SIMILARITY, TIME_SIMILARITY, cosine, soft_match
+from spanloom.functions.media import PLACE_SIMILARITY, TIME_SIMILARITY, cosine_normed, soft_match, with_norm
 from spanloom.operators.ordered import DAY, as_list, chain, scan
 
 ORD_CELL = 4096
@@ -32,30 +32,38 @@ def attach_tag_vectors(shots: DataFrame, tag_vectors: DataFrame, *, by="timeline
 def tagset_similarity(a, b) -> Column:
     """Mean of the two directed best-match means of two vector sets; empty or null is 0."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    return _tagset(F.transform(x, with_norm), F.transform(y, with_norm))
 
-    def directed(p, q):
-        best = F.transform(p, lambda u: F.array_max(F.transform(q, lambda v: cosine(u, v))))
-        return F.aggregate(best, F.lit(0.0), lambda acc, s: acc + s) / F.size(p)
 
-    full = (F.size(x) > 0) & (F.size(y) > 0)
-    return F.when(full, (directed(x, y) + directed(y, x)) / 2.0).otherwise(0.0)
+def _tagset(x: Column, y: Column) -> Column:
+    def mean(arr):
+        return F.aggregate(arr, F.lit(0.0), lambda acc, s: acc + s) / F.size(arr)
+
+    def both(m):
+        # rows are best matches of x, columns those of y
+        columns = F.transform(F.sequence(F.lit(0), F.size(y) - 1), lambda j: F.array_max(F.transform(m, lambda r: F.get(r, j))))
+        return (mean(F.transform(m, lambda r: F.array_max(r))) + mean(columns)) / 2.0
+
+    matrix = F.transform(x, lambda u: F.transform(y, lambda v: cosine_normed(u, v)))
+    once = F.get(F.transform(F.array(matrix), both), F.lit(0))       # the matrix is evaluated once and read twice
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), once).otherwise(0.0)
 
 
 def shot_similarity(a, b) -> Column:
-    """Similarity of two shot structs with fields place, time, tag_vectors, picture."""
+    """Similarity of two shot structs with fields place, time and, with their lengths, tag_vectors and picture."""
     def g(s, f):
         return s[f]
     return (F.lit(W_PLACE) * soft_match(g(a, "place"), g(b, "place"), PLACE_SIMILARITY)
             + F.lit(W_TIME) * soft_match(g(a, "time"), g(b, "time"), TIME_SIMILARITY)
-            + F.lit(W_TAGS) * tagset_similarity(g(a, "tag_vectors"), g(b, "tag_vectors"))
-            + F.lit(W_PICTURE) * F.greatest(F.lit(0.0), cosine(g(a, "picture"), g(b, "picture"))))
+            + F.lit(W_TAGS) * _tagset(g(a, "tag_vectors"), g(b, "tag_vectors"))
+            + F.lit(W_PICTURE) * F.greatest(F.lit(0.0), cosine_normed(g(a, "picture"), g(b, "picture"))))
 
 
 def adjacent_similarity(shots: DataFrame, *, by="timeline_id", ord="ord", place="place", time="time",
                         tag_vectors="tag_vectors", picture="picture", cell: float = ORD_CELL) -> DataFrame:
     """``sim_prev`` to the shot before, and ``sim_skip`` of the shots before and after each other."""
-    me = F.struct(F.col(place).alias("place"), F.col(time).alias("time"), F.col(tag_vectors).alias("tag_vectors"),
-                  F.col(picture).alias("picture"))
+    me = F.struct(F.col(place).alias("place"), F.col(time).alias("time"), F.transform(tag_vectors, with_norm).alias("tag_vectors"),
+                  with_norm(picture).alias("picture"))
     s = scan(shots.withColumn("_me", me), by=by, t=ord, cell=cell, prev={"_before": "_me"}, next={"_after": "_me"})
     return (s.withColumn("sim_prev", F.when(F.col("_before").isNotNull(), shot_similarity(F.col("_before"), F.col("_me"))))
             .withColumn("sim_skip", F.when(F.col("_before").isNotNull() & F.col("_after").isNotNull(),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,34 +54,36 @@ def _triads():
 def key_from_chroma(df: DataFrame, method: str = "ks", *, chroma="chroma") -> DataFrame:
     """``key`` and ``score``: the best of 24 templates by cosine (``ks``) or of 24 triads on a helix (``spiral``).
 
-    The templates are constants of the expression, so each row is decided on its own. A chroma without energy
+    Each row is decided on its own, so nothing is shuffled. A chroma without energy
     gets key "" and score 0. Scores equal to 9 decimals are a tie, which the first template wins: rotations of a
     symmetric chroma are equal but for rounding, and summation order must not decide the key.
     """
-    c = F.col(chroma)
-    total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    v = [F.get(c, F.lit(i)) / F.col("_sum") for i in range(12)]
-    if method == "spiral":
-        norm = F.sqrt(sum((x * x for x in v[1:]), v[0] * v[0])) + EPS
-        pos = _helix()
-        axes = [sum((v[i] / norm * pos[i][d] for i in range(1, 12)), v[0] / norm * pos[0][d]) for d in range(3)]
-        query, templates = axes, _triads()
-    elif method == "ks":
-        query, templates = v, _profiles()
-    else:
+    if method not in ("ks", "spiral"):
         raise ValueError(f"unknown method {method}")
-    out = df.withColumn("_sum", total).withColumn("_q", F.array(*query))
-    out = out.withColumn("_norm", F.sqrt(F.aggregate(F.col("_q"), F.lit(0.0), lambda a, x: a + x * x)) + EPS)
-    q = [F.get("_q", F.lit(d)) / F.col("_norm") for d in range(len(query))]
-    def entry(i, name, t):
-        dot = sum((q[d] * t[d] for d in range(1, len(t))), q[0] * t[0])
-        return F.struct(F.round(dot, 9).alias("r"), F.lit(-i).alias("i"), F.lit(name).alias("key"), dot.alias("score"))
-
-    scored = [entry(i, name, t) for i, (name, t) in enumerate(templates)]
-    best = F.array_max(F.array(*scored))
-    out = out.withColumn("_best", F.when(F.col("_sum") > 0, best))
-    return (out.withColumn("key", F.coalesce("_best.key", F.lit(""))).withColumn("score", F.coalesce("_best.score", F.lit(0.0)))
-            .drop("_sum", "_q", "_norm", "_best"))
+    spiral = method == "spiral"
+    templates = _triads() if spiral else _profiles()
+    names = np.array([name for name, _ in templates] + [""])
+    matrix = np.array([t for _, t in templates]).T
+    helix = np.array(_helix())
+
+    # 24 products of 12 terms per row: a matrix product over an Arrow batch, where unrolled expressions are too large
+    # to compile and nested array functions are interpreted term by term
+    @F.pandas_udf("key string, score double")
+    def best(column: pd.Series) -> pd.DataFrame:
+        known = column.notna().to_numpy()
+        v = np.zeros((len(column), 12))
+        if known.any():
+            v[known] = np.stack([np.asarray(x, dtype=float)[:12] for x in column[known]])
+        total = v.sum(axis=1)
+        q = v @ helix if spiral else v
+        length = np.linalg.norm(q, axis=1, keepdims=True)
+        scores = (q / np.maximum(length, EPS)) @ matrix
+        pick = np.where(total > 0, np.round(scores, 9).argmax(axis=1), len(templates))
+        score = np.where(total > 0, np.take_along_axis(scores, np.minimum(pick, len(templates) - 1)[:, None], 1)[:, 0], 0.0)
+        return pd.DataFrame({"key": names[pick], "score": score})
+
+    out = df.withColumn("_best", best(F.col(chroma).cast("array<double>")))
+    return out.withColumn("key", F.col("_best.key")).withColumn("score", F.col("_best.score")).drop("_best")
 
 
 def chroma_fold(bins: DataFrame, *, by="timeline_id", freq="freq", power="power") -> DataFrame:

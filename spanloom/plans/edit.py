@@ -9,6 +9,7 @@ from spanloom.functions.media import detection_size, scale_box
 from spanloom.functions.timecode import seconds_to_timecode, timecode_to_seconds
 from spanloom.operators.intervals import snap_clip_to_cut
 from spanloom.operators.selection import weighted_center
+from spanloom.session import materialize
 
 
 def edit_list(selections: DataFrame, clips: DataFrame, detections: DataFrame, cuts: DataFrame, *, by="timeline_id", tol: float = 0.5,
@@ -23,6 +24,8 @@ def edit_list(selections: DataFrame, clips: DataFrame, detections: DataFrame, cu
     good = selections.filter(F.col("status") == "success").select(*keys, width, height)
     rows = (clips.join(good, keys).withColumn("start", timecode_to_seconds("start")).withColumn("end", timecode_to_seconds("end"))
             .withColumn("clip_id", F.struct("section_idx", "shot_idx", "pos")))
+    # stored once parsed: the join with the cuts reads the times in several places
+    rows = materialize(rows)
     snapped = snap_clip_to_cut(rows, cuts, by=by, tol=tol, width=bin_width)
     found = detections.filter(F.coalesce("protagonist_detected", F.lit(False)) & F.col("bounding_box").isNotNull()).join(good, keys)
     dw, dh = detection_size(width, height, short_side)
