@@ -53,7 +53,7 @@ def op3(spark, sf_dir):
 
 
 def _matches_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
-    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], x -> len(x))) + coalesce(list_sum(list_transform(whole[1:i-1], x -> len(x))), 0) AS BIGINT) AS start, len(whole[i]) AS size
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, CAST(length(array_to_string(gaps[1:i], '')) + length(coalesce(array_to_string(whole[1:i-1], ''), '')) AS BIGINT) AS start, len(whole[i]) AS size
       FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS whole, regexp_extract_all(t, '{pattern}', {group}) AS part FROM d), unnest(range(1, len(whole) + 1)) AS r(i) WHERE len(part[i]) >= {least}"""
 
 
