@@ -127,3 +127,30 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | N
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema)
 
     return run
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fit: Column, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Text and label (0 or 1) of at most ``limit`` labelled rows for which ``fit`` (on column ``id``) holds.
+
+    The rows are those of smallest hash of the id, the same on every run. ``limit`` bounds what is broadcast and collected.
+    A null label counts as none; of repeated labels of one id the larger counts, of repeated documents one row.
+    """
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null")
+    known = known.filter(fit).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(limit)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.dropDuplicates(["id"]).select("id", "text", "label")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], doc_id: str, text: str) -> DataFrame:
+    """Columns ``id`` and ``score`` by a function of the text column; other columns are not read."""
+    kind = docs.schema[doc_id].dataType
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)).astype(np.float64))], names=["id", "score"])
+
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(by_batch(run), f"id {kind.simpleString()}, score double")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, exact_dedup, secret_ledger
-from spanloom.llm.common import table
+from spanloom.llm import bpe, decontaminate, exact_dedup, quality, secret_ledger, toxicity
+from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,22 @@ def op7(spark, sf_dir):
     base = F.filter("found", lambda f: f["rank"] < 3)
     return out.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"),
                       F.sha2(secret_ledger.joined(base).cast("binary"), 256).alias("base_sha256"), secret_ledger.joined(F.col("found")).alias("spans"))
+
+
+@query("op6_quality_gam")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.learnable())
+    return quality.score(docs, model).select("doc_id", (fold(F.col("doc_id"), quality.FOLDS) == quality.HELD).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op8_toxicity_fm")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.learnable())
+    return toxicity.score(docs, model).select("doc_id", (fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_bpe")
+def op10(spark, sf_dir):
+    return bpe.report(bpe.encode(table(spark, sf_dir, "documents"), bpe.share(spark)))
