@@ -2,7 +2,7 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where x_i is 1 if term i occurs. The factors v give a
 weight to every pair of terms, so a word may count only in company of another, which additive weights cannot say. Terms are
-words hashed to ``BUCKETS``; those whose occurrence depends on the label (chi-square over ``CHI``) get weights. Fitted by
+words and beginnings of words (``STEMS`` bytes), hashed to ``BUCKETS``; those whose occurrence depends on the label (chi-square over ``CHI``) get weights. Fitted by
 stochastic gradient steps in numpy on at most ``ROWS`` labelled rows; scoring is a map without shuffle.
 """
 
@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Words, by_batch, fold, labelled, scored, sigmoid, steps
+from spanloom.llm.common import BYTE_VALUES, Spans, Words, by_batch, fold, labelled, mix, scored, sigmoid, steps
 
 BUCKETS = 1 << 20
 ROWS = 20_000
+STEMS = (4, 6)
 CHI, LEAST = 15.0, 5
-RANK, EPOCHS, BATCH, RATE = 8, 30, 128, 0.02
+RANK, EPOCHS, BATCH, RATE = 8, 40, 128, 0.02
 SHRINK = 1e-4
 
 
@@ -28,7 +29,13 @@ def terms(texts: pa.Array, keep: np.ndarray | None = None):
     """For consecutive rows: first row, text of each distinct term, its bucket (or its place in the table ``keep``)."""
     for lo, hi, buf, offs in steps(texts):
         w = Words(buf, offs)
-        term, owner = (w.hash % np.uint64(BUCKETS)).astype(np.int64), w.owner()
+        byte = Spans(BYTE_VALUES[w.low])
+        hashes, owners, owner = [w.hash], [w.owner()], w.owner()
+        for size in STEMS:
+            long = np.flatnonzero(w.end - w.start > size)
+            hashes.append(mix(byte.hash(w.start[long], w.start[long] + size) + np.uint64(size)))
+            owners.append(owner[long])
+        term, owner = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
         if keep is not None:
             term = keep[term].astype(np.int64)
             owner, term = owner[term >= 0], term[term >= 0]
@@ -121,7 +128,7 @@ def train(keep: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, se
             sw, sv = sw / len(some) + SHRINK * m.weight, sv / len(some) + SHRINK * m.factor
             gw += sw * sw
             gv += sv * sv
-            m.weight -= 5 * RATE * sw / np.sqrt(gw)
+            m.weight -= 20 * RATE * sw / np.sqrt(gw)
             m.factor -= RATE * sv / np.sqrt(gv)
     return m
 
