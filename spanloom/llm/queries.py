@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, exact_dedup, langid, quality, secret_ledger, toxicity
+from spanloom.llm import bpe, decontaminate, exact_dedup, langid, near_dup, quality, secret_ledger, toxicity
 from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, langid.learnable())
     return langid.predict(docs, model).select("doc_id", (fold(F.col("doc_id"), langid.FOLDS) == langid.HELD).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op2_near_dup")
+def op2(spark, sf_dir):
+    return near_dup.classes(table(spark, sf_dir, "documents"))
