@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, exact_dedup, langid, near_dup, quality, secret_ledger, toxicity
+from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, toxicity
 from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op4(spark, sf_dir):
 @query("op2_near_dup")
 def op2(spark, sf_dir):
     return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_text")
+def op5(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
