@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import BYTE_VALUES, Spans, Words, by_batch, fold, labelled, mix, scored, sigmoid, steps
+from spanloom.session import materialize
 
 BUCKETS = 1 << 20
 ROWS = 20_000
@@ -77,28 +78,31 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", doc_id: s
         return out
 
     schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
-    sample = labelled(docs, labels, label, use, rows, doc_id, text).orderBy("id").mapInArrow(by_batch(extract, schema), "label int, terms array<int>").toPandas()
-    y = sample["label"].to_numpy(np.float64)
-    if not len(y):
+    sample = materialize(labelled(docs, labels, label, use, rows, doc_id, text).orderBy("id").mapInArrow(by_batch(extract, schema), "label int, terms array<int>"))
+    n, p = sample.agg(F.count("label"), F.sum("label")).first()
+    if not n:
         return Model(np.full(BUCKETS, -1, np.int32), 0.0, np.zeros(1), np.zeros((1, RANK)))
-    sizes = sample["terms"].map(len).to_numpy()
-    flat, row = np.concatenate([np.asarray(t, np.int64) for t in sample["terms"]]), np.repeat(np.arange(len(y)), sizes)
-    keep = choose(flat, y[row], y)
-    flat = keep[flat].astype(np.int64)
-    row, flat = row[flat >= 0], flat[flat >= 0]
-    return train(keep, row, flat, y)
-
-
-def choose(flat: np.ndarray, own: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Table bucket -> term: buckets whose presence and label depend on each other."""
-    n, p = len(y), y.sum()
-    df, pos = np.bincount(flat, minlength=BUCKETS).astype(float), np.bincount(flat, own, minlength=BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (pos * n - df * p) ** 2 / (df * (n - df) * p * (n - p))
-    good = np.flatnonzero((df >= LEAST) & (np.nan_to_num(chi, posinf=0) >= CHI))
+    good = [r["term"] for r in telling(sample, n, p or 0).collect()]
     keep = np.full(BUCKETS, -1, np.int32)
     keep[good] = np.arange(len(good))
-    return keep
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def pick(b: pa.RecordBatch) -> dict[str, list]:
+        ends, flat = b.column(1).offsets.to_numpy(), shared.value[b.column(1).values.to_numpy()]
+        return {"label": b.column(0), "terms": [x[x >= 0] for x in np.split(flat[ends[0] : ends[-1]], ends[1:-1] - ends[0])]}
+
+    got = sample.mapInArrow(by_batch(pick, schema), "label int, terms array<int>").toPandas()
+    sizes = got["terms"].map(len).to_numpy()
+    flat = np.concatenate([np.asarray(t, np.int64) for t in got["terms"]])
+    return train(keep, np.repeat(np.arange(len(got)), sizes), flat, got["label"].to_numpy(np.float64))
+
+
+def telling(sample: DataFrame, n: int, p: int) -> DataFrame:
+    """Terms whose presence and the label depend on each other; at most ``BUCKETS``. ``n`` rows, ``p`` of them with label 1."""
+    df, pos = F.col("df"), F.col("pos")
+    chi = n * (pos * n - df * p) ** 2 / (df * (n - df) * p * (n - p))
+    count = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("pos"))
+    return count.filter((df >= LEAST) & (df < n) & (chi >= CHI)).select("term").orderBy("term") if 0 < p < n else count.filter("false").select("term")
 
 
 def train(keep: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
