@@ -65,11 +65,11 @@ class Model:
         out = np.zeros(len(texts))
         for lo, hi, row, term in terms(texts, self.keep):
             out[lo:hi] = sigmoid(self.raw(row, term, hi - lo))
-        return out
+        return out if np.isfinite(self.bias) else np.zeros(len(texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: int = ROWS) -> Model:
-    """Model of the labels of rows for which ``use`` (on column ``id``) holds. Without labels every score is 0.5."""
+    """Model of the labels of rows for which ``use`` (on column ``id``) holds. Without labels nothing is known to be toxic and every score is 0."""
 
     def extract(b: pa.RecordBatch) -> dict[str, list]:
         out = {"label": b.column(2), "terms": []}
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", doc_id: s
     sample = materialize(labelled(docs, labels, label, use, rows, doc_id, text).orderBy("id").mapInArrow(by_batch(extract, schema), "label int, terms array<int>"))
     n, p = sample.agg(F.count("label"), F.sum("label")).first()
     if not n:
-        return Model(np.full(BUCKETS, -1, np.int32), 0.0, np.zeros(1), np.zeros((1, RANK)))
+        return Model(np.full(BUCKETS, -1, np.int32), -np.inf, np.zeros(1), np.zeros((1, RANK)))
     good = [r["term"] for r in telling(sample, n, p or 0).collect()]
     keep = np.full(BUCKETS, -1, np.int32)
     keep[good] = np.arange(len(good))
