@@ -145,6 +145,15 @@ def _(s, d):
     return footage.segment_scenes(_with_vectors(s, d), max_sec=0).select("timeline_id", "ord", "scene_id")
 
 
-@check("segment_scenes_split")
+def _scene_split_sql():
+    from checks.scenes import CUTS, SPLIT
+    split = SPLIT.replace("recursive:", "").replace("b0 AS (SELECT *, ord // 150 AS scene FROM shots)", "b0 AS (SELECT *, scene_id AS scene FROM ab)")
+    head, tail = split.rsplit("\nSELECT timeline_id, ord, scene AS scene_id,", 1)
+    absorbed = ABSORB.replace("ab AS (", "ab AS MATERIALIZED (")
+    return (f"recursive:{CUTS}, g0 AS (SELECT * FROM sc0){absorbed},\n{head},\np2 AS (SELECT timeline_id, ord, scene AS scene_id,{tail})\n"
+            "SELECT timeline_id, ord, dense_rank() OVER (PARTITION BY timeline_id ORDER BY scene_id, piece) - 1 AS scene_id FROM p2")
+
+
+@check("segment_scenes_split", sql("shots", _scene_split_sql()))
 def _(s, d):
     return footage.segment_scenes(_with_vectors(s, d)).select("timeline_id", "ord", "scene_id")
