@@ -9,6 +9,7 @@ block, the earlier one if two are as near, measured in blocks. Pages are indepen
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -47,7 +48,7 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"})
              "head": frozenset({"body"})}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*)>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -68,6 +69,7 @@ def blocks(html: str) -> list[Block]:
     """Blocks with text, in page order; character references decoded, white space made one space."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # open element, place inside it
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     in_link, place, at = False, "", 0
@@ -87,6 +89,7 @@ def blocks(html: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal place
+        opened.subtract(name for name, _ in stack[k:])
         del stack[k:]
         place = stack[-1][1] if stack else ""
 
@@ -107,10 +110,8 @@ def blocks(html: str) -> list[Block]:
         flush()
         in_link = False
         if m[2] or m[5]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         while stack and name in CLOSED_BY.get(stack[-1][0], ()):
             close(len(stack) - 1)
@@ -123,6 +124,7 @@ def blocks(html: str) -> list[Block]:
             elif name in ARTICLE:
                 inner = "article"
         stack.append((name, inner))
+        opened[name] += 1
         place = inner
     if at < len(html):
         add(html[at:])

@@ -1,3 +1,5 @@
+import pytest
+
 from spanloom.llm.html_text import extract, main_text
 
 LONG = "The cat and the dog went to the park with a ball that was in the shed of the house, and it is what it was for all of them."
@@ -29,6 +31,11 @@ def test_hard_pages():
     assert main_text("<article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("part", ["<", '<a href="x ', "<a title='", "<div>", "<script>", "<!--", "</div>", "<p "])
+def test_broken_markup_takes_linear_time(part):
+    main_text(part * 50_000)
+
+
 def test_table(spark):
     rows = [(1, "u", "<article><p>é x</p></article>", "c"), (2, None, None, "c"), (None, "v", "", None), (4, "w", "<article>same</article>", "c"), (4, "w", "<article>same</article>", "c")]
     out = extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, id string"))
