@@ -118,6 +118,21 @@ class Words:
         return np.repeat(self.bounds[:-1] - np.concatenate([[0], np.cumsum(has)[:-1]]), has) + np.arange(has.sum())
 
 
+#: Slots of ``sift``; they bound what it broadcasts.
+SLOTS = 1 << 20
+
+
+def sift(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose keys are not in ``wanted``, before a join shuffles them.
+
+    Keys are hashed to ``SLOTS``; the slots in use, never more, are broadcast. Rows of wanted keys always pass; a large
+    ``wanted`` fills the slots and lets all rows pass, so only the join itself decides.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    used = wanted.select(slot.alias("_llm_slot")).distinct()
+    return rows.withColumn("_llm_slot", slot).join(F.broadcast(used), "_llm_slot", "left_semi").drop("_llm_slot")
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema: pa.Schema | None = None):
     """An iterator function for mapInArrow from a function of one batch."""
 

@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of a node on their least neighbour; rounds grow with the logarithm of the longest path.
     Rounds are written to the shared folder, so a lost executor repeats one round at most. No node's edges meet in one task:
-    minima combine before the shuffle and skewed joins are split by Spark.
+    minima combine before the shuffle, and are stored before they are joined back, so that Spark splits skewed joins.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
@@ -23,8 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
         seen = mark
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), "m").union(least.select("u", "m")).filter("u <> m")
         now = materialize(small.select("u", F.col("m").alias("v")).distinct())

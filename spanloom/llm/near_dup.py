@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanloom.llm.common import Spans, Words, by_batch, mix, steps
+from spanloom.llm.common import Spans, Words, by_batch, mix, sift, steps
 from spanloom.llm.graphs import components
 from spanloom.session import materialize
 
@@ -189,7 +189,7 @@ def _large(sets: DataFrame, bands: DataFrame, similarity: float, group: int) ->
         own = own.join(sets.select("node", "n"), "node")
         open_ = (own.groupBy("key", "band").agg(F.sum("n").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
                  .select("key", "band", F.greatest(F.lit(1), F.ceil(2 * F.col("size") / group)).cast("int").alias("blocks")))
-        own = own.join(open_, ["key", "band"])
+        own = own.join(materialize(open_), ["key", "band"])
         block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         own = own.select("key", "band", "node", block.alias("block"), other)
@@ -212,13 +212,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     some = every.filter("n > 0")
     nodes = materialize(some.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands")))
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("key", "band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
-    stars = materialize(bands.join(shared, ["key", "band"]).select(F.col("node").alias("a"), F.col("hub").alias("b"), "key", "band"))
+    shared = materialize(bands.groupBy("key", "band").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("size")).filter("hub <> far"))
+    pair = shared.filter("size = 2").select(F.explode(F.array("hub", "far")).alias("a"), F.col("hub").alias("b"), "key", "band")
+    more = shared.filter("size > 2").select("key", "band", "hub")
+    more = sift(bands, more, "key", "band").join(more, ["key", "band"]).select(F.col("node").alias("a"), F.col("hub").alias("b"), "key", "band")
+    stars = materialize(pair.union(more))
     comps = components(stars.select("a", "b").filter("a <> b")).withColumnsRenamed({"root": "comp"})
     comps = materialize(comps.join(nodes.select("node", "id", "n"), "node"))
-    texts = comps.select("id", "comp", "node").join(rows, comps["id"].eqNullSafe(rows["id"])).select("comp", "node", "text")
+    some_rows = sift(rows, comps, "id")
+    texts = comps.select("id", "comp", "node").join(some_rows, comps["id"].eqNullSafe(some_rows["id"])).select("comp", "node", "text")
     sets = materialize(texts.mapInArrow(_sets(size), "comp binary, node binary, n int, keys binary"))
-    weight = comps.groupBy("comp").agg(F.sum("n").alias("weight"))
+    # what is joined back to hot keys is stored first: Spark splits a skewed join only if no aggregate shares its stage
+    weight = materialize(comps.groupBy("comp").agg(F.sum("n").alias("weight")))
     sized = sets.join(weight, "comp")
     links = materialize(_searched(sized.filter(F.col("weight") <= group).withColumn("group", F.col("comp")), similarity))
     large = materialize(sized.filter(F.col("weight") > group).select("node", "n", "keys").dropDuplicates(["node"]))
@@ -226,8 +231,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         more = _large(large, stars.select("key", "band", F.col("a").alias("node")).join(large.select("node"), "node", "left_semi"), similarity, group)
         links = links.union(more)
     roots = components(links)
-    named = nodes.select("node", "id", "copies").join(roots, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root"))
-    total = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = materialize(nodes.select("node", "id", "copies").join(roots, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root")))
+    total = materialize(named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
     of = named.select("node", "root").join(total, "root").select("node", "class_id", "class_size")
     alone = every.filter("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), "n")
     out = some.select("id", "node", "n").join(of, "node").select("id", "class_id", "class_size", "n").unionByName(alone)
