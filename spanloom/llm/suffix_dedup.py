@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BYTE_VALUES, Spans, U, by_batch, steps
+from spanloom.llm.common import BYTE_VALUES, Spans, U, by_batch, sift, steps
 from spanloom.session import materialize
 
 LENGTH, ANCHOR, LEAD = 400, 128, 8
 SHARD, CHUNK, HOT = 1 << 18, 1 << 21, 1 << 25
-#: Places of the filter that keeps texts without repeats out of a shuffle; bounds what is broadcast.
-SLOTS = 1 << 20
 _HIGH, _LOW = U(0xFFFFFFFF00000000), U(0xFFFFFFFF)
 
 
@@ -211,23 +209,21 @@ def _windows(length: int):
 
 
 def _texts(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """One row per distinct text among ``names``. A filter of bounded size keeps most other texts out of the shuffle."""
-    slot = F.pmod(F.xxhash64("name"), F.lit(SLOTS))
-    some = names.select(slot.alias("slot")).distinct()
-    near = rows.withColumn("slot", slot).join(F.broadcast(some), "slot", "left_semi")
-    return near.groupBy("name").agg(F.first("text").alias("text"))
+    """One row per distinct text among ``names``, and some others."""
+    return sift(rows, names, "name").groupBy("name").agg(F.first("text").alias("text"))
 
 
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Distinct runs of repeated windows: ``name`` of the text, ``lo`` and ``hi``, first and last start in bytes."""
     rows = docs.select(_name(F.col(text)).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = materialize(rows.mapInArrow(_runs(length, anchor), "name binary, key bigint, c1 bigint, c2 bigint, lo int, hi int"))
-    twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    # what is joined back to hot keys is stored first: Spark splits a skewed join only if no aggregate shares its stage
+    twice = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
     known = materialize(every.join(twice, "key", "left_semi"))
     run = known.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("name", "lo", "hi")).alias("at"))
     run = materialize(run)
     size = F.sum(F.col("at.hi") - F.col("at.lo") + length)
-    sharing = run.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), size.alias("size")).filter("kinds > 1").select("key", (F.col("size") > hot).alias("hot"))
+    sharing = materialize(run.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), size.alias("size")).filter("kinds > 1").select("key", (F.col("size") > hot).alias("hot")))
     whole = known.join(run.filter("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"], "left_semi").select("name", "lo", "hi").distinct()
     wanted = run.join(sharing, "key").select("at.name", F.struct("key", "at.lo", "at.hi", "n", "hot").alias("w")).groupBy("name").agg(F.collect_list("w").alias("wanted"))
     wanted = materialize(wanted)
@@ -238,7 +234,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, anchor: i
     busy = contexts.filter("hot")
     if not busy.isEmpty():
         windows = busy.select("name", "lo", "n", "context").mapInArrow(_windows(length), "h1 bigint, h2 bigint, name binary, start int, n bigint")
-        often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        often = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
         spans = spans.union(windows.filter("n = 1").join(often, ["h1", "h2"], "left_semi").select("name", F.col("start"), F.col("start")))
     return materialize(spans)
 
