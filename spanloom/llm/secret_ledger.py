@@ -105,7 +105,7 @@ def findings(ledger: DataFrame, paths: DataFrame, rules: tuple[Rule, ...] = RULE
     for w in wanted[1:]:
         current = current | w
     by_blob = (ledger.filter(current & (F.size("found") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")))
-    return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce("found", _none()).alias("found"))
+    return paths.join(materialize(by_blob), "blob", "left").select("path", "blob", F.coalesce("found", _none()).alias("found"))
 
 
 def joined(found: Column) -> Column:
