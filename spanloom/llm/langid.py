@@ -85,10 +85,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, use, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", rows: int = ROWS, total: int = TOTAL) -> Model:
     """Model of the languages of rows for which ``use`` (on column ``id``) holds; texts without letter and null languages teach nothing.
 
-    The rows are those of smallest hash of the id in each language. Of an empty table the model knows no language.
+    The rows are those of smallest hash of the id in each language. A language's count first gives a bound of the hash that
+    leaves about twice as many, so the ranked rows do not grow with the table. The counts are broadcast: there are as many as
+    the fitted model has languages, and it holds a value per bucket for each. Of an empty table the model knows no language.
     """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     known = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).filter("id is not null and lang is not null").filter(use)
+    bound = known.groupBy("lang").agg(F.greatest(F.lit(1.0), F.count(F.lit(1)) / F.lit(2.0 * rows)).alias("times"))
+    known = known.join(F.broadcast(bound), "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("times") < 1 << 30)
     chosen = known.withColumn("rank", rank).filter(F.col("rank") <= rows).orderBy("rank", "lang").limit(total).select("id", F.col("lang").alias("known"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("known")).join(F.broadcast(chosen), ["id", "known"])
 
