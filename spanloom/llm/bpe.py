@@ -203,17 +203,23 @@ class Codec:
         self.ranks, self.cut = ranks, regex.compile(pattern).findall
         self.whole = PerfectHash(list(ranks))
         self.slot_ids = [(ranks[k],) for k in self.whole.keys]
-        self.tokens = {i: k for k, i in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        tokens = [b""] * size
+        for k, i in ranks.items():
+            tokens[i] = k
+        self.raw, self.size = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.recent: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the end of each text in them."""
         cut = [self.cut(t) for t in texts]
         if len(self.recent) > CACHE:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
-        new = []
-        for t in set().union(*cut).difference(recent):
+        new, distinct = [], set().union(*cut)
+        for t in distinct.difference(recent):
             if (ids := older.get(t)) is None:
                 new.append(t)
             else:
@@ -230,11 +236,22 @@ class Codec:
         for size, some in by_size.items():
             for k, ids in zip(some, self.pairs.merge([raw[k] for k in some], size)):
                 recent[new[k]] = ids
-        get = recent.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cut]
+        rows, place = [recent[t] for t in distinct], dict(zip(distinct, range(len(distinct))))
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))
+        ends = np.cumsum([len(c) for c in cut])
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(ends[-1]))
+        return ids[_places((np.cumsum(size) - size)[at], size[at])], np.r_[0, np.cumsum(size[at])][ends]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids in a row, and the end of each text in them."""
+        size = self.size[ids]
+        return self.raw[_places(self.start[ids], size)], np.r_[0, np.cumsum(size)][ends]
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each stretch, one stretch after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 _CODECS: dict[int, Codec] = {}
@@ -290,12 +307,11 @@ def encode(docs: DataFrame, shared: _Shared, doc_id: str = "doc_id", text: str =
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in _groups(texts):
-                ids = codec.encode([t or "" for t in texts[lo:hi]])
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), column, pa.array([codec.decode(x) for x in ids], pa.binary())], schema=schema)
+                ids, ends = codec.encode([t or "" for t in texts[lo:hi]])
+                raw, stops = codec.decode(ids, ends)
+                column = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
+                decoded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.r_[0, stops].astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), column, decoded], schema=schema)
 
     out = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, ids array<int>, decoded binary")
     return out.withColumnRenamed("id", doc_id)
