@@ -36,6 +36,8 @@ al como con de del el ella en entre es esta este ha la las le lo los más me no
 #: Elements that never hold main text; their content is skipped as a whole.
 RAW = "script|style|noscript|template|textarea|svg|iframe|select|object|canvas|math|title"
 OUT = frozenset("head nav footer aside form menu dialog button fieldset".split())
+#: Of these, elements that may also wrap a whole page.
+WRAPS = frozenset("form dialog fieldset header".split())
 ARTICLE = frozenset("article main".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button""".split())
@@ -43,13 +45,19 @@ h5 h6 head header hr html legend li main menu nav ol p pre section summary table
 MARKS = frozenset("""ad ads adv advert advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist complementary consent
 contentinfo cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup
 promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget""".split())
+#: Marks that are not structural: their elements may hold main text. Advertisements are named by the whole name only.
+LOOSE = frozenset("banner banners disclaimer newsletter notice notices promo promotion related search share sharing social sponsor sponsored subscribe widget".split())
+ADS = frozenset("ad ads adv advert advertisement advertising".split())
+#: Words that turn a compound name into a state (has-sidebar, ad-free), or into the name of a layout (sidebar-layout).
+STATES = frozenset("closed disabled enabled free has hidden hide is less no non not open show with without".split())
+LAYOUTS = frozenset("content layout main page site wrap".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}),
              "head": frozenset({"body"})}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S | re.I)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,24 +69,59 @@ class Block:
     heading: bool
 
 
-def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()))
+@dataclass
+class Element:
+    name: str
+    parent: int  # place in the list of elements, parents first; -1 for none
+    mark: int
+    chars: int = 0  # outside links
+    dense: bool = False  # holds a long block of running text
+    holds: bool = False  # holds article or main elements
+    whole: bool = False  # holds a main element, or the article of most text
+
+
+def _mark(name: str) -> int:
+    """What a name says: 0 nothing, 1 perhaps not main text, 2 and 3 (the whole name) a part of the page beside it."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    marks = {w for i, w in enumerate(words) if w in MARKS and not (w == "widget" and i)}
+    if not marks or len(words) > 1 and not STATES.isdisjoint(words):
+        return 0
+    if len(words) == 1:
+        return 1 if marks <= LOOSE else 3
+    return 1 if marks <= LOOSE | ADS or not LAYOUTS.isdisjoint(words) else 2
+
+
+def _marked(attributes: str) -> int:
+    return max((_mark(w) for m in NAMED.finditer(attributes) for w in m[1].strip("\"'").lower().split()), default=0)
 
 
-def blocks(html: str) -> list[Block]:
+def _stops(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def blocks(html: str, trust: int = 0) -> list[Block]:
     """Blocks with text, in page order; character references decoded, white space made one space."""
-    out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open element, place inside it
+    found, elements = _parse(html)
+    return _placed(found, elements, trust)
+
+
+def _parse(html: str) -> tuple[list[tuple[Block, int]], list[Element]]:
+    """Blocks, each with the element it stands in, and all block elements."""
+    out: list[tuple[Block, int]] = []
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # open element, its place in the list
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    in_link, place, at = False, "", 0
+    in_link, at = False, 0
 
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(" ".join(unescape("".join(linked)).split())), place, bool(stack) and stack[-1][0] in HEADINGS))
+                links = len(" ".join(unescape("".join(linked)).split()))
+                out.append((Block(text, links, "", bool(stack) and stack[-1][0] in HEADINGS), stack[-1][1] if stack else -1))
             parts.clear()
             linked.clear()
 
@@ -88,10 +131,8 @@ def blocks(html: str) -> list[Block]:
             linked.append(text)
 
     def close(k: int) -> None:
-        nonlocal place
         opened.subtract(name for name, _ in stack[k:])
         del stack[k:]
-        place = stack[-1][1] if stack else ""
 
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -117,19 +158,47 @@ def blocks(html: str) -> list[Block]:
             close(len(stack) - 1)
         if name in VOID:
             continue
-        inner = place
-        if place != "out":
-            if name in OUT or name not in ("html", "body") and _marked(m[4] or m[7] or "") or name == "header" and place != "article":
-                inner = "out"
-            elif name in ARTICLE:
-                inner = "article"
-        stack.append((name, inner))
+        elements.append(Element(name, stack[-1][1] if stack else -1, 0 if name in ("html", "body") else _marked(m[4] or m[7] or "")))
+        stack.append((name, len(elements) - 1))
         opened[name] += 1
-        place = inner
     if at < len(html):
         add(html[at:])
     flush()
-    return out
+    for b, k in out:
+        if k >= 0:
+            elements[k].chars += len(b.text) - b.links
+            elements[k].dense |= len(b.text) >= LONG and b.links <= LINKS * len(b.text) and _stops(b.text) >= STOPS_HIGH
+    for e in reversed(elements):  # children before their parents
+        if e.parent >= 0:
+            up = elements[e.parent]
+            up.chars += e.chars
+            up.holds |= e.holds or e.name in ARTICLE
+            up.dense |= e.dense and e.mark < 2 and (e.name not in OUT or e.name in WRAPS)
+    largest = max((e for e in elements if e.name == "article" and e.mark < 2), key=lambda e: e.chars, default=None)
+    for e in reversed(elements):
+        e.whole |= e.name == "main" or e is largest
+        if e.whole and e.parent >= 0:
+            elements[e.parent].whole = True
+    return out, elements
+
+
+def _placed(found: list[tuple[Block, int]], elements: list[Element], trust: int) -> list[Block]:
+    """Blocks with their places. Of marks count all (``trust`` 0), those that are whole names (1), or none (2).
+
+    No mark counts on article and main, nor on what holds a main element or the largest article; a mark that is not structural
+    counts neither around any article, nor around a long block of running text. Elements of ``WRAPS`` are out on the same terms.
+    """
+    places: list[str] = []
+    for e in elements:
+        place = places[e.parent] if e.parent >= 0 else ""
+        if place != "out":
+            if e.name in ARTICLE:
+                place = "article"
+            elif e.name in OUT - WRAPS or not e.whole and (
+                    trust < 2 and (e.name in WRAPS and (e.name != "header" or place != "article") or e.mark == 3) or trust == 0 and (e.mark == 2 or e.mark == 1 and not e.holds and not e.dense)):
+                place = "out"
+        places.append(place)
+    return [Block(b.text, b.links, places[k] if k >= 0 else "", b.heading) for b, k in found]
 
 
 def first_pass(block: Block, has_article: bool) -> bool | None:
@@ -143,8 +212,7 @@ def first_pass(block: Block, has_article: bool) -> bool | None:
         return False
     if len(block.text) < SHORT:
         return None
-    words = WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stops = _stops(block.text)
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and len(block.text) >= LONG:
         return True
     return None if stops >= STOPS_LOW else False
@@ -165,11 +233,21 @@ def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    """Blocks of the main text, joined by an empty line; empty for null, for no text, and for no main text."""
-    found = blocks(html or "")
-    has_article = any(b.place == "article" for b in found)
-    labels = second_pass([first_pass(b, has_article) for b in found], [b.heading for b in found])
-    return "\n\n".join(b.text for b, good in zip(found, labels) if good)
+    """Blocks of the main text, joined by an empty line; empty for null, for no text, and for no main text.
+
+    If marks leave nothing, they are taken back, compound names first, where the first pass then finds main text.
+    """
+    parsed, elements = _parse(html or "")
+    for trust in (0, 1, 2):
+        found = _placed(parsed, elements, trust)
+        has_article = any(b.place == "article" for b in found)
+        first = [first_pass(b, has_article) for b in found]
+        if trust and True not in first:
+            continue
+        labels = second_pass(first, [b.heading for b in found])
+        if any(labels):
+            return "\n\n".join(b.text for b, good in zip(found, labels) if good)
+    return ""
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

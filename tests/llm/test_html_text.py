@@ -21,6 +21,21 @@ def test_page_without_article_element():
     assert main_text(html) == f"Title here\n\n{LONG}\n\nYes é <b> &\n\n{LONG}"
 
 
+@pytest.mark.parametrize("wrapper", ["main class='content has-sidebar'", "article class='post no-comments'", "div class='layout-with-sidebar'", "div class='ad-free'", "div class='sidebar-layout'",
+                                     "div class='elementor-widget elementor-widget-text-editor'", "div class=widget", "div class='share search notice'", "div class=sidebar", "div id=post-comments", "form"])
+def test_a_mark_is_no_verdict(wrapper):
+    text = f"{LONG} {LONG}"
+    html = page(f"<nav><a href=1>one</a></nav><{wrapper}><h2>Title here</h2><p>{text}<p>Yes.<p>{text}</{wrapper.split()[0]}><footer>{LONG}</footer>")
+    assert main_text(html) == f"Title here\n\n{text}\n\nYes.\n\n{text}"
+
+
+def test_marks_around_articles():
+    text = f"{LONG} {LONG}"
+    assert main_text(page(f"<div class=sidebar><div id=comments><article><p>{text}<p>Yes.</article></div></div>")) == f"{text}\n\nYes."
+    assert main_text(page(f"<article><p>{text} {text}</p><div id=comments><article class=comment><p>{text}</article></div></article>")) == f"{text} {text}"
+    assert main_text(page(f"<div><p>{text}</p></div><div class=sidebar><p>{text} no</p></div>")) == text
+
+
 def test_hard_pages():
     assert main_text(None) == main_text("") == main_text("   ") == main_text("<p></p>") == ""
     assert main_text("a < b &amp &#65;") == "a < b & A"
