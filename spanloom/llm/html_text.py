@@ -1,9 +1,11 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page is cut into blocks at block tags. First pass: a block is decided by where it stands (inside menus, forms, notices and
-the like: out; inside the article element: in, unless it is mostly links), and elsewhere by its share of links, its length
-and its share of stop words. Short blocks stay open. Second pass: an open block takes the label of the nearest decided
-block, the earlier one if two are as near, measured in blocks. Pages are independent: a map without shuffle.
+A page is cut into blocks at block tags. First pass: a block is decided by its share of links, its length and its share of
+stop words; short blocks stay open. Where it stands is one more feature: menus, forms, notices and the like are out; in an
+article element short text is in, and text of few stop words or many links stays open; outside of the page's articles only
+long running text is in. Articles count for nothing if they are cards, beside which the page has more running text. Second
+pass: an open block takes the label of the nearest decided block, the earlier one if two are as near, measured in blocks; in
+an article of the blocks of that article, outside of articles of the others. Pages are independent: a map without shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from spanloom.llm.common import by_batch
 #: Blocks of fewer characters are short; longer ones are decided by stop words.
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH, LINKS = 0.18, 0.28, 0.4
-#: Characters in links that make a block of the article with a large share of links a menu.
-MANY = 20
+#: Characters in links, and their share, that make a block of the article a link; it is in only between blocks that are in.
+MANY, PURE = 20, 0.9
 
 # Function words of English, German, French and Spanish.
 STOP_WORDS = frozenset("""
@@ -65,8 +67,9 @@ WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     links: int  # characters inside links
-    place: str  # "out", "article" or ""
+    place: str  # "out", "article", "main" (around an article) or ""
     heading: bool
+    article: int = -1  # the article it stands in
 
 
 @dataclass
@@ -78,6 +81,7 @@ class Element:
     dense: bool = False  # holds a long block of running text
     holds: bool = False  # holds article or main elements
     whole: bool = False  # holds a main element, or the article of most text
+    around: bool = False  # a main element, most of whose text is in one article
 
 
 def _mark(name: str) -> int:
@@ -179,6 +183,10 @@ def _parse(html: str) -> tuple[list[tuple[Block, int]], list[Element]]:
         e.whole |= e.name == "main" or e is largest
         if e.whole and e.parent >= 0:
             elements[e.parent].whole = True
+    up = largest.parent if largest else -1
+    while up >= 0:
+        elements[up].around = elements[up].name == "main" and 2 * largest.chars > elements[up].chars
+        up = elements[up].parent
     return out, elements
 
 
@@ -189,47 +197,96 @@ def _placed(found: list[tuple[Block, int]], elements: list[Element], trust: int)
     counts neither around any article, nor around a long block of running text. Elements of ``WRAPS`` are out on the same terms.
     """
     places: list[str] = []
-    for e in elements:
+    articles: list[int] = []
+    for k, e in enumerate(elements):
         place = places[e.parent] if e.parent >= 0 else ""
+        article = articles[e.parent] if e.parent >= 0 else -1
         if place != "out":
             if e.name in ARTICLE:
-                place = "article"
+                place = "main" if e.around and place != "article" else "article"
+                article = k if place == "article" else article
             elif e.name in OUT - WRAPS or not e.whole and (
                     trust < 2 and (e.name in WRAPS and (e.name != "header" or place != "article") or e.mark == 3) or trust == 0 and (e.mark == 2 or e.mark == 1 and not e.holds and not e.dense)):
                 place = "out"
         places.append(place)
-    return [Block(b.text, b.links, places[k] if k >= 0 else "", b.heading) for b, k in found]
+        articles.append(article)
+    return [Block(b.text, b.links, places[k] if k >= 0 else "", b.heading, articles[k] if k >= 0 else -1) for b, k in found]
 
 
-def first_pass(block: Block, has_article: bool) -> bool | None:
-    """In, out or open."""
-    links = block.links / max(1, len(block.text))
-    if block.place == "out" or has_article and block.place != "article":
-        return False
-    if block.place == "article":
-        return True if links <= LINKS else False if block.links >= MANY else None
-    if links > LINKS:
+def plain_pass(block: Block, stops: float) -> bool | None:
+    """In, out or open, by the text alone."""
+    if block.links > LINKS * len(block.text):
         return False
     if len(block.text) < SHORT:
         return None
-    stops = _stops(block.text)
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and len(block.text) >= LONG:
         return True
     return None if stops >= STOPS_LOW else False
 
 
-def second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
-    """Open blocks take the label of the nearest decided one, headings that of the next one. If all are open, all are in."""
+def first_pass(found: list[Block]) -> tuple[list[bool | None], bool]:
+    """Of each block in, out or open, and whether the articles of the page hold its main text."""
+    stops = [_stops(b.text) for b in found]
+    plain = [False if b.place == "out" else plain_pass(b, s) for b, s in zip(found, stops)]
+    chars: Counter[int] = Counter()  # of each article outside links
+    running: Counter[int] = Counter()  # its stop words, by characters
+    beside = 0
+    for b, s, good in zip(found, stops, plain):
+        if b.place == "article":
+            chars[b.article] += len(b.text) - b.links
+            running[b.article] += s * (len(b.text) - b.links)
+        elif good:
+            beside += len(b.text)
+    trusted = bool(chars) and sum(chars.values()) >= beside
+    labels: list[bool | None] = []
+    for b, s, good in zip(found, stops, plain):
+        if b.place == "article" and (trusted or chars[b.article] >= LONG):
+            known = running[b.article] >= STOPS_LOW * chars[b.article]  # its language has these stop words
+            labels.append(None if b.links > LINKS * len(b.text) or known and good is False else True)
+        elif b.place in ("article", "out", "main") or not trusted:
+            if b.place == "article":
+                b.place, b.article = "", -1
+            labels.append(good)
+        else:
+            labels.append(None if good and len(b.text) < LONG else good)
+    return labels, trusted
+
+
+def _nearest(labels: list[bool | None], seq: range, of: list[int]) -> list[tuple[int, bool]]:
+    """Distance and label of the nearest decided block of the same group, seen backwards along ``seq``; far if there is none."""
+    n = len(labels)
+    out, last = [(n + 1, False)] * n, {}
+    for i in seq:
+        if labels[i] is not None:
+            last[of[i]] = i
+        if of[i] in last:
+            out[i] = (abs(i - last[of[i]]), labels[last[of[i]]])
+    return out
+
+
+def second_pass(found: list[Block], labels: list[bool | None], trusted: bool) -> list[bool]:
+    """Open blocks take the label of the nearest decided one of their group, headings that of the next one.
+
+    Groups are the articles and what is outside of them; around an article, and on pages whose main text is not in articles,
+    the whole page. Without a decided block an article is in, and the rest of a page with articles out.
+    """
     n, far = len(labels), len(labels) + 1
-    if all(x is None for x in labels):
-        return [True] * n
-    before, after = [(far, False)] * n, [(far, False)] * n
-    for seq, near in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = (far, False)
-        for i in seq:
-            last = (0, labels[i]) if labels[i] is not None else (last[0] + 1, last[1])
-            near[i] = last
-    return [(a if b[0] > a[0] or h and a[0] < far else b)[1] for b, a, h in zip(before, after, headings)]
+    whole = [b.place == "main" or b.article < 0 and not trusted for b in found]
+    near = []
+    for of in ([b.article for b in found], [-2] * n):
+        near.append([_nearest(labels, seq, of) for seq in (range(n), range(n - 1, -1, -1))])
+    out = []
+    for i, (block, label) in enumerate(zip(found, labels)):
+        b, a = (x[i] for x in near[whole[i]])
+        if label is not None:
+            out.append(label)
+        elif block.article >= 0 and block.links >= max(MANY, PURE * len(block.text)):
+            out.append(b[1] and a[1])
+        elif b[0] == a[0] == far:
+            out.append(block.article >= 0 or whole[i])
+        else:
+            out.append((a if b[0] > a[0] or block.heading and a[0] < far else b)[1])
+    return out
 
 
 def main_text(html: str | None) -> str:
@@ -240,11 +297,10 @@ def main_text(html: str | None) -> str:
     parsed, elements = _parse(html or "")
     for trust in (0, 1, 2):
         found = _placed(parsed, elements, trust)
-        has_article = any(b.place == "article" for b in found)
-        first = [first_pass(b, has_article) for b in found]
+        first, trusted = first_pass(found)
         if trust and True not in first:
             continue
-        labels = second_pass(first, [b.heading for b in found])
+        labels = second_pass(found, first, trusted)
         if any(labels):
             return "\n\n".join(b.text for b, good in zip(found, labels) if good)
     return ""

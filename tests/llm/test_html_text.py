@@ -36,6 +36,20 @@ def test_marks_around_articles():
     assert main_text(page(f"<div><p>{text}</p></div><div class=sidebar><p>{text} no</p></div>")) == text
 
 
+def test_the_article_element_is_one_feature():
+    text, links = f"{LONG} {LONG}", "Log in | Sign up | Terms | 12 34 | Imprint | Careers | Press | Jobs | Map | RSS"
+    cards = "".join(f"<article><h3><a href={i}>Some other page to read next</a></h3><p>Teaser of it.</p></article>" for i in range(3))
+    assert main_text(page(f"<div><h1>Head</h1><p>{text}<p>{LONG}<p>{text}</div><p>{links}</p>{cards}")) == f"Head\n\n{text}\n\n{LONG}\n\n{text}"
+    assert main_text(page(f"<article><p>{text}<p>{text}</article><p>{links}</p><div><p>{text}<p>{LONG}<p>Of.</div>")) == "\n\n".join([text] * 3 + [LONG, "Of."])
+    assert main_text(page(f"<main><h1>Head</h1><article><p>{text}<p>Of.</article><div><p>{links}</p><p>Jobs</p></div></main>")) == f"Head\n\n{text}\n\nOf."
+    assert main_text(page(f"<article><p>{text}<p><a href=1>{LONG}</a><p>Of.<p>{links}<aside>{LONG}</aside></article>")) == f"{text}\n\n{LONG}\n\nOf.\n\n{links}"
+    assert main_text(page("<article><p>" + "kissa istuu matolla ja nukkuu " * 9 + "<p>" + "koira juoksee " * 9 + f"</article><footer>{LONG}</footer>")).count("koira") == 9
+
+
+def test_nested_main_and_article():
+    assert main_text("<main><main><p>one</p></main></main>") == main_text("<article><main>one") == main_text("<main><article>one") == "one"
+
+
 def test_hard_pages():
     assert main_text(None) == main_text("") == main_text("   ") == main_text("<p></p>") == ""
     assert main_text("a < b &amp &#65;") == "a < b & A"
