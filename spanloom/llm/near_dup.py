@@ -2,7 +2,10 @@
 
 A document is its set of word shingles, each weighted 1 + ln(count). ProbMinHash: every shingle is a Poisson process with its
 weight as rate, whose arrivals fall into random slots; a slot keeps its earliest arrival. A shingle stops as soon as its next
-arrival is later than all slots' earliest. Two slots agree with the probability Jaccard similarity of the weighted sets.
+arrival is later than all slots' earliest. Two slots agree with the probability Jaccard similarity of the weighted sets. That
+may be far below the Jaccard similarity of the plain sets, by which links are verified, where a shingle is repeated often. So
+every document has the bands of its plain set too, all weights 1, where both are equal: a pair of similarity s shares none of
+them with probability (1 - s ** ``DEPTH``) ** ``BANDS``, whatever its counts. Without repeated shingles both kinds are the same bands.
 
 Documents with the same shingle set are one node, so copies are never compared. Nodes that share a band become candidates;
 their components are only a superset, found on ids. Then the sets of candidates are read once and the components of links with
@@ -83,19 +86,29 @@ def _names(owner: np.ndarray, key: np.ndarray, n: int) -> list[bytes]:
     return [raw[16 * i : 16 * i + 16] for i in range(n)]
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """Key of each band of signatures; bands of one number and equal slots have one key."""
+    code = np.zeros((len(sig), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for d in range(DEPTH):
+        code = mix(code * _C1 + sig.reshape(-1, BANDS, DEPTH)[:, :, d])
+    return code.view(np.int64)
+
+
 def _sketch(type_: pa.DataType, size: int):
     def sketch(b: pa.RecordBatch) -> dict[str, list]:
         names, n_words, bands = [], [], []
         for lo, hi, buf, offs in steps(b.column(1)):
             n = hi - lo
             owner, key, count = shingles(buf, offs, size)
-            sig = signatures(owner, key, 1 + np.log(count), n).reshape(n, BANDS, DEPTH)
-            code = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for d in range(DEPTH):
-                code = mix(code * _C1 + sig[:, :, d])
             names += _names(owner, key, n)
             n_words += np.bincount(owner, minlength=n).tolist()
-            bands += list(code.view(np.int64))
+            own = list(_bands(signatures(owner, key, np.ones(len(key)), n)))
+            again = np.unique(owner[count > 1])  # texts that repeat a shingle
+            at = np.isin(owner, again)
+            more = _bands(signatures(np.searchsorted(again, owner[at]), key[at], 1 + np.log(count[at]), len(again)))
+            for i, other in zip(again.tolist(), more):
+                own[i] = np.concatenate([own[i], other])
+            bands += own
         return {"id": b.column(0), "node": names, "n": n_words, "bands": bands}
 
     return by_batch(sketch, pa.schema([("id", type_), ("node", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))]))
@@ -211,7 +224,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     every = materialize(rows.mapInArrow(_sketch(to_arrow_type(kind), size), f"id {kind.simpleString()}, node binary, n int, bands array<bigint>"))
     some = every.filter("n > 0")
     nodes = materialize(some.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("bands").alias("bands")))
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    # plain bands, and after them weighted ones that differ; members of a node share the plain ones
+    places = F.filter(F.sequence(F.lit(0), F.size("bands") - 1), lambda i: (i < BANDS) | (F.get("bands", i) != F.get("bands", F.pmod(i, F.lit(BANDS)))))
+    bands = nodes.select("node", F.inline(F.transform(places, lambda i: F.struct(F.pmod(i, F.lit(BANDS)).alias("band"), F.get("bands", i).alias("key")))))
     shared = materialize(bands.groupBy("key", "band").agg(F.min("node").alias("hub"), F.max("node").alias("far"), F.count(F.lit(1)).alias("size")).filter("hub <> far"))
     pair = shared.filter("size = 2").select(F.explode(F.array("hub", "far")).alias("a"), F.col("hub").alias("b"), "key", "band")
     more = shared.filter("size > 2").select("key", "band", "hub")

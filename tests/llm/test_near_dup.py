@@ -36,6 +36,20 @@ def test_large_components_are_searched_in_blocks(spark):
     assert {i: r.class_id for i, r in out.items()} == classes(dict(rows))
 
 
+def test_pairs_with_a_repeated_line_are_found(spark):
+    """A line repeated in one text of a pair leaves the plain sets as they are, but not the weighted ones."""
+    rng, rows = random.Random(9), []
+    for times in (20, 50, 378):
+        for _ in range(10):
+            base = prose(rng, 84, 100_000)  # 80 shingles
+            line = prose(rng, 16, 100_000)
+            rows += [base, base + f" {line}" * times]
+    rows = list(enumerate(rows, 1))
+    want = classes(dict(rows))
+    assert sum(want[i] < i for i, _ in rows) == 30
+    assert {i: r.class_id for i, r in got(near_dup.classes(docs(spark, rows))).items()} == want
+
+
 def test_keep_and_hard_rows(spark):
     rng = random.Random(1)
     base = prose(rng, 100)
