@@ -43,7 +43,7 @@ def merge_runs(rows: DataFrame) -> DataFrame:
         last //= FANOUT
         level = (level.withColumn("run", F.floor(F.col("run") / FANOUT).cast("int")).groupBy("run", *KEY)
                  .agg(F.min("best").alias("best"), F.sum("n").alias("n")))
-    return level.select(*KEY, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
+    return level.select(*KEY, F.col("best.id").alias("keep_id"), (-F.col("best.short")).alias("most"), F.col("n").alias("group_size"))
 
 
 def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,16 +61,17 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per group, all columns as they are.
 
-    Repeated rows of the id that stays are reduced to one row.
+    Repeated rows of the id that stays are reduced to one row, of those with the most characters.
     """
     rows = runs(docs, doc_id, text)
     won = merge_runs(rows).withColumn("id", F.col("keep_id"))
     same = rows.groupBy("id", *KEY).agg(F.count(F.lit(1)).alias("copies"))
     id_ok = F.col("_won.id").eqNullSafe(F.col(f"_docs.{doc_id}"))
     won = won.alias("a").join(same.alias("b"), (F.col("a.id").eqNullSafe(F.col("b.id"))) & (F.col("a.sha") == F.col("b.sha")) & (F.col("a.check") == F.col("b.check")) & (F.col("a.size") == F.col("b.size")))
-    won = materialize(won.select("a.id", "a.sha", "b.copies"))
+    won = materialize(won.select("a.id", "a.sha", "a.most", "b.copies"))
     sha = F.sha2(normalised(F.col(f"_docs.{text}")).cast("binary"), 256)
-    pick = lambda some: docs.alias("_docs").join(some.alias("_won"), id_ok & (F.col("_won.sha") == sha), "left_semi")
+    chars = F.length(F.coalesce(F.col(f"_docs.{text}"), F.lit("")))
+    pick = lambda some: docs.alias("_docs").join(some.alias("_won"), id_ok & (F.col("_won.sha") == sha) & (F.col("_won.most") == chars), "left_semi")
     single = pick(won.filter("copies = 1"))
     repeated = won.filter("copies > 1")
     if repeated.isEmpty():

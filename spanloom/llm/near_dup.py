@@ -219,6 +219,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     fewer words is one shingle. Null and empty texts, and texts without words, are a class of their own each. Repeated rows
     and equal sets are one class. Null ids lose against any id; a class of null ids alone has a null id. Other columns are not read.
     """
+    out = _classed(docs, doc_id, text, size, similarity, group)
+    return out.select(F.col("id").alias(doc_id), "class_id", "class_size", F.col("n").cast("bigint").alias("n_shingles"))
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, size: int = SHINGLE, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     every = materialize(rows.mapInArrow(_sketch(to_arrow_type(kind), size), f"id {kind.simpleString()}, node binary, n int, bands array<bigint>"))
@@ -249,16 +254,38 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     named = materialize(nodes.select("node", "id", "copies").join(roots, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root")))
     total = materialize(named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")))
     of = named.select("node", "root").join(total, "root").select("node", "class_id", "class_size")
-    alone = every.filter("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), "n")
-    out = some.select("id", "node", "n").join(of, "node").select("id", "class_id", "class_size", "n").unionByName(alone)
-    return out.select(F.col("id").alias(doc_id), "class_id", "class_size", F.col("n").cast("bigint").alias("n_shingles"))
+    alone = every.filter("n = 0").select("id", "node", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), "n")
+    return some.select("id", "node", "n").join(of, "node").select("id", "node", "class_id", "class_size", "n").unionByName(alone)
+
+
+def _name(size: int):
+    """Column function: the node of a text."""
+
+    @F.arrow_udf("binary")
+    def name(texts: pa.Array) -> pa.Array:
+        out = []
+        for lo, hi, buf, offs in steps(texts):
+            owner, key, _ = shingles(buf, offs, size)
+            out += _names(owner, key, hi - lo)
+        return pa.array(out, pa.binary())
+
+    return name
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of every class the row of its least id, all columns as they are.
 
-    Rows without id, and repeated rows of the id that stays, are kept: they carry no id to tell them apart.
+    Rows without id, and repeated rows of the id that stays, are kept: they carry no id to tell them apart. If an id has
+    different texts, each row goes or stays by the class of its own text.
     """
-    gone = classes(docs, doc_id, text, **options).filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_llm_id")).distinct()
-    gone = materialize(gone)
-    return docs.join(gone, docs[doc_id] == gone["_llm_id"], "left_anti")
+    of = _classed(docs, doc_id, text, **options).filter("id is not null").select("id", "node", (F.col("id") != F.col("class_id")).alias("goes"))
+    of = materialize(of.withColumnRenamed("id", "_llm_id"))
+    gone = materialize(of.groupBy("_llm_id").agg(F.max("goes").alias("some"), F.min("goes").alias("every")).filter("some"))
+    left = docs.join(gone, docs[doc_id] == gone["_llm_id"], "left_anti")
+    mixed = gone.filter("not every").select("_llm_id")
+    if mixed.isEmpty():
+        return left
+    goes = materialize(of.filter("goes").join(mixed, "_llm_id", "left_semi").select("_llm_id", "node").distinct())
+    tag = "_llm_node_of_row"
+    again = docs.join(mixed, docs[doc_id] == mixed["_llm_id"], "left_semi").withColumn(tag, _name(options.get("size", SHINGLE))(F.col(text)))
+    return left.unionByName(again.join(goes, (again[doc_id] == goes["_llm_id"]) & (again[tag] == goes["node"]), "left_anti").drop(tag))

@@ -42,6 +42,11 @@ def test_keep(spark):
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted([3, 6, 7, 8, 10, -1, 20, 21])
 
 
+def test_the_longest_row_of_a_repeated_id_stays(spark):
+    rows = [(i, "a b" + " " * (k * 7 % 10) + f"c{i}") for i in range(12) for k in range(10)]
+    assert {r.doc_id: r.text for r in exact_dedup.keep(docs(spark, rows)).collect()} == {i: f"a b{' ' * 9}c{i}" for i in range(12)}
+
+
 def test_empty_table(spark):
     empty = docs(spark, [])
     assert exact_dedup.mark(empty).count() == 0 and exact_dedup.keep(empty).count() == 0

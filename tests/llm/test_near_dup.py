@@ -61,6 +61,13 @@ def test_keep_and_hard_rows(spark):
     assert near_dup.classes(table).count() == len(rows)
 
 
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(2)
+    base, other = prose(rng, 100), prose(rng, 100)
+    left = near_dup.keep(docs(spark, [(3, base), (5, near(rng, base, 1)), (5, other), (5, None), (6, near(rng, base, 1))]))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [(3, base), (5, ""), (5, other)]
+
+
 def test_empty_table(spark):
     assert near_dup.classes(docs(spark, [])).count() == 0 and near_dup.keep(docs(spark, [])).count() == 0
 
