@@ -1,7 +1,7 @@
 """Exact deduplication by a tree merge of digest runs, in DataFrame expressions only.
 
 Every input partition is a run. A run is reduced to one row per digest; then runs exchange rows in rounds: ``FANOUT``
-neighbouring runs merge into one, and each merge keeps, per digest, the smallest identifier of the best rows and the
+neighbouring runs merge into one by a grouped aggregation (no run is sorted), and each merge keeps, per digest, the smallest identifier of the best rows and the
 number of rows. After the last round one row per digest is left in the whole table. A hot digest is reduced in its runs
 first, so no round sees more than ``FANOUT`` rows of it per merged run.
 
