@@ -30,6 +30,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each stretch of ``size`` numbers, one stretch after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, toxicity
+from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, token_align, toxicity
 from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     out = suffix_dedup.cut(table(spark, sf_dir, "documents"))
     return suffix_dedup.report(out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_token_align")
+def op11(spark, sf_dir):
+    return token_align.align(table(spark, sf_dir, "documents"))
