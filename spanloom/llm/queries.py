@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, token_align, toxicity
+from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, token_align, toxicity, vector_codes
 from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,28 @@ def op9(spark, sf_dir):
 @query("op11_token_align")
 def op11(spark, sf_dir):
     return token_align.align(table(spark, sf_dir, "documents"))
+
+
+def _lloyd_sql() -> str:
+    rounds = []
+    for r in range(vector_codes.ROUNDS + 1):
+        rounds.append(f"""d{r} AS MATERIALIZED (SELECT rid, p, k, sum((x - y) * (x - y)) AS d FROM c JOIN b{r} USING (p, j) GROUP BY ALL),
+     a{r} AS MATERIALIZED (SELECT rid, p, k, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY d, k) = 1)""")
+        if r < vector_codes.ROUNDS:
+            rounds.append(f"""m{r} AS MATERIALIZED (SELECT p, k, j, sum(x) AS s, count(*) AS n FROM a{r} JOIN c USING (rid, p) GROUP BY ALL),
+     b{r + 1} AS MATERIALIZED (SELECT p, k, j, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM b{r} LEFT JOIN m{r} USING (p, k, j))""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+       FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c AS MATERIALIZED (SELECT rid, i // (len(e) // 8) AS p, i % (len(e) // 8) AS j, CAST(e[i + 1] AS HUGEINT) AS x FROM v, unnest(range(len(e))) AS r(i)),
+     b0 AS MATERIALIZED (SELECT p, rid - 1 AS k, j, x AS y FROM c WHERE rid <= 16), {", ".join(rounds)},
+     own AS (SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} JOIN v USING (rid) GROUP BY rid, vec_id, label),
+     book AS (SELECT sha256(string_agg(y, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM own, book"""
+
+
+@query("op13_vector_codes", _lloyd_sql())
+def op13(spark, sf_dir):
+    coded, book = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(book)))
