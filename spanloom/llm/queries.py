@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontaminate, exact_dedup, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, token_align, toxicity, vector_codes
+from spanloom.llm import bpe, decontaminate, exact_dedup, fingerprints, html_text, langid, near_dup, quality, secret_ledger, suffix_dedup, token_align, toxicity, vector_codes
 from spanloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,8 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 def op13(spark, sf_dir):
     coded, book = vector_codes.encode(table(spark, sf_dir, "embeddings"))
     return coded.withColumn("codebooks_sha256", F.lit(vector_codes.digest(book)))
+
+
+@query("op12_fingerprints")
+def op12(spark, sf_dir):
+    return fingerprints.against_edited(table(spark, sf_dir, "documents"))
