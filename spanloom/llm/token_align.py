@@ -67,43 +67,57 @@ class Pair:
         decimal = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
         self.text_a = np.stack([decimal(len(self.bytes_a), e) for e in ",|"])
         self.text_b = np.stack([decimal(len(self.bytes_b), e) for e in (",", ";", "")])
+        self.blank = self.b.piece_to_id("▁")
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # of all pieces in a row
         self.sizes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.new: list[tuple] = []
         self.held = 0
 
-    def _encode(self, piece: str) -> int:
-        """Number of a piece of space + text that starts with a space or a line break; no ids if their bytes differ from it."""
-        raw, lead = piece.encode(), piece[0] == " "
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        b = self.b.encode(piece[lead:], num_threads=1)[not lead :] if piece != " " else [self.b.piece_to_id("▁")]  # B puts no space before nothing
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-        self.new.append((a, b) if same else ((), ()))
-        self.held += len(raw) * 16 + 256
-        return len(self.sizes[0]) + len(self.new) - 1
+    def _add(self, new: list[str]) -> None:
+        """Ids of pieces of space + text that start with a space or a line break; none where their bytes differ from the piece."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        ids_b = self.b.encode([p[p[0] == " " :] for p in new], num_threads=1)  # B adds a space, but not before nothing
+        ids_b = [[self.blank] if p == " " else b if p[0] == " " else b[1:] for p, b in zip(new, ids_b)]
+        raw = [p.encode() for p in new]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat, sizes = [], []
+        for ids, size in ((ids_a, self.size_a), (ids_b, self.size_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())))
+            sizes.append(n)
+            total = np.r_[0, np.cumsum(size[flat[-1]])]
+            ends = np.cumsum(n)
+            length = np.where(total[ends] - total[ends - n] == length, length, -1)
+        joined = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in zip((self.bytes_a, self.bytes_b), flat)]
+        if (length < 0).any() or any(j != b"".join(raw) for j in joined):  # some piece differs: look at each
+            good = [b"".join(map(self.bytes_a.__getitem__, a)) == r == b"".join(map(self.bytes_b.__getitem__, b)) for a, b, r in zip(ids_a, ids_b, raw)]
+            flat, sizes = [ids[np.repeat(good, n)] for ids, n in zip(flat, sizes)], [n * good for n in sizes]
+        self.ids = [np.concatenate(x) for x in zip(self.ids, flat)]
+        self.sizes = [np.concatenate(x) for x in zip(self.sizes, sizes)]
+        self.held += sum(map(len, new)) + 200 * len(new)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For A and B: ids of all texts in a row and the number of each text's ids; texts without tokens have none."""
         if self.held > MEMO:
             self.forget()
-        at, count = [], []
+        at, count, new, known, long = [], [], [], self.known, []
         for t in texts:
             pieces = (PIECE.findall(f" {t}") if self.free else [f" {t}"]) if t else []
             count.append(len(pieces))
             for p in pieces:
-                if (k := self.known.get(p)) is None:
-                    k = self._encode(p)
-                    if len(p) <= LONG:
-                        self.known[p] = k
+                if (k := known.get(p)) is None:
+                    k = known[p] = len(self.sizes[0]) + len(new)
+                    new.append(p)
+                    if len(p) > LONG:
+                        long.append(p)
                 at.append(k)
-        for k, new in enumerate(zip(*self.new)):
-            self.sizes[k] = np.r_[self.sizes[k], [len(x) for x in new]]
-            self.ids[k] = np.r_[self.ids[k], np.fromiter(chain.from_iterable(new), np.int64)]
-        self.new = []
+        if new:
+            self._add(new)
+        for p in long:
+            known.pop(p, None)
         at, owner, n = np.array(at, np.int64), np.repeat(np.arange(len(texts)), count), len(texts)
         good = np.bincount(owner[self.sizes[0][at] == 0], minlength=n) == 0  # a piece has tokens, unless their bytes differ
         at, owner = at[good[owner]], owner[good[owner]]
@@ -123,29 +137,32 @@ def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a):
         return cut
     cut[-1] = True
+    common = lambda at: b[np.searchsorted(b, a[at])] == a[at]
     lo, hi = np.array([0]), np.array([len(a) - 1])  # ends lo .. hi - 1 may be cuts
     lo, hi = lo[lo < hi], hi[lo < hi]
     while len(lo):
-        mid, found = (lo + hi) // 2, np.full(len(lo), -1)
-        still, near, far = np.arange(len(lo)), 0, 1
-        while len(still):  # ends at distance near .. far - 1 from the middle
+        found = (lo + hi) // 2
+        still = np.flatnonzero(~common(found))
+        mid, near = found.copy(), 1
+        found[still] = -1
+        while len(still):  # ends at distance near .. 2 near - 1 from the middle
             m, low, high = mid[still], lo[still], hi[still]
-            right, left = np.minimum(m + near, high), np.maximum(m - far + 1, low)
-            n_right, n_left = np.minimum(m + far, high) - right, np.maximum(m - max(near, 1) + 1 - left, 0)
-            at = np.concatenate([stretches(left, n_left), stretches(right, n_right)])
-            who = np.concatenate([np.repeat(still, n_left), np.repeat(still, n_right)])
-            hit = b[np.searchsorted(b, a[at])] == a[at]
-            at, who = at[hit], who[hit]
-            order = np.lexsort((at, np.abs(at - mid[who]), who))
-            at, who = at[order], who[order]
-            first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
-            found[who[first]] = at[first]
-            still = still[(found[still] < 0) & ((m + far < high) | (m - far >= low))]
-            near, far = far, 2 * far
+            right, left = np.minimum(m + near, high), np.maximum(m - 2 * near + 1, low)
+            n_right, n_left = np.minimum(m + 2 * near, high) - right, np.maximum(m - near + 1 - left, 0)
+            least = np.full(len(still), np.iinfo(np.int64).max)
+            for at, n in ((stretches(right, n_right), n_right), (stretches(left, n_left), n_left)):
+                who = np.repeat(np.arange(len(still)), n)
+                hit = common(at)
+                np.minimum.at(least, who[hit], 2 * np.abs(at[hit] - m[who[hit]]) + (at[hit] < m[who[hit]]))
+            got = least < np.iinfo(np.int64).max
+            far = least[got] >> 1
+            found[still[got]] = m[got] + np.where(least[got] & 1, -far, far)
+            near *= 2
+            still = still[~got & ((m + near < high) | (m - near >= low))]
         split = found >= 0
         lo, hi, found = lo[split], hi[split], found[split]
         cut[found] = True
-        lo, hi = np.concatenate([lo, found + 1]), np.concatenate([found, hi])
+        lo, hi = np.stack([lo, found + 1], 1).ravel(), np.stack([found, hi], 1).ravel()  # in order, which bisects faster
         lo, hi = lo[lo < hi], hi[lo < hi]
     return cut
 
