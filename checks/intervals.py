@@ -28,7 +28,7 @@ def _(s, d):
     a, b = _two(s, d)
     out = None
     for mode in ("closed", "half_open", "int_ceil"):
-        x = I.overlap_join(a, b, mode=mode, width=20_000.0).select(F.lit(mode).alias("mode"), "timeline_id", "a_id", "b_id")
+        x = I.overlap_join(a, b, mode=mode).select(F.lit(mode).alias("mode"), "timeline_id", "a_id", "b_id")
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -37,22 +37,22 @@ def _(s, d):
 UNION ALL SELECT 'left_semi', timeline_id, a_id, NULL FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.timeline_id = b.timeline_id AND a_start < b_end AND a_end > b_start)"""))
 def _(s, d):
     a, b = _two(s, d)
-    left = I.overlap_join(a, b, width=20_000.0, how="left", spread=3).select(F.lit("left").alias("how"), "timeline_id", "a_id", "b_id")
-    semi = I.overlap_join(a, b, width=20_000.0, how="left_semi").select(F.lit("left_semi").alias("how"), "timeline_id", "a_id", F.lit(None).cast("bigint").alias("b_id"))
+    left = I.overlap_join(a, b, how="left", spread=3).select(F.lit("left").alias("how"), "timeline_id", "a_id", "b_id")
+    semi = I.overlap_join(a, b, how="left_semi").select(F.lit("left_semi").alias("how"), "timeline_id", "a_id", F.lit(None).cast("bigint").alias("b_id"))
     return left.unionByName(semi)
 
 
 @check("point_in_interval", sql("spans", """SELECT kp.timeline_id, kp.id, s.id AS span_id FROM kp JOIN spans s ON kp.timeline_id = s.timeline_id AND t >= s."start" AND t < s."end" """))
 def _(s, d):
     x = spans(s, d).select("timeline_id", F.col("id").alias("span_id"), "start", "end")
-    return I.point_in_interval(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end"), width=20_000.0, spread=2).select("timeline_id", "id", "span_id")
+    return I.point_in_interval(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end"), spread=2).select("timeline_id", "id", "span_id")
 
 
 @check("gate_by_intervals", sql("spans", """sp AS (SELECT * FROM spans WHERE "end" - "start" > 60000)
 SELECT timeline_id, id FROM kp WHERE timeline_id NOT IN (SELECT timeline_id FROM sp) OR EXISTS (SELECT 1 FROM sp WHERE sp.timeline_id = kp.timeline_id AND kp.t >= sp."start" AND kp.t <= sp."end")"""))
 def _(s, d):
     x = spans(s, d).filter("end - start > 60000").select("timeline_id", "start", "end")
-    return I.gate_by_intervals(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end"), width=20_000.0).select("timeline_id", "id")
+    return I.gate_by_intervals(points(s, d).select("timeline_id", "id", "t"), x, cols=("start", "end")).select("timeline_id", "id")
 
 
 @check("dominant_label", sql("spans", """seg AS (SELECT * FROM spans), tr AS (SELECT * FROM spans),
@@ -64,7 +64,7 @@ def _(s, d):
     x = spans(s, d)
     seg = x.select("timeline_id", F.col("id").alias("seg_id"), "start", "end")
     turns = x.select("timeline_id", F.col("start").alias("turn_start"), F.col("end").alias("turn_end"), F.col("type").alias("speaker"), F.col("id").alias("turn_ord"))
-    return I.dominant_label(seg, turns, width=20_000.0).select("timeline_id", "seg_id", "speaker")
+    return I.dominant_label(seg, turns).select("timeline_id", "seg_id", "speaker")
 
 
 CLIPS = """clip AS (SELECT timeline_id, w AS clip_id, w * 40e0 AS clip_start, w * 40e0 + 30 AS clip_end FROM
@@ -81,7 +81,7 @@ def _clips(s, d):
  (SELECT clip.timeline_id, clip_id, nullif(trim(string_agg(text, ' ' ORDER BY "index")), '') AS x FROM clip JOIN cues ON clip.timeline_id = cues.timeline_id AND start_sec <= clip_end AND end_sec >= clip_start GROUP BY ALL) j
  ON j.timeline_id = c.timeline_id AND j.clip_id = c.clip_id"""))
 def _(s, d):
-    return I.attach_text(_clips(s, d), cues(s, d), width=30.0).select("timeline_id", "clip_id", "transcript")
+    return I.attach_text(_clips(s, d), cues(s, d)).select("timeline_id", "clip_id", "transcript")
 
 
 @check("attach_text_short", sql("cues", CLIPS + """, j AS (SELECT clip.timeline_id, clip_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY "index"), '\\s+', ' ', 'g')) AS x FROM clip JOIN cues
@@ -89,7 +89,7 @@ def _(s, d):
 SELECT c.timeline_id, c.clip_id, CASE WHEN x IS NULL THEN '' WHEN length(x) > 200 THEN regexp_replace(substr(x, 1, 200), ' [^ ]*$', '') || '…' ELSE x END AS transcript
 FROM clip c LEFT JOIN j ON j.timeline_id = c.timeline_id AND j.clip_id = c.clip_id"""))
 def _(s, d):
-    return I.attach_text(_clips(s, d), cues(s, d), mode="int_ceil", width=30.0, default="", max_chars=200).select("timeline_id", "clip_id", "transcript")
+    return I.attach_text(_clips(s, d), cues(s, d), mode="int_ceil", default="", max_chars=200).select("timeline_id", "clip_id", "transcript")
 
 
 @check("scene_dialogue", sql("cues", CLIPS + """ SELECT c.timeline_id, c.clip_id AS scene_id, coalesce(x, 'No dialogue.') AS dialogue FROM clip c LEFT JOIN
@@ -97,7 +97,7 @@ def _(s, d):
   ON clip.timeline_id = cues.timeline_id AND start_sec <= clip_end AND end_sec >= clip_start GROUP BY ALL) j ON j.timeline_id = c.timeline_id AND j.clip_id = c.clip_id"""))
 def _(s, d):
     sc = _clips(s, d).select("timeline_id", F.col("clip_id").alias("scene_id"), F.col("clip_start").alias("scene_start"), F.col("clip_end").alias("scene_end"))
-    return I.scene_dialogue(sc, cues(s, d), width=30.0).select("timeline_id", "scene_id", "dialogue")
+    return I.scene_dialogue(sc, cues(s, d)).select("timeline_id", "scene_id", "dialogue")
 
 
 @check("frames_in_clips", sql("det shots", """c AS (SELECT timeline_id, ord AS clip_id, start_frame, end_frame FROM shots), f AS (SELECT DISTINCT 'src' || (timeline_id % 20) AS timeline_id, frame_idx // 20 AS frame_idx FROM det)
@@ -117,7 +117,7 @@ def _(s, d):
     x = spans(s, d)
     p = x.filter("type = 'click'").select("timeline_id", F.col("id").alias("p_id"), "start", "end")
     u = x.filter("type <> 'click'").select("timeline_id", F.col("id").alias("u_id"), F.col("start").alias("used_start"), F.col("end").alias("used_end"))
-    return I.conflicts(p, u, width=20_000.0).select("timeline_id", "p_id", "u_id", "overlap_start", "overlap_end")
+    return I.conflicts(p, u).select("timeline_id", "p_id", "u_id", "overlap_start", "overlap_end")
 
 
 @check("clip_intervals", sql("spans", """SELECT timeline_id, id, greatest("start", 500000) - 500000 AS "start", least("end", 1500000) - 500000 AS "end" FROM spans WHERE "start" < 1500000 AND "end" > 500000"""))
@@ -139,7 +139,7 @@ SELECT timeline_id, c.id AS clip_id, coalesce(cut, "start") AS "start", CASE WHE
 def _(s, d):
     c = spans(s, d).select("timeline_id", F.col("id").alias("clip_id"), "start", "end")
     cuts = keypoints(s, d).select("timeline_id", F.col("t").alias("cut"))
-    return I.snap_clip_to_cut(c, cuts, tol=100.0, width=20_000.0).select("timeline_id", "clip_id", "start", "end", "adjusted")
+    return I.snap_clip_to_cut(c, cuts, tol=100.0).select("timeline_id", "clip_id", "start", "end", "adjusted")
 
 
 @check("nearest_boundary", sql("kp", """m AS (SELECT timeline_id, t AS mark FROM kp WHERE type = 'error'), p AS (SELECT timeline_id, id, t FROM kp WHERE type <> 'error'),

@@ -26,7 +26,7 @@ f2 AS (SELECT timeline_id, t, id, composite_score AS v, row_number() OVER (PARTI
 
 def _filtered(s, d):
     return song.filter_by_sections(points(s, d), sections(s, d), min_interval=GAP, max_segment=FILL, min_segment=SPACE, total=20, duration="duration",
-                                   weights=WEIGHTS, width=86_400.0)
+                                   weights=WEIGHTS)
 
 
 @check("filter_by_sections", sql("kp sec", "recursive:" + FILTERED + " SELECT timeline_id, t, id FROM spaced"))
@@ -44,7 +44,7 @@ SELECT mg.timeline_id, ord AS section_ord, row_number() OVER (PARTITION BY mg.ti
 FROM mg JOIN sec ON sec.timeline_id = mg.timeline_id AND s >= start_time AND s < end_time"""))
 def _(s, d):
     k = keypoints(s, d)
-    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), k, mode="by_start", min_len=30_000.0, width=86_400.0)
+    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), k, mode="by_start", min_len=30_000.0)
 
 
 # cut_at_sections: inside each section; every over-long piece is first cut at its strongest instants, what is still
@@ -83,7 +83,7 @@ def _cut_sql():
 @check("two_level_segments", sql("kp sec", _cut_sql()))
 def _(s, d):
     k = keypoints(s, d)
-    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), P.normalize_by_type(points(s, d)), min_len=20_000.0, max_len=60_000.0, width=50_000.0)
+    return song.two_level_segments(sections(s, d), k.filter("type = 'click'").select("timeline_id", "t"), P.normalize_by_type(points(s, d)), min_len=20_000.0, max_len=60_000.0)
 
 
 # ---------------------------------------------------------------- edit list
@@ -123,7 +123,7 @@ ce AS (SELECT shot_idx, sum((bx + bw / 2) * bw * bh) / sum(bw * bh) * (any_value
  row_number() OVER (PARTITION BY cl.timeline_id ORDER BY section_idx, cl.shot_idx, cl.pos) AS place FROM cl LEFT JOIN m ON m.shot_idx = cl.shot_idx AND m.pos = cl.pos LEFT JOIN ce ON ce.shot_idx = cl.shot_idx"""))
 def _(s, d):
     from spanloom.operators.ordered import scan
-    out, _ = edit.edit_list(*_picks(s, d), bin_width=3600.0)
+    out, _ = edit.edit_list(*_picks(s, d))
     n = scan(materialize(out), t="section_idx", tie=["shot_idx", "pos"], cell=1, run={"place": ("sum", F.lit(1))})
     return n.select("timeline_id", "section_idx", "shot_idx", "pos", "start", "end", "adjusted", "center_x", "center_y", "place")
 

@@ -186,13 +186,13 @@ def _scored(s, d):
 
 @check("allocate_slots", sql("kp sec", SCORED + ", " + ALLOC + " SELECT timeline_id, ord, points, slots FROM alloc"))
 def _(s, d):
-    return P.allocate_slots(points(s, d), sections(s, d), 20, width=86_400.0).select("timeline_id", "ord", "points", "slots")
+    return P.allocate_slots(points(s, d), sections(s, d), 20).select("timeline_id", "ord", "points", "slots")
 
 
 @check("topk_per_section", sql("kp sec", SCORED + ", " + ALLOC + " SELECT timeline_id, ord, section, id, t FROM best"))
 def _(s, d):
     x = _scored(s, d)
-    return P.topk_per_section(x, P.allocate_slots(x, sections(s, d), 20, width=86_400.0), width=86_400.0).select("timeline_id", "ord", "section", "id", "t")
+    return P.topk_per_section(x, P.allocate_slots(x, sections(s, d), 20)).select("timeline_id", "ord", "section", "id", "t")
 
 
 def fill_sql(kept: str, raw: str, gap: float) -> str:
@@ -210,7 +210,7 @@ added AS (SELECT timeline_id, p.t AS t, p.id AS id FROM pick WHERE p IS NOT NULL
                              + " SELECT timeline_id, t, id FROM added UNION ALL SELECT timeline_id, t, id FROM kp WHERE type IN ('click', 'error')"))
 def _(s, d):
     k = keypoints(s, d).select("timeline_id", "t", "id", "type")
-    return P.fill_long_gaps(k.filter("type in ('click', 'error')"), k, 30_000.0, width=86_400.0).select("timeline_id", "t", "id")
+    return P.fill_long_gaps(k.filter("type in ('click', 'error')"), k, 30_000.0).select("timeline_id", "t", "id")
 
 
 SIGNIFICANT = NORM + """, thr AS (SELECT timeline_id, quantile_cont(normalized_intensity, 0.3) AS q FROM norm GROUP BY 1), """

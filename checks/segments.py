@@ -70,7 +70,7 @@ UNION ALL SELECT timeline_id, a, b, b - a FROM (SELECT timeline_id, CASE WHEN i
   FROM lg ANTI JOIN cand USING (timeline_id, start_time), LATERAL (SELECT unnest(generate_series(0, need)) AS i)) WHERE b - a >= 20000"""))
 def _(s, d):
     seg = G.merge_short_back(_segments(s, d), 30_000.0)
-    return G.split_at_strongest(seg, P.normalize_by_type(points(s, d)), 20_000.0, 60_000.0, width=50_000.0)
+    return G.split_at_strongest(seg, P.normalize_by_type(points(s, d)), 20_000.0, 60_000.0)
 
 
 NEAR = """, lg AS (SELECT *, CAST(ceil(duration / 60000) AS INT) - 1 AS k FROM mg WHERE duration > 60000),
@@ -90,7 +90,7 @@ SELECT timeline_id, start_time, end_time, end_time - start_time AS duration FROM
 UNION ALL SELECT timeline_id, start_time, end_time, duration FROM mg WHERE duration <= 60000"""))
 def _(s, d):
     seg = G.merge_short_back(_segments(s, d), 30_000.0)
-    return G.split_near_midpoints(seg, P.normalize_by_type(points(s, d)), 60_000.0, 9_000.0, min_len=5_000.0, width=50_000.0)
+    return G.split_near_midpoints(seg, P.normalize_by_type(points(s, d)), 60_000.0, 9_000.0, min_len=5_000.0)
 
 
 SNAP = f"""recursive: {SCORED}, {ALLOC}, mk AS (SELECT timeline_id, list_sort(list_distinct(list_concat(list(t), [0e0, {SPAN}::DOUBLE]))) AS m FROM best GROUP BY 1),
@@ -105,8 +105,8 @@ SELECT timeline_id, secs[i].ord AS ord, s AS start_time, e AS end_time FROM wk W
 @check("snap_sections", sql("kp sec", SNAP))
 def _(s, d):
     scored = P.composite_score(P.normalize_by_type(points(s, d)), WEIGHTS)
-    slots = P.allocate_slots(scored, sections(s, d), 20, width=86_400.0)
-    kept = P.topk_per_section(scored, slots, width=86_400.0)
+    slots = P.allocate_slots(scored, sections(s, d), 20)
+    kept = P.topk_per_section(scored, slots)
     return G.snap_sections(sections(s, d), kept).select("timeline_id", "ord", "start_time", "end_time")
 
 
@@ -173,7 +173,7 @@ def _(s, d):
     from spanloom.operators.ordered import scan
     f = scan(points(s, d).select("timeline_id", "id", "t"), tie=["id"], run={"n": ("sum", F.lit(1))}).select("timeline_id", "t", (F.col("n") - 1).alias("frame_idx"))
     w, used = G.fixed_windows(f, 86_400, start=1000, source_fps=2, target_fps=1)
-    hit = frames_in_clips(used.select("timeline_id", "t"), w, frame="t", cols=("window_start", "window_end"), mode="closed", width=86_400.0)
+    hit = frames_in_clips(used.select("timeline_id", "t"), w, frame="t", cols=("window_start", "window_end"), mode="closed")
     n = hit.groupBy("timeline_id", "window_start").agg(F.count(F.lit(1)).alias("frames"))
     return w.join(n, ["timeline_id", "window_start"], "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
 

@@ -75,7 +75,7 @@ def _(s, d):
 SELECT timeline_id, ord, count(*) AS frame_count, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / count(*) > 0.5 AS detected, round_even(count(*) FILTER (hit) / count(*), 2) AS ratio, round_even(avg(z), 1) AS avg_box_size,
  CASE WHEN count(*) FILTER (hit) / count(*) >= 0.9 THEN 'highly_recommended' WHEN count(*) FILTER (hit) / count(*) >= 0.6 THEN 'recommended' ELSE 'low_presence' END AS tier FROM j GROUP BY ALL"""))
 def _(s, d):
-    return S.presence_by_segment(sections(s, d), detections(s, d), 0.6, seg_id="ord", cols=("start_time", "end_time"), width=86_400.0)
+    return S.presence_by_segment(sections(s, d), detections(s, d), 0.6, seg_id="ord", cols=("start_time", "end_time"))
 
 
 @check("presence_summary", sql("det", """SELECT timeline_id, clip_id, count(*) AS frames, count(*) FILTER (hit) AS hits, round_even(count(*) FILTER (hit) / count(*), 3) AS ratio FROM det GROUP BY ALL"""))

@@ -1,10 +1,11 @@
 """Joins between instants and intervals.
 
-An overlap predicate alone plans as a nested loop. Both sides are therefore keyed by
-``(timeline, bin)``: an interval appears in each bin it touches, an instant in one. A pair of intervals is
-emitted only in the bin of the later start, so no ``distinct`` is needed. ``width`` is the bin length; a
-good value is near the median interval length. ``spread`` splits every bin of the left side over that many
-keys (the right side is repeated), for bins that hold a large share of all rows.
+An overlap predicate alone plans as a nested loop. Intervals are therefore covered by nodes of a time tree whose node lengths are
+powers of 8: an interval takes the nodes of its own level, on which it touches nine at most however long it is. Instants, and
+intervals shorter than their partner, probe the node above them on every level that the other side uses (at most 26, asked for once
+per join in a scalar subquery). A pair of intervals meets on the level of the longer one, in the node of the later start, so the
+join is one equi-join on ``(timeline, level, node)`` without ``distinct``. ``spread`` splits every node of the left side over that many
+keys (the right side is repeated), for nodes that hold a large share of all rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.ordered import as_list, cell_of, scan
+from spanloom.operators.ordered import as_list, scan
+from spanloom.session import materialize
 
-BIN = "_bin"
+#: Levels of the tree: nodes of 8**LOWEST to 8**HIGHEST units of time.
+LOWEST, HIGHEST = -5, 20
+NODE = ["_level", "_node"]
 
 
 def _salted(left: DataFrame, right: DataFrame, spread: int):
@@ -27,20 +31,38 @@ def _salted(left: DataFrame, right: DataFrame, spread: int):
     return left, right, ["_salt"]
 
 
-def _binned(df: DataFrame, s: str, e: str, width: float) -> DataFrame:
-    first = cell_of(s, width)
-    return df.withColumn(BIN, F.explode(F.sequence(first, F.greatest(first, cell_of(e, width)))))
+def _level(s: str, e: str) -> Column:
+    """Level on which an interval touches nine nodes at most; ends that are not finite count as 2**62."""
+    length = F.least(F.col(e) - F.col(s), F.lit(2.0**62))
+    fit = F.ceil(F.log2(length) / 3).cast("int") - 1
+    return F.when(length > 0, F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), fit))).otherwise(LOWEST)
 
 
-def _matching(a: DataFrame, seen: DataFrame, how: str) -> DataFrame:
-    """Rows of ``a`` that do (``left_semi``) or do not (``left_anti``) occur in ``seen``."""
-    seen = seen.select(*[F.col(c).alias(f"_m_{c}") for c in a.columns])
-    return a.join(seen, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in a.columns], how)
+def _node(x: str | Column, level: str | Column) -> Column:
+    """Node of a time; times beyond 2**62 share the outermost nodes."""
+    at = F.greatest(F.lit(-(2.0**62)), F.least(F.col(x) if isinstance(x, str) else x, F.lit(2.0**62)))
+    return F.floor(at / F.pow(F.lit(8.0), level))
+
+
+def _levels(df: DataFrame, s: str, e: str) -> Column:
+    """Levels that the intervals of ``df`` use, as a scalar subquery."""
+    return df.select(_level(s, e).alias("_level")).agg(F.collect_set("_level")).scalar()
+
+
+def _covered(df: DataFrame, s: str, e: str, others: Column | None = None) -> DataFrame:
+    """One row per node on the interval's own level and, of ``others``, on all levels above it."""
+    own = F.array(F.col("_own"))
+    out = df.withColumn("_own", _level(s, e))
+    if others is not None:
+        out = out.withColumn("_others", others)
+        own = F.concat(own, F.filter("_others", lambda x: x > F.col("_own")))
+    out = out.withColumn("_level", F.explode(own)).drop("_others")
+    first = _node(s, "_level")
+    return out.withColumn("_node", F.explode(F.sequence(first, F.greatest(first, _node(e, "_level")))))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, *, by="timeline_id", a_cols=("a_start", "a_end"),
-                 b_cols=("b_start", "b_end"), mode: str = "half_open", width: float = 60.0,
-                 how: str = "inner", spread: int = 1) -> DataFrame:
+                 b_cols=("b_start", "b_end"), mode: str = "half_open", how: str = "inner", spread: int = 1) -> DataFrame:
     """Overlapping interval pairs. ``mode``:
 
     * ``closed``: ``a.s <= b.e and a.e >= b.s``
@@ -48,75 +70,79 @@ def overlap_join(a: DataFrame, b: DataFrame, *, by="timeline_id", a_cols=("a_sta
     * ``int_ceil``: ``a`` widened to whole seconds (floor start, ceil end, at least one second), ``b``
       truncated to whole seconds, then half-open
 
-    ``how`` is ``inner``, ``left`` or ``left_semi``. Column names of both sides must differ except ``by``.
+    ``how`` is ``inner``, ``left`` or ``left_semi``. Column names of both sides must differ except ``by``. Rows with a null
+    time have no partner.
     """
     keys = as_list(by)
     (s, e), (S, E) = a_cols, b_cols
-    if how == "left":
-        hit = overlap_join(a, b, by=keys, a_cols=a_cols, b_cols=b_cols, mode=mode, width=width, spread=spread)
-        bare = _matching(a, hit.select(*a.columns), "left_anti")
-        return hit.unionByName(bare, allowMissingColumns=True)
-    a2 = a.withColumn("_as", F.floor(s).cast("double") if mode == "int_ceil" else F.col(s).cast("double"))
+    if how == "left":     # both are stored: the rows to tell apart what has a partner, the pairs to join once
+        named = materialize(a.withColumn("_row", F.monotonically_increasing_id()))
+        hit = materialize(overlap_join(named, b, by=keys, a_cols=a_cols, b_cols=b_cols, mode=mode, spread=spread))
+        bare = named.join(hit.select("_row").distinct(), "_row", "left_anti")
+        return hit.unionByName(bare, allowMissingColumns=True).drop("_row")
+    a2 = a.withColumn("_row", F.monotonically_increasing_id()) if how == "left_semi" else a
+    a2 = a2.withColumn("_as", F.floor(s).cast("double") if mode == "int_ceil" else F.col(s).cast("double"))
     if mode == "int_ceil":
         a2 = a2.withColumn("_ae", F.greatest(F.ceil(e).cast("double"), F.col("_as") + 1))
         b2 = b.withColumn("_bs", F.floor(S).cast("double")).withColumn("_be", F.floor(E).cast("double"))
     else:
         a2 = a2.withColumn("_ae", F.col(e).cast("double"))
         b2 = b.withColumn("_bs", F.col(S).cast("double")).withColumn("_be", F.col(E).cast("double"))
-    a2 = _binned(a2, "_as", "_ae", width)
+    a3 = _covered(a2, "_as", "_ae", _levels(b2, "_bs", "_be"))
     # the right side is renamed, so that both sides may stem from one table
-    b2 = _binned(b2, "_bs", "_be", width)
-    a2, b2, salt = _salted(a2, b2, spread)
-    b2 = b2.select(*[F.col(c).alias(f"_r_{c}") for c in b2.columns if c not in ("_bs", "_be")], "_bs", "_be")
+    b3 = _covered(b2, "_bs", "_be", _levels(a2, "_as", "_ae"))
+    a3, b3, salt = _salted(a3, b3, spread)
+    b3 = b3.select(*[F.col(c).alias(f"_r_{c}") for c in b3.columns if c not in ("_bs", "_be")], "_bs", "_be")
     if mode == "closed":
         hit = (F.col("_as") <= F.col("_be")) & (F.col("_ae") >= F.col("_bs"))
     else:
         hit = (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
-    owner = F.col(BIN) == F.greatest(cell_of("_as", width), cell_of("_bs", width))
-    cond = [F.col(k) == F.col(f"_r_{k}") for k in (*keys, BIN, *salt)]
-    pairs = a2.join(b2, [*cond, hit, owner], "left_semi" if how == "left_semi" else "inner")
+    longer = F.col("_level") == F.greatest("_own", "_r__own")
+    owner = F.col("_node") == _node(F.greatest("_as", "_bs"), "_level")
+    cond = [F.col(k) == F.col(f"_r_{k}") for k in (*keys, *NODE, *salt)]
     if how == "left_semi":
-        return _matching(a, pairs.select(*a.columns), "left_semi")
+        return a3.join(b3, [*cond, hit, longer, owner], how).dropDuplicates(["_row"]).select(*a.columns)
+    pairs = a3.join(b3, [*cond, hit, longer, owner])
     return pairs.select(*a.columns, *[F.col(f"_r_{c}").alias(c) for c in b.columns if c not in keys])
 
 
 def point_in_interval(points: DataFrame, spans: DataFrame, *, by="timeline_id", t="t",
-                      cols=("start_time", "end_time"), mode: str = "half_open", width: float = 60.0,
-                      how: str = "inner", spread: int = 1) -> DataFrame:
+                      cols=("start_time", "end_time"), mode: str = "half_open", how: str = "inner", spread: int = 1) -> DataFrame:
     """Instants inside intervals; ``mode`` is ``half_open``, ``closed`` or ``open``.
 
-    ``how="left_semi"`` keeps each instant once if any interval holds it.
+    ``how="left_semi"`` keeps each instant once if any interval holds it. Rows with a null time have no partner.
     """
     keys = as_list(by)
     S, E = cols
-    p = points.withColumn(BIN, cell_of(t, width))
-    q = _binned(spans, S, E, width)
+    p = points.withColumn("_row", F.monotonically_increasing_id()) if how == "left_semi" else points
+    timed = spans.withColumn("_s", F.col(S).cast("double")).withColumn("_e", F.col(E).cast("double"))
+    p = p.withColumn("_level", F.explode(_levels(timed, "_s", "_e"))).withColumn("_node", _node(F.col(t).cast("double"), "_level"))
+    q = _covered(timed, "_s", "_e")
     p, q, salt = _salted(p, q, spread)
     q = q.select(*[F.col(c).alias(f"_r_{c}") for c in q.columns])
     lo, hi = F.col(f"_r_{S}"), F.col(f"_r_{E}")
     low = F.col(t) > lo if mode == "open" else F.col(t) >= lo
     high = F.col(t) <= hi if mode == "closed" else F.col(t) < hi
-    j = p.join(q, [*[F.col(k) == F.col(f"_r_{k}") for k in (*keys, BIN, *salt)], low, high], how)
-    if how == "left_semi":
-        return j.select(*points.columns)
+    j = p.join(q, [*[F.col(k) == F.col(f"_r_{k}") for k in (*keys, *NODE, *salt)], low, high], how)
+    if how == "left_semi":      # an instant may be held on several levels
+        return j.dropDuplicates(["_row"]).select(*points.columns)
     return j.select(*points.columns, *[F.col(f"_r_{c}").alias(c) for c in spans.columns if c not in keys])
 
 
 def gate_by_intervals(points: DataFrame, spans: DataFrame, *, by="timeline_id", t="t",
-                      cols=("start_time", "end_time"), width: float = 60.0) -> DataFrame:
+                      cols=("start_time", "end_time")) -> DataFrame:
     """Keep instants inside any interval (closed ends); timelines without intervals keep everything."""
-    inside = point_in_interval(points, spans, by=by, t=t, cols=cols, mode="closed", width=width, how="left_semi")
+    inside = point_in_interval(points, spans, by=by, t=t, cols=cols, mode="closed", how="left_semi")
     bare = points.join(spans.select(*as_list(by)).distinct(), as_list(by), "left_anti")
     return inside.unionByName(bare)
 
 
 def dominant_label(segments: DataFrame, turns: DataFrame, *, by="timeline_id", seg_id="seg_id",
-                   seg=("start", "end"), turn=("turn_start", "turn_end"), label="speaker", order="turn_ord",
-                   width: float = 60.0, default: str = "UNKNOWN") -> DataFrame:
+                   seg=("start", "end"), turn=("turn_start", "turn_end"), label="speaker", order="turn_ord", default: str = "UNKNOWN") -> DataFrame:
     """Label with the largest total overlap per segment; ties go to the label seen first."""
     keys = [*as_list(by), seg_id]
     pairs = overlap_join(segments.select(*keys, *seg), turns.select(*as_list(by), *turn, label, order), by=by,
-                         a_cols=seg, b_cols=turn, width=width)
+                         a_cols=seg, b_cols=turn)
     shared = F.least(seg[1], turn[1]) - F.greatest(seg[0], turn[0])
     per_label = pairs.groupBy(*keys, label).agg(F.sum(shared).alias("_o"), F.min(order).alias("_f"))
     best = per_label.groupBy(*keys).agg(
@@ -126,14 +152,14 @@ def dominant_label(segments: DataFrame, turns: DataFrame, *, by="timeline_id", s
 
 def attach_text(clips: DataFrame, cues: DataFrame, *, by="timeline_id", clip_id="clip_id",
                 clip=("clip_start", "clip_end"), cue=("start_sec", "end_sec"), order="index", text="text",
-                mode: str = "closed", width: float = 60.0, default: str = "No transcript.",
+                mode: str = "closed", default: str = "No transcript.",
                 name: str = "transcript", max_chars: int | None = None) -> DataFrame:
     """Ordered text of the cues overlapping each clip, joined by a space."""
     from spanloom.functions.text import squash_truncate
 
     keys = [*as_list(by), clip_id]
     pairs = overlap_join(clips.select(*keys, *clip), cues.select(*as_list(by), *cue, order, text), by=by,
-                         a_cols=clip, b_cols=cue, mode=mode, width=width)
+                         a_cols=clip, b_cols=cue, mode=mode)
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("x"))))
     joined = F.trim(F.array_join(F.transform(parts, lambda p: p["x"]), " "))
     per_clip = pairs.groupBy(*keys).agg(joined.alias("_txt"))
@@ -146,13 +172,12 @@ def attach_text(clips: DataFrame, cues: DataFrame, *, by="timeline_id", clip_id=
 
 def scene_dialogue(scenes: DataFrame, cues: DataFrame, *, by="timeline_id", scene_id="scene_id",
                    scene=("scene_start", "scene_end"), cue=("start_sec", "end_sec"), order="index",
-                   speaker="speaker", text="text", width: float = 60.0,
+                   speaker="speaker", text="text",
                    default: str = "No dialogue.") -> DataFrame:
     """``[Speaker]: "text"`` lines of the cues overlapping each scene; cues without text are left out."""
     keys = [*as_list(by), scene_id]
     said = cues.filter(F.length(text) > 0).select(*as_list(by), *cue, order, speaker, text)
-    pairs = overlap_join(scenes.select(*keys, *scene), said, by=by, a_cols=scene, b_cols=cue, mode="closed",
-                         width=width)
+    pairs = overlap_join(scenes.select(*keys, *scene), said, by=by, a_cols=scene, b_cols=cue, mode="closed")
     line = F.concat(F.lit("["), F.coalesce(F.col(speaker), F.lit("None")), F.lit(']: "'), F.col(text), F.lit('"'))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("x"))))
     per = pairs.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["x"]), "\n").alias("_d"))
@@ -160,15 +185,15 @@ def scene_dialogue(scenes: DataFrame, cues: DataFrame, *, by="timeline_id", scen
 
 
 def frames_in_clips(frames: DataFrame, clips: DataFrame, *, by="timeline_id", frame="frame_idx",
-                    cols=("start_frame", "end_frame"), mode: str = "half_open", width: float = 512) -> DataFrame:
+                    cols=("start_frame", "end_frame"), mode: str = "half_open") -> DataFrame:
     """Frames of each clip; half-open on frame numbers, closed on times in fixed windows."""
-    return point_in_interval(frames, clips, by=by, t=frame, cols=cols, mode=mode, width=width)
+    return point_in_interval(frames, clips, by=by, t=frame, cols=cols, mode=mode)
 
 
 def conflicts(proposals: DataFrame, used: DataFrame, *, by="timeline_id", proposal=("start", "end"),
-              taken=("used_start", "used_end"), width: float = 60.0) -> DataFrame:
+              taken=("used_start", "used_end")) -> DataFrame:
     """Each used range a proposal overlaps, with the shared part."""
-    return (overlap_join(proposals, used, by=by, a_cols=proposal, b_cols=taken, width=width)
+    return (overlap_join(proposals, used, by=by, a_cols=proposal, b_cols=taken)
             .withColumn("overlap_start", F.greatest(proposal[0], taken[0]))
             .withColumn("overlap_end", F.least(proposal[1], taken[1])))
 
@@ -199,13 +224,13 @@ def rebase(children: DataFrame, parents: DataFrame | None = None, *, on: Sequenc
 
 
 def snap_clip_to_cut(clips: DataFrame, cuts: DataFrame, *, by="timeline_id", clip_id="clip_id",
-                     cols=("start", "end"), cut="cut", tol: float = 0.5, width: float = 60.0) -> DataFrame:
+                     cols=("start", "end"), cut="cut", tol: float = 0.5) -> DataFrame:
     """A clip with a cut strictly inside (by ``tol``) starts at the first such cut and keeps its length."""
     keys = [*as_list(by), clip_id]
     S, E = cols
     inner = clips.select(*keys, (F.col(S) + tol).alias("_lo"), (F.col(E) - tol).alias("_hi")).filter("_hi > _lo")
     first = (point_in_interval(cuts.select(*as_list(by), cut), inner, by=by, t=cut, cols=("_lo", "_hi"),
-                               mode="open", width=width)
+                               mode="open")
              .groupBy(*keys).agg(F.min(cut).alias("_cut")))
     out = clips.join(first, keys, "left")
     return (out.withColumn("original_start", F.col(S)).withColumn("original_end", F.col(E))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import materialize
+
 DAY = 86_400.0
 CELL = "_cell"
 
@@ -211,21 +213,90 @@ def grouped_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return placed.mapInPandas(run, schema)
 
 
+def _enter(te: np.ndarray, top: np.ndarray, t0: np.ndarray, v0: np.ndarray, d: float, scored: bool) -> np.ndarray:
+    """First entry row for each arriving state: ``te - t0 >= d`` or, scored, a value above ``v0``; ``top`` are running maxima."""
+    at = np.searchsorted(te, t0 + d, side="left")
+    n = len(te)
+    while True:     # guard against rounding: the rule is te - t0 >= d
+        back = (at > 0) & (te[np.maximum(at - 1, 0)] - t0 >= d)
+        on = (at < n) & (te[np.minimum(at, n - 1)] - t0 < d)
+        if not (back.any() or on.any()):
+            break
+        at = at - back + on
+    return np.minimum(at, np.searchsorted(top, v0, side="right")) if scored else at
+
+
+def _merged(te, ve, tx, vx) -> tuple[np.ndarray, ...]:
+    """Neighbouring entries that leave in one state as one entry."""
+    head = np.flatnonzero(np.r_[True, (tx[1:] != tx[:-1]) | (vx[1:] != vx[:-1])])
+    last = np.r_[head[1:], len(te)] - 1
+    return te[last], np.maximum.reduceat(ve, head), tx[head], vx[head]
+
+
+_TABLE = "_i bigint, _te double, _ve double, _tx double, _vx double, _d double, _o double"
+_ENTRY = ["_te", "_ve", "_tx", "_vx"]
+
+
+def _join_tables(keys: list[str], scored: bool):
+    """Tables of neighbouring cells composed into the table of their stretch; composition is associative."""
+
+    def run(pdf, b):
+        out = []
+        cell = pdf["_at"].to_numpy()
+        cols = [pdf[c].to_numpy() for c in _ENTRY]
+        for a, z in zip(b[:-1], b[1:]):
+            d, begin = pdf["_d"].iat[a], cols[0][a]
+            cuts = a + np.flatnonzero(np.r_[True, cell[a + 1:z] != cell[a:z - 1], True])
+            te, ve, state_t, state_v, of = (np.zeros(0) for _ in range(5))      # entries so far; states they lead to; state of each entry
+            of = of.astype(np.int64)
+            open_ = True        # may an arriving state pass all entries so far
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                own_te, own_ve, own_tx, own_vx = (c[lo:hi] for c in cols)
+                if len(state_t):
+                    r = _enter(own_te, np.maximum.accumulate(own_ve), state_t, state_v, d, scored)
+                    hit = r < len(own_te)
+                    state_t, state_v = state_t.copy(), state_v.copy()
+                    state_t[hit], state_v[hit] = own_tx[r[hit]], own_vx[r[hit]]
+                if open_:
+                    far = np.flatnonzero(own_te - begin >= d)
+                    n = far[0] + 1 if len(far) else len(own_te)
+                    of = np.concatenate([of, len(state_t) + np.arange(n)])
+                    te, ve = np.concatenate([te, own_te[:n]]), np.concatenate([ve, own_ve[:n]])
+                    state_t, state_v = np.concatenate([state_t, own_tx[:n]]), np.concatenate([state_v, own_vx[:n]])
+                    open_ = not len(far)
+                # states that have met go on as one; a chain point is a row, so its time names it
+                state_t, first, back = np.unique(state_t, return_index=True, return_inverse=True)
+                state_v, of = state_v[first], back[of]
+            entries = _merged(te, ve, state_t[of], state_v[of])
+            part = pd.DataFrame(dict(zip(_ENTRY, entries)))
+            for k in (*keys, CELL, "_d", "_o"):
+                part[k] = pdf[k].iat[a]
+            part["_i"] = np.arange(len(part))
+            out.append(part)
+        return pd.concat(out, ignore_index=True)[[*keys, CELL, "_i", *_ENTRY, "_d", "_o"]]
+
+    return run
+
+
 def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | None = None,
-          origin: str | None = None, cell: float = DAY) -> DataFrame:
+          origin: str | None = None, cell: float = DAY, fan: int = 64) -> DataFrame:
     """Follow a sequential chain along each timeline without putting a timeline in one task.
 
     From chain point ``p`` the next chain point is the first later row whose ``t`` is at least
     ``dist`` after ``p`` or, with ``score``, whose score exceeds that of ``p``. The chain starts at
     the first row, or, with ``origin``, from a virtual point at that time. ``t`` must be distinct
-    within a timeline.
-
-    Each cell is summarised as a short table "arriving state -> leaving state"; the tables are composed
-    per timeline; a last pass marks the rows. Adds ``hit`` (row is a chain point), ``at`` (time of the
-    latest chain point at or before the row, null before the first).
+    within a timeline, ``dist`` the same on all its rows.
+
+    A parallel prefix over transition functions. Each cell, at least sixteen times ``dist`` long, is summarised as a table
+    "arriving state -> leaving state"; its entries lie in the first ``dist`` of the cell, and those that lead to one
+    state are merged. Tables of ``fan`` neighbouring cells are composed into one, again and again until a timeline has
+    at most ``fan``; from there the arriving states are handed down level by level, and a last pass marks the rows. A task
+    holds one cell or ``fan`` tables. Adds ``hit`` (row is a chain point), ``at`` (time of the latest chain point at or
+    before the row, null before the first).
     """
     keys = as_list(by)
-    base = df.withColumn(CELL, cell_of(t, cell))
+    length = F.greatest(F.lit(float(cell)), F.lit(16.0) * F.col(dist).cast("double"))
+    base = df.withColumn(CELL, F.floor(F.col(t) / length))
     dt = dict(df.dtypes)
     key_schema = ", ".join(f"`{k}` {dt[k]}" for k in keys)
     slim = base.select(*keys, CELL, F.col(t).alias("_t"), F.col(dist).cast("double").alias("_d"),
@@ -254,8 +325,7 @@ def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | Non
         return nxt
 
     def summarise(pdf, b):
-        rows = []
-        ks = [pdf[k].to_numpy() for k in (*keys, CELL)]
+        out = []
         T, V, D, O = (pdf[c].to_numpy() for c in ("_t", "_v", "_d", "_o"))
         for a, z in zip(b[:-1], b[1:]):
             ts, vs, d = T[a:z], V[a:z], D[a]
@@ -265,33 +335,28 @@ def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | Non
             for i in range(n - 1, -1, -1):
                 if nxt[i] < n:
                     leave[i] = leave[nxt[i]]
-            key = [k[a] for k in ks]
             # the arriving state is at or before the cell, so the entry is within the first d (or just past it)
-            last = int(np.searchsorted(ts, ts[0] + d, side="left"))
-            last = min(last + 1, n - 1)
-            i = 0
-            while i <= last:
-                j = i
-                while j < last and leave[j + 1] == leave[i]:
-                    j += 1
-                # entry rows i..j all leave the cell in the same state
-                rows.append((*key, i, ts[j], vs[i:j + 1].max(), ts[leave[i]], vs[leave[i]], d, O[a]))
-                i = j + 1
-        return pd.DataFrame(rows, columns=[*keys, CELL, "_i", "_te", "_ve", "_tx", "_vx", "_d", "_o"])
-
-    table = grouped_stream(slim, [*keys, CELL], ["_t"], summarise,
-                           f"{key_schema}, {CELL} bigint, _i bigint, _te double, _ve double, _tx double, "
-                           "_vx double, _d double, _o double")
+            last = min(int(np.searchsorted(ts, ts[0] + d, side="left")) + 1, n - 1) + 1
+            entries = _merged(ts[:last], vs[:last], ts[leave[:last]], vs[leave[:last]])
+            part = pd.DataFrame(dict(zip(_ENTRY, entries)))
+            for k in (*keys, CELL):
+                part[k] = pdf[k].iat[a]
+            part["_i"], part["_d"], part["_o"] = np.arange(len(part)), d, O[a]
+            out.append(part)
+        return pd.concat(out, ignore_index=True)[[*keys, CELL, "_i", *_ENTRY, "_d", "_o"]]
+
+    table_schema = f"{key_schema}, {CELL} bigint, {_TABLE}"
+    table = grouped_stream(slim, [*keys, CELL], ["_t"], summarise, table_schema)
 
     def compose(pdf, b):
+        """Arriving state of each cell, from the state (``_t0``, ``_v0``) ahead of the first; none where that is null."""
         out = []
         ks = [pdf[k].to_numpy() for k in keys]
-        C, I, TE, VE, TX, VX, D, O = (pdf[c].to_numpy() for c in
-                                      (CELL, "_i", "_te", "_ve", "_tx", "_vx", "_d", "_o"))
+        C, TE, VE, TX, VX, D, T0, V0 = (pdf[c].to_numpy() for c in (CELL, *_ENTRY, "_d", "_t0", "_v0"))
         for a, z in zip(b[:-1], b[1:]):
             key = [k[a] for k in ks]
-            has = origin is not None
-            t0, v0 = (O[a], np.inf) if has else (np.nan, np.nan)
+            t0, v0 = T0[a], V0[a]
+            has = not np.isnan(t0)
             i = a
             while i < z:
                 out.append((*key, C[i], t0, v0))
@@ -305,8 +370,21 @@ def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | Non
                 i = j
         return pd.DataFrame(out, columns=[*keys, CELL, "_t0", "_v0"])
 
-    arrive = grouped_stream(table, keys, [CELL, "_i"], compose,
-                            f"{key_schema}, {CELL} bigint, _t0 double, _v0 double")
+    arrive_schema = f"{key_schema}, {CELL} bigint, _t0 double, _v0 double"
+    tables = [table]
+    fan = max(fan, 2)
+    cells = slim.groupBy(*keys).agg((F.max(CELL) - F.min(CELL) + 1).alias("n")).agg(F.max("n")).first()[0] or 1
+    while cells > fan:      # every level is read on the way up and on the way down
+        tables[-1] = materialize(tables[-1])
+        up = tables[-1].withColumn("_at", F.col(CELL)).withColumn(CELL, F.floor(F.col(CELL) / fan))
+        tables.append(grouped_stream(up, [*keys, CELL], ["_at", "_i"], _join_tables(keys, scored), table_schema))
+        cells = (cells + fan - 2) // fan + 1      # so many stretches can hold them
+    start = tables[-1].withColumn("_t0", F.col("_o")).withColumn("_v0", F.lit(float("inf")))
+    arrive = grouped_stream(start, keys, [CELL, "_i"], compose, arrive_schema)
+    for below in reversed(tables[:-1]):
+        state = arrive.withColumnRenamed(CELL, "_up")
+        placed = below.withColumn("_up", F.floor(F.col(CELL) / fan)).join(state, [*keys, "_up"])
+        arrive = grouped_stream(placed, [*keys, "_up"], [CELL, "_i"], compose, arrive_schema)
 
     def mark(pdf, b):
         hit = np.zeros(len(pdf), dtype=bool)

@@ -334,12 +334,11 @@ def topk_per_type(df: DataFrame, k: int, *, by="timeline_id", type="type", t="t"
 
 
 def allocate_slots(points: DataFrame, sections: DataFrame, total: int = 20, *, by="timeline_id", t="t", ord="ord",
-                   cols=("start_time", "end_time"), width: float = 60.0) -> DataFrame:
+                   cols=("start_time", "end_time")) -> DataFrame:
     """Slots per section in proportion to its instants, at least one, rounded half to even; the largest section
     (first on a tie) takes the remainder, never below zero. Timelines without instants in sections get none."""
     keys = as_list(by)
-    inside = point_in_interval(points.select(*keys, t), sections.select(*keys, ord, *cols), by=keys, t=t, cols=cols,
-                               width=width)
+    inside = point_in_interval(points.select(*keys, t), sections.select(*keys, ord, *cols), by=keys, t=t, cols=cols)
     counts = inside.groupBy(*keys, ord).agg(F.count(F.lit(1)).alias("points"))
     s = sections.join(counts, [*keys, ord], "left").withColumn("points", F.coalesce("points", F.lit(0)))
     all_points = s.groupBy(*keys).agg(F.sum("points").alias("_all"),
@@ -357,11 +356,11 @@ def allocate_slots(points: DataFrame, sections: DataFrame, total: int = 20, *, b
 
 def topk_per_section(points: DataFrame, allocation: DataFrame, *, by="timeline_id", t="t", ord="ord",
                      score="composite_score", slots="slots", name="name", cols=("start_time", "end_time"),
-                     tie: Sequence[str] = ("id",), width: float = 60.0, cell: float = DAY) -> DataFrame:
+                     tie: Sequence[str] = ("id",), cell: float = DAY) -> DataFrame:
     """Best instants of each section, as many as it was given; rows carry the section name and ordinal."""
     keys = as_list(by)
     inside = point_in_interval(points, allocation.select(*keys, ord, slots, F.col(name).alias("section"), *cols),
-                               by=keys, t=t, cols=cols, width=width)
+                               by=keys, t=t, cols=cols)
     best = top_rows(inside, by=[*keys, ord], k=F.col(slots), t=t, cell=cell,
                     order=[F.col(score).desc(), F.col(t), *[F.col(c) for c in tie]])
     return best.select(*points.columns, "section", ord)
@@ -394,7 +393,7 @@ def reachable(cands: DataFrame, group: list[str], ideals: Column, x: str, near:
 
 
 def fill_long_gaps(kept: DataFrame, raw: DataFrame, max_gap: float, *, by="timeline_id", t="t",
-                   tie: Sequence[str] = ("id",), width: float = 60.0, cell: float = DAY) -> DataFrame:
+                   tie: Sequence[str] = ("id",), cell: float = DAY) -> DataFrame:
     """Between kept instants more than ``max_gap`` apart, add the unused raw instant nearest each evenly spaced
     ideal time, never the same one twice (earlier on a tie). Added rows have a null section."""
     keys = as_list(by)
@@ -404,8 +403,7 @@ def fill_long_gaps(kept: DataFrame, raw: DataFrame, max_gap: float, *, by="timel
     gaps = (scan(kept.select(*keys, t).distinct(), by=keys, t=t, cell=cell, next={"_g1": t})
             .withColumnRenamed(t, "_g0").filter(F.col("_g1") - F.col("_g0") > max_gap)
             .withColumn("_k", (F.ceil((F.col("_g1") - F.col("_g0")) / max_gap) - 1).cast("bigint")))
-    inside = point_in_interval(raw.select(*keys, t, *tie), gaps, by=keys, t=t, cols=("_g0", "_g1"), mode="open",
-                               width=width)
+    inside = point_in_interval(raw.select(*keys, t, *tie), gaps, by=keys, t=t, cols=("_g0", "_g1"), mode="open")
     step = (F.col("_g1") - F.col("_g0")) / (F.col("_k") + 1)
     j = F.least(F.greatest(F.round((F.col(t) - F.col("_g0")) / step), F.lit(1)), F.col("_k")).cast("bigint")
     near = inside.withColumn("_j", j).withColumn("_d", F.col(t) - (F.col("_g0") + step * F.col("_j")))

@@ -92,7 +92,7 @@ def _cut_at(segments: DataFrame, picks: DataFrame, keys: list[str], cols, min_le
 
 def split_at_strongest(segments: DataFrame, points: DataFrame, min_len: float, max_len: float, *, by="timeline_id",
                        cols=("start_time", "end_time"), t="t", score="normalized_intensity",
-                       tie: Sequence[str] = ("id",), width: float = 60.0, cell: float = DAY,
+                       tie: Sequence[str] = ("id",), cell: float = DAY,
                        fallback: bool = True) -> DataFrame:
     """Over-long segments cut at their strongest interior instants, at least ``min_len`` from the ends and from
     each other, as many as needed for pieces of ``max_len``. Pieces below ``min_len`` are dropped. Over-long
@@ -104,8 +104,7 @@ def split_at_strongest(segments: DataFrame, points: DataFrame, min_len: float, m
     long = segments.filter(length > max_len)
     need = (F.ceil(length / max_len) - 1).cast("bigint")
     spans = long.select(*keys, S, E, need.alias("_need"))
-    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
-                                           width=width))
+    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open"))
     able = inside.filter((F.col(t) - F.col(S) >= min_len) & (F.col(E) - F.col(t) >= min_len))
     kept = nms_time(able, min_len, by=[*keys, S], t=t, value=score, tie=tie, cell=cell)
     picks = top_rows(kept, by=[*keys, S], order=[F.col(score).desc(), F.col(t)], k=F.col("_need"), t=t,
@@ -116,14 +115,13 @@ def split_at_strongest(segments: DataFrame, points: DataFrame, min_len: float, m
     has = inside.select(*keys, S).distinct()
     done = _cut_at(long.join(has, [*keys, S], "left_semi"), picks, keys, cols, min_len, "_x0")
     none = long.join(has, [*keys, S], "left_anti")
-    rest = split_near_midpoints(none, points, max_len, by=keys, cols=cols, t=t, score=score, tie=tie, min_len=min_len,
-                                width=width, cell=cell)
+    rest = split_near_midpoints(none, points, max_len, by=keys, cols=cols, t=t, score=score, tie=tie, min_len=min_len, cell=cell)
     return fine.unionByName(done).unionByName(rest)
 
 
 def split_near_midpoints(segments: DataFrame, points: DataFrame, max_len: float, radius: float = 3.0, *,
                          by="timeline_id", cols=("start_time", "end_time"), t="t", score="normalized_intensity",
-                         tie: Sequence[str] = ("id",), min_len: float = 0.0, width: float = 60.0,
+                         tie: Sequence[str] = ("id",), min_len: float = 0.0,
                          cell: float = DAY) -> DataFrame:
     """Over-long segments cut near the equal-part times: the strongest unused instant within ``radius``, else the
     nearest unused one, else the time itself. Pieces below ``min_len`` are dropped."""
@@ -134,8 +132,7 @@ def split_near_midpoints(segments: DataFrame, points: DataFrame, max_len: float,
     long = segments.filter(length > max_len)
     spans = long.select(*keys, S, E, (F.ceil(length / max_len) - 1).cast("bigint").alias("_k"))
     part = (F.col(E) - F.col(S)) / (F.col("_k") + 1)
-    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open",
-                                           width=width))
+    inside = materialize(point_in_interval(points.select(*keys, t, score, *tie), spans, by=keys, t=t, cols=cols, mode="open"))
     pos = (F.col(t) - F.col(S)) / part
 
     def clamp(j):

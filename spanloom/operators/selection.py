@@ -64,7 +64,7 @@ def selection_check(df: DataFrame, *, answer="answer", target="target", tol: flo
 
 
 def review_selections(proposals: DataFrame, used: DataFrame, *, by="timeline_id", id="proposal_id", answer="answer",
-                      target="target", taken=("used_start", "used_end"), width: float = 60.0) -> DataFrame:
+                      target="target", taken=("used_start", "used_end")) -> DataFrame:
     """Selection check plus overlap of the first range with used ranges: approved, issues and suggestions."""
     keys = as_list(by)
     checked = selection_check(proposals, answer=answer, target=target)
@@ -73,7 +73,7 @@ def review_selections(proposals: DataFrame, used: DataFrame, *, by="timeline_id"
     first = (proposals.select(*keys, id, one.alias("_x")).select(*keys, id, F.col("_x.start").alias("first_start"), F.col("_x.end").alias("first_end"))
              .filter(F.col("first_start").isNotNull() & F.col("first_end").isNotNull()))
     hits = (conflicts(first.select(*keys, id, "first_start", "first_end"), used.select(*keys, *taken), by=by,
-                      proposal=("first_start", "first_end"), taken=taken, width=width)
+                      proposal=("first_start", "first_end"), taken=taken)
             .groupBy(*keys, id).agg(F.count(F.lit(1)).alias("overlaps")))
     out = checked.join(hits, [*keys, id], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
     failed = ~F.col("status").isin("ok", "auto_trim")
@@ -86,7 +86,7 @@ def review_selections(proposals: DataFrame, used: DataFrame, *, by="timeline_id"
 
 
 def admit_clips(proposals: DataFrame, *, by="timeline_id", cols=("start", "end"), order="slot", id="id",
-                cell: float = DAY, max_component: int = 1_000_000, width: float = 60.0) -> DataFrame:
+                cell: float = DAY, max_component: int = 1_000_000) -> DataFrame:
     """Accept proposals in slot order unless they overlap an accepted one; adds ``accepted``.
 
     Proposals are cut into components of mutually reachable overlaps, each folded on its own. Components above
@@ -139,7 +139,7 @@ def _admit_rounds(df: DataFrame, keys, cols, order, id, width) -> DataFrame:
         other = state.select(*keys, F.col(S).alias("_os"), F.col(E).alias("_oe"), F.col(order).alias("_o"), F.col(id).alias("_i"),
                              F.col("_state").alias("_st"))
         open_ = state.filter("_state = 0").select(*keys, S, E, order, id)
-        pairs = overlap_join(open_, other, by=keys, a_cols=cols, b_cols=("_os", "_oe"), width=width)
+        pairs = overlap_join(open_, other, by=keys, a_cols=cols, b_cols=("_os", "_oe"))
         earlier = F.struct("_o", "_i") < F.struct(F.col(order), F.col(id))
         seen = pairs.groupBy(*keys, id).agg(F.max((F.col("_st") == 1).cast("int")).alias("_hit"),
                                             F.max(((F.col("_st") == 0) & earlier).cast("int")).alias("_wait"))
@@ -184,14 +184,13 @@ def break_ratio(frames: DataFrame, min_size: float = 50, max_ratio: float = 0.3,
 
 
 def presence_by_segment(segments: DataFrame, frames: DataFrame, threshold: float = 0.7, *, by="timeline_id", seg_id="seg_id",
-                        cols=("start", "end"), t="t", present="protagonist_detected", box="bounding_box",
-                        width: float = 60.0) -> DataFrame:
+                        cols=("start", "end"), t="t", present="protagonist_detected", box="bounding_box") -> DataFrame:
     """Share of frames with the protagonist per segment, mean box size and a recommendation tier."""
     keys = [*as_list(by), seg_id]
     hit = F.coalesce(F.col(present), F.lit(False))
     size = F.least(F.coalesce(F.col(box)["width"], F.lit(0)), F.coalesce(F.col(box)["height"], F.lit(0)))
     f = frames.select(*as_list(by), t, hit.alias("_hit"), F.when(hit & (size > 0), size).alias("_size"))
-    j = point_in_interval(f, segments.select(*keys, *cols), by=by, t=t, cols=cols, width=width)
+    j = point_in_interval(f, segments.select(*keys, *cols), by=by, t=t, cols=cols)
     got = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("frame_count"), F.sum(F.col("_hit").cast("int")).alias("hits"), F.avg("_size").alias("_avg"))
     ratio = F.col("hits") / F.col("frame_count")
     tier = F.when(ratio >= F.greatest(F.lit(0.9), F.lit(threshold)), "highly_recommended").when(ratio >= threshold, "recommended").otherwise("low_presence")

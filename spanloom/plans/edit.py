@@ -13,7 +13,7 @@ from spanloom.session import materialize
 
 
 def edit_list(selections: DataFrame, clips: DataFrame, detections: DataFrame, cuts: DataFrame, *, by="timeline_id", tol: float = 0.5,
-              width="video_width", height="video_height", short_side: int = 360, bin_width: float = 60.0) -> tuple[DataFrame, DataFrame]:
+              width="video_width", height="video_height", short_side: int = 360) -> tuple[DataFrame, DataFrame]:
     """Clips of successful selections, snapped to cuts, with crop centre; and the scaled boxes of their frames.
 
     ``selections``: timeline, section_idx, shot_idx, status, video size. ``clips``: the same key, ``pos``, ``start``, ``end``
@@ -26,7 +26,7 @@ def edit_list(selections: DataFrame, clips: DataFrame, detections: DataFrame, cu
             .withColumn("clip_id", F.struct("section_idx", "shot_idx", "pos")))
     # stored once parsed: the join with the cuts reads the times in several places
     rows = materialize(rows)
-    snapped = snap_clip_to_cut(rows, cuts, by=by, tol=tol, width=bin_width)
+    snapped = snap_clip_to_cut(rows, cuts, by=by, tol=tol)
     found = detections.filter(F.coalesce("protagonist_detected", F.lit(False)) & F.col("bounding_box").isNotNull()).join(good, keys)
     dw, dh = detection_size(width, height, short_side)
     centre = weighted_center(found, by=[*keys, width, height])

@@ -33,7 +33,7 @@ def filter_significant(points: DataFrame, min_interval: float = 0.0, top_k: int
 
 def filter_by_sections(points: DataFrame, sections: DataFrame, *, by="timeline_id", min_interval: float = 0.0, normalize: bool = True,
                        min_segment: float = 3.0, max_segment: float = 15.0, total: int = 20, duration: str | float | None = None,
-                       weights: Mapping[str, float] | None = None, cell: float = DAY, width: float = 60.0) -> DataFrame:
+                       weights: Mapping[str, float] | None = None, cell: float = DAY) -> DataFrame:
     """Slots shared out over sections by density, the best instants taken, spacing enforced across sections, long
     gaps filled from the unused instants, and short segments removed. Timelines without sections pass unchanged.
 
@@ -48,14 +48,14 @@ def filter_by_sections(points: DataFrame, sections: DataFrame, *, by="timeline_i
         scored = points.withColumn("normalized_intensity", F.col("intensity"))
     scored = materialize(composite_score(scored, weights))
     with_sections = sections.select(*keys).distinct()
-    slots = allocate_slots(scored, sections, total, by=by, width=width)
+    slots = allocate_slots(scored, sections, total, by=by)
     # the steps below store the rows they read more than once
-    kept = topk_per_section(scored, slots, by=by, width=width, cell=cell).drop("ord")
+    kept = topk_per_section(scored, slots, by=by, cell=cell).drop("ord")
     if min_interval > 0:
         kept = min_interval_best(kept, min_interval, by=by, score="composite_score", cell=cell)
     inside = scored.join(with_sections, keys, "left_semi")
     if max_segment > 0:
-        kept = fill_long_gaps(kept, inside, max_segment, by=by, width=width, cell=cell)
+        kept = fill_long_gaps(kept, inside, max_segment, by=by, cell=cell)
     if min_segment > 0:
         if isinstance(duration, str):
             lengths = sections.groupBy(*keys).agg(F.max(duration).alias("_duration"))
@@ -68,8 +68,7 @@ def filter_by_sections(points: DataFrame, sections: DataFrame, *, by="timeline_i
 
 
 def two_level_segments(sections: DataFrame, kept: DataFrame, raw: DataFrame, *, by="timeline_id", mode: str = "cut_at_sections",
-                       min_len: float = 3.0, max_len: float = 15.0, duration="duration", cell: float = DAY,
-                       width: float = 60.0) -> DataFrame:
+                       min_len: float = 3.0, max_len: float = 15.0, duration="duration", cell: float = DAY) -> DataFrame:
     """Sections into sub-segments with times relative to the section.
 
     ``cut_at_sections`` builds segments inside each section, merges short ones, cuts over-long ones at the strongest
@@ -81,18 +80,18 @@ def two_level_segments(sections: DataFrame, kept: DataFrame, raw: DataFrame, *,
         bounds = sections.groupBy(*keys).agg(F.max(duration).cast("double").alias(E)).withColumn(S, F.lit(0.0))
         seg = merge_short_back(segments_from_points(kept, bounds, by=by, cell=cell), min_len, by=by, cell=cell)
         placed = point_in_interval(seg, sections.select(*keys, F.col("ord").alias("section_ord"), F.col(S).alias("_s"), F.col(E).alias("_e")),
-                                   by=by, t=S, cols=("_s", "_e"), width=width).drop("_e")
+                                   by=by, t=S, cols=("_s", "_e")).drop("_e")
     else:
         ok = sections.withColumn(E, F.when(F.col(E) > F.col(S), F.col(E)).when(F.col(duration) > 0, F.col(duration)).otherwise(F.col(S) + 30.0))
         own = [*keys, "section_ord"]
         sec = ok.select(*keys, F.col("ord").alias("section_ord"), S, E)
-        inside = materialize(point_in_interval(raw, sec, by=by, t="t", cols=(S, E), width=width).drop(S, E))
-        marks = point_in_interval(kept.select(*keys, "t"), sec, by=by, t="t", cols=(S, E), width=width).drop(S, E)
+        inside = materialize(point_in_interval(raw, sec, by=by, t="t", cols=(S, E)).drop(S, E))
+        marks = point_in_interval(kept.select(*keys, "t"), sec, by=by, t="t", cols=(S, E)).drop(S, E)
         seg = merge_short_back(segments_from_points(marks, sec, by=own, cell=cell), min_len, by=own, cell=cell)
         if max_len > 0:
             # both store what they branch on themselves
-            seg = split_at_strongest(seg, inside, min_len, max_len, by=own, width=width, cell=cell)
-            seg = materialize(split_near_midpoints(seg, inside, max_len, by=own, min_len=min_len, width=width, cell=cell))
+            seg = split_at_strongest(seg, inside, min_len, max_len, by=own, cell=cell)
+            seg = materialize(split_near_midpoints(seg, inside, max_len, by=own, min_len=min_len, cell=cell))
         seg = merge_short_back(seg, min_len, by=own, cell=cell)
         bare = sec.join(seg.select(*own).distinct(), own, "left_anti").withColumn("duration", F.col(E) - F.col(S))
         placed = seg.unionByName(bare.select(*seg.columns)).join(sec.select(*own, F.col(S).alias("_s")), own)

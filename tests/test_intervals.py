@@ -12,13 +12,13 @@ def spans(seed, n=150):
     out = []
     for i in range(n):
         s = rng.choice([float(rng.randint(0, 60)), round(rng.uniform(0, 60), 2)])
-        out.append((rng.randint(0, 2), i, s, s + rng.choice([0.0, 1.0, 5.0, round(rng.uniform(0, 8), 2), 55.0])))
+        out.append((rng.randint(0, 2), i, s, s + rng.choice([0.0, 1.0, 5.0, round(rng.uniform(0, 8), 2), 55.0, 1e-4, 8.0, 64.0, 1e12, -3.0])))
     return out
 
 
 @pytest.mark.parametrize("mode", ["closed", "half_open", "int_ceil"])
-@pytest.mark.parametrize("width,spread", [(2.0, 1), (7.0, 3), (1000.0, 1)])
-def test_binned_join_equals_nested_loop(spark, mode, width, spread):
+@pytest.mark.parametrize("spread", [1, 3])
+def test_join_equals_nested_loop(spark, mode, spread):
     import math
     a, b = spans(1), spans(2)
     A = spark.createDataFrame(a, "timeline_id int, a_id int, a_start double, a_end double")
@@ -34,10 +34,10 @@ def test_binned_join_equals_nested_loop(spark, mode, width, spread):
         return s < E and e > S
 
     want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and hit(x, y))
-    assert rows(I.overlap_join(A, B, mode=mode, width=width, spread=spread), "a_id", "b_id") == want
-    semi = rows(I.overlap_join(A, B, mode=mode, width=width, how="left_semi"), "a_id")
+    assert rows(I.overlap_join(A, B, mode=mode, spread=spread), "a_id", "b_id") == want
+    semi = rows(I.overlap_join(A, B, mode=mode, how="left_semi"), "a_id")
     assert semi == sorted({(i,) for i, _ in want})
-    left = I.overlap_join(A, B, mode=mode, width=width, how="left")
+    left = I.overlap_join(A, B, mode=mode, how="left")
     assert left.filter("b_id is null").count() == len(a) - len(semi) and left.filter("b_id is not null").count() == len(want)
 
 
@@ -66,7 +66,25 @@ def test_points_at_interval_ends(spark, mode):
     s = spark.createDataFrame([(1, 2.0, 5.0), (1, 5.0, 5.0), (1, 5.0, 8.0)], "timeline_id int, start_time double, end_time double")
     ok = {"half_open": lambda t, a, b: a <= t < b, "closed": lambda t, a, b: a <= t <= b, "open": lambda t, a, b: a < t < b}[mode]
     want = sorted((float(t), a, b) for t in range(12) for a, b in ((2, 5), (5, 5), (5, 8)) if ok(t, a, b))
-    assert rows(I.point_in_interval(p, s, mode=mode, width=3.0), "t", "start_time", "end_time") == want
+    assert rows(I.point_in_interval(p, s, mode=mode), "t", "start_time", "end_time") == want
+
+
+def test_points_of_all_levels(spark):
+    a = spans(3, 200)
+    pts = [(i % 3, i, x) for i, x in enumerate([r[2] for r in spans(4, 100)] + [-1e9, 1e11, 5e11, 1e12 + 50, 2e12, float("inf")])] + [(1, -1, None)]
+    S = spark.createDataFrame([(*r[:1], r[1], r[2], r[3]) for r in a] + [(0, 900, 5.0, float("inf")), (1, 901, None, 4.0)], "timeline_id int, s_id int, start_time double, end_time double")
+    P = spark.createDataFrame(pts, "timeline_id int, p_id int, t double")
+    want = sorted((p[1], r[1]) for p in pts for r in [*a, (0, 900, 5.0, float("inf"))] if p[2] is not None and p[0] == r[0] and r[2] <= p[2] < r[3])
+    assert rows(I.point_in_interval(P, S), "p_id", "s_id") == want
+    assert rows(I.point_in_interval(P, S, how="left_semi"), "p_id") == sorted({(i,) for i, _ in want})
+
+
+def test_rows_of_an_interval_are_few_however_long(spark):
+    ends = [0.0, 1e-9, 0.5, 1.0, 7.99, 8.0, 8.01, 1e9, 1e12, 1e300, float("inf")]
+    df = spark.createDataFrame([(i, -3.3, -3.3 + e) for i, e in enumerate(ends)], "i int, s double, e double")
+    assert I._covered(df, "s", "e").groupBy("i").count().agg(F.max("count")).first()[0] <= 18
+    every = F.array(*[F.lit(x) for x in range(I.LOWEST, I.HIGHEST + 1)])
+    assert I._covered(df, "s", "e", every).groupBy("i").count().agg(F.max("count")).first()[0] <= 70
 
 
 def test_gate_without_intervals_keeps_everything(spark):

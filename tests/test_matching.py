@@ -31,7 +31,7 @@ def test_gap_filling_on_hard_layouts(spark):
     data = layouts(150)
     raw = spark.createDataFrame([(tl, i, t) for tl, c in data.items() for i, t, _ in c], "timeline_id int, id int, t double")
     ends = spark.createDataFrame([(tl, -1 - int(x), x) for tl in data for x in (0.0, 100.0)], "timeline_id int, id int, t double")
-    got = rows(fill_long_gaps(ends, raw, 10.0, width=25.0, cell=30.0).filter("id >= 0"), "timeline_id", "id")
+    got = rows(fill_long_gaps(ends, raw, 10.0, cell=30.0).filter("id >= 0"), "timeline_id", "id")
     want = []
     for tl, c in data.items():
         cand = sorted(c, key=lambda p: (p[1], p[0]))
@@ -46,7 +46,7 @@ def test_midpoint_cuts_on_hard_layouts(spark):
     pts = spark.createDataFrame([(tl, i, t, v) for tl, c in data.items() for i, t, v in c], "timeline_id int, id int, t double, normalized_intensity double")
     seg = spark.createDataFrame([(tl, 0.0, 100.0, 100.0) for tl in data], "timeline_id int, start_time double, end_time double, duration double")
     for max_len, radius in ((10.0, 3.0), (4.0, 3.0)):        # the second radius reaches into the neighbouring zones
-        got = rows(split_near_midpoints(seg, pts, max_len, radius, width=25.0, cell=30.0), "timeline_id", "start_time", "end_time")
+        got = rows(split_near_midpoints(seg, pts, max_len, radius, cell=30.0), "timeline_id", "start_time", "end_time")
         want = []
         n = math.ceil(100.0 / max_len)
         for tl, c in data.items():

@@ -67,12 +67,13 @@ def naive_chain(ts, vs, d, scored, origin):
 
 
 @pytest.mark.parametrize("scored,with_origin", [(False, False), (True, False), (False, True)])
-@pytest.mark.parametrize("cell", [3.0, 40.0, 1e6])
-def test_chain_matches_a_loop(spark, scored, with_origin, cell):
+@pytest.mark.parametrize("cell,d,fan", [(3.0, 7.0, 64), (1e6, 7.0, 64), (0.1, 0.3, 4), (2.0, 2.0, 2)])
+def test_chain_matches_a_loop(spark, scored, with_origin, cell, d, fan):
+    """Few rows per table and a small fan, so that several levels of tables are composed."""
     pdf = timeline_frame(2).drop_duplicates(["timeline_id", "t"]).drop(columns=["label"])
     pdf["v"] = pdf["v"].fillna(0.0)
-    pdf["d"], pdf["o"] = 7.0 + pdf["timeline_id"] % 5, -3.0
-    got = chain(spark.createDataFrame(pdf), dist="d", score="v" if scored else None, origin="o" if with_origin else None, cell=cell)
+    pdf["d"], pdf["o"] = d * (1 + pdf["timeline_id"] % 5 / 7), -3.0
+    got = chain(spark.createDataFrame(pdf), dist="d", score="v" if scored else None, origin="o" if with_origin else None, cell=cell, fan=fan)
     want = []
     for tl, g in pdf.sort_values("t").groupby("timeline_id"):
         h, a = naive_chain(g["t"].tolist(), g["v"].tolist(), g["d"].iat[0], scored, -3.0 if with_origin else None)
@@ -118,3 +119,21 @@ def test_fit_cell_bounds_the_busiest_cell(spark):
     df = spark.range(4096).select(F.lit(1).alias("timeline_id"), (F.col("id") / 4.0).alias("t"))
     cell = fit_cell(df, max_rows=100, start=1024.0)
     assert cell == 16.0     # 64 rows; the next longer one would hold 128
+
+
+@pytest.mark.parametrize("d", [3_600.0, 43_200.0, 86_400.0])
+def test_no_task_of_a_chain_holds_a_timeline(spark, d, monkeypatch):
+    """100,000 rows on one timeline of a year, ``dist`` up to the cell: rows that reach a composing task, whatever the level."""
+    from spanloom.operators import ordered
+
+    seen, plain = [], ordered.grouped_stream
+
+    def counting(df, keys, order, fn, schema):
+        if "_i" in order:       # a task that composes tables
+            seen.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return plain(df, keys, order, fn, schema)
+
+    monkeypatch.setattr(ordered, "grouped_stream", counting)
+    df = spark.range(100_000).select(F.lit(1).alias("timeline_id"), (F.col("id") * 315.36 + F.rand(3) * 300).alias("t"), F.rand(4).alias("v"), F.lit(d).alias("d"))
+    chain(df, dist="d", score="v", fan=8).count()
+    assert max(seen) < 8_000, seen

@@ -69,8 +69,8 @@ def main():
 
     hit = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
     timed(f"interval join, key and residual, {small.count()} rows", lambda: small.join(other(small), "timeline_id").filter(hit), 1)
-    timed(f"interval join, binned, {small.count()} rows", lambda: I.overlap_join(small, other(small), width=20_000.0), 1)
-    timed(f"interval join, binned, {big.count()} rows", lambda: I.overlap_join(big, other(big), width=5_000.0), 1)
+    timed(f"interval join, binned, {small.count()} rows", lambda: I.overlap_join(small, other(small)), 1)
+    timed(f"interval join, binned, {big.count()} rows", lambda: I.overlap_join(big, other(big)), 1)
 
 
 if __name__ == "__main__":
