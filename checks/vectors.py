@@ -18,6 +18,18 @@ def _(s, d):
     return V.vector_topk(v, q, 16).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@check("vector_topk_pruned", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS s FROM v AS q, v WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 3)
+SELECT query_id, id, round(s, 6) AS similarity, (SELECT count(*) FROM v) * (SELECT count(*) FROM v WHERE vec_id % 20 = 0) AS pairs, true AS fewer FROM r""")
+def _(s, d):
+    """Searches of the rows whose id is divisible by 20 against all rows, and whether cells spare comparisons."""
+    v = vectors(s, d)
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    work = V.vector_topk_work(v, q, 3).select("pairs", (F.col("compared") <= F.col("pairs")).alias("fewer"))
+    near = V.vector_topk(v, q, 3).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return near.withColumn("_one", F.lit(1)).join(work.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 @check("batch_score", "SELECT doc_id, lang, ord(substr(lang, 1, 1)) + ord(substr(lang, 2, 1)) + 3e0 AS score FROM documents")
 def _(s, d):
     def total_of_codes(items):

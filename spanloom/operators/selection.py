@@ -125,30 +125,49 @@ def admit_clips(proposals: DataFrame, *, by="timeline_id", cols=("start", "end")
     yes = grouped_stream(small, [*keys, "_comp"], [S], fold, schema)
     if not none_big:
         big = comp.join(sizes, [*keys, "_comp"], "left_semi").drop("_comp")
-        yes = yes.unionByName(_admit_rounds(big, keys, cols, order, id, width))
+        yes = yes.unionByName(_admit_rounds(big, keys, cols, order, id))
     return (proposals.join(yes.withColumn("_ok", F.lit(True)), [*keys, id], "left")
             .withColumn("accepted", F.coalesce("_ok", F.lit(False))).drop("_ok"))
 
 
-def _admit_rounds(df: DataFrame, keys, cols, order, id, width) -> DataFrame:
-    """Each round accepts every open proposal with no earlier open one across it and rejects those across an
-    accepted one. The earliest open proposal is always accepted, so the rounds end."""
+def _admit_rounds(df: DataFrame, keys: list[str], cols, order: str, id: str) -> DataFrame:
+    """Admission for huge components. Overlaps with earlier proposals are joined once; every round reads what is left of them.
+
+    A proposal without an open earlier overlap is accepted, one across an accepted proposal rejected. A proposal with exactly one
+    is the opposite of that one, so such proposals form trees of opposites; pointer doubling leads each to the root of its tree, and
+    a decided root decides the tree. A chain of n overlaps is thus decided in one round of log n doublings. The
+    earliest open proposal is always decided, so the rounds end.
+    """
     S, E = cols
-    state = df.withColumn("_state", F.lit(0))
+    named = df.select(*keys, S, E, order, F.col(id).alias("_id"))
+    other = named.select(*keys, F.col(S).alias("_os"), F.col(E).alias("_oe"), F.col(order).alias("_o"), F.col("_id").alias("_on"))
+    pairs = overlap_join(named, other, by=keys, a_cols=cols, b_cols=("_os", "_oe"))
+    edges = materialize(pairs.filter(F.struct("_o", "_on") < F.struct(order, "_id")).select(*keys, "_id", "_on"))
+    open_, yes = materialize(named.select(*keys, "_id")), None
+    node, on = [*keys, "_id"], [*keys, "_on"]
+    while not open_.isEmpty():
+        waiting = materialize(edges.groupBy(*node).agg(F.count(F.lit(1)).alias("_n"), F.min("_on").alias("_on")))
+        free = materialize(open_.join(waiting, node, "left_anti"))
+        links = _roots(waiting.filter("_n = 1").select(*node, "_on", F.lit(True).alias("_flip")), keys)
+        told = links.join(free.withColumnRenamed("_id", "_on"), on, "left_semi")
+        taken = materialize(free.unionByName(told.filter("not _flip").select(*node)))
+        across = edges.join(taken.withColumnRenamed("_id", "_on"), on, "left_semi").select(*node)
+        done = materialize(taken.unionByName(told.select(*node)).unionByName(across).distinct())
+        yes = taken if yes is None else yes.unionByName(taken)
+        open_ = materialize(open_.join(done, node, "left_anti"))
+        edges = materialize(edges.join(done, node, "left_anti").join(done.withColumnRenamed("_id", "_on"), on, "left_anti"))
+    return (yes if yes is not None else open_).withColumnRenamed("_id", id)
+
+
+def _roots(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Each node linked to the root of its tree by pointer doubling; ``_flip``: whether the node is the opposite of the root."""
+    links = materialize(links)
     while True:
-        other = state.select(*keys, F.col(S).alias("_os"), F.col(E).alias("_oe"), F.col(order).alias("_o"), F.col(id).alias("_i"),
-                             F.col("_state").alias("_st"))
-        open_ = state.filter("_state = 0").select(*keys, S, E, order, id)
-        pairs = overlap_join(open_, other, by=keys, a_cols=cols, b_cols=("_os", "_oe"))
-        earlier = F.struct("_o", "_i") < F.struct(F.col(order), F.col(id))
-        seen = pairs.groupBy(*keys, id).agg(F.max((F.col("_st") == 1).cast("int")).alias("_hit"),
-                                            F.max(((F.col("_st") == 0) & earlier).cast("int")).alias("_wait"))
-        verdict = F.when(F.col("_state") != 0, F.col("_state")).when(F.coalesce("_hit", F.lit(0)) == 1, -1).when(
-            F.coalesce("_wait", F.lit(0)) == 1, 0).otherwise(1)
-        state = materialize(state.join(seen, [*keys, id], "left").withColumn("_state", verdict).drop("_hit", "_wait")
-                            .filter("_state >= 0"))
-        if state.filter("_state = 0").isEmpty():
-            return state.select(*keys, id)
+        up = links.select(*keys, F.col("_id").alias("_on"), F.col("_on").alias("_to"), F.col("_flip").alias("_turn"))
+        ahead = materialize(links.join(up, [*keys, "_on"], "left"))
+        links = ahead.select(*keys, "_id", F.coalesce("_to", "_on").alias("_on"), F.coalesce(F.col("_flip") != F.col("_turn"), F.col("_flip")).alias("_flip"))
+        if ahead.filter("_to is not null").isEmpty():
+            return links
 
 
 # ---------------------------------------------------------------- frame detections

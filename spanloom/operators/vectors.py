@@ -6,71 +6,162 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanloom.operators.ordered import top_rows
-
-QUERY_BYTES = 64 * 1024 * 1024
-
-
-def vector_topk(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", vector="vector", query_id="query_id",
-                query_vector="query_vector", block: int | None = None, order_time: str | None = None) -> DataFrame:
+from spanloom.session import materialize
+
+#: Cells of the coarse quantiser; rows of a block of base vectors and of queries; values of a similarity matrix.
+CELLS, BLOCK, QUERY_BLOCK, STEP = 64, 65_536, 16_384, 1 << 22
+
+
+def _unit(vectors: pa.Array, spare: int) -> np.ndarray:
+    """Rows of length 1 with two further axes; a zero vector becomes axis ``spare``, which no other kind of row has, so its cosines are 0."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    length = np.linalg.norm(x, axis=1)
+    out = np.zeros((len(x), x.shape[1] + 2))
+    some = length > 0
+    out[some, :-2] = x[some] / length[some, None]
+    out[~some, spare - 2] = 1.0
+    return out
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T))
+
+
+def _rows(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+
+
+def _usable(vector: str) -> Column:
+    """Neither null nor empty, no null component; 4-byte and 8-byte floats alike."""
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v))
+
+
+def _routed(base, queries, k, id, vector, query_id, query_vector, extra, block, query_block, cells):
+    """Base vectors with cell and block, queries with every (cell, block) that may hold one of their ``k`` nearest; counts."""
+    known = base.filter(_usable(vector))
+    asked = queries.filter(_usable(query_vector))
+    chosen = known.orderBy(F.xxhash64(id), id).limit(cells).select(vector).collect()
+    if not chosen:
+        return None
+    width = len(chosen[0][0])
+    for side, name, column in ((known, "base", vector), (asked, "queries", query_vector)):
+        if not side.filter(F.size(column) != width).isEmpty():
+            raise ValueError(f"{name} hold vectors of different lengths")
+    centres = np.unique(_unit(pa.array([list(map(float, r[0])) for r in chosen]), 0), axis=0)
+    spare = 0
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                x = _unit(b.column(1), spare)
+                far = _distances(x, centres)
+                cell = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], _rows(x), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(x)), cell])],
+                                                 names=["id", *extra, "unit", "cell", "far"])
+
+    kinds = [f"id {base.schema[id].dataType.simpleString()}", *(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in extra)]
+    placed = materialize(known.select(F.col(id).alias("id"), vector, *extra).mapInArrow(place, ", ".join([*kinds, "unit binary, cell int, far double"])))
+    stats = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # one row a cell
+    used = np.array(sorted(stats))
+    count, radius = np.array([stats[c][0] for c in used]), np.array([stats[c][1] for c in used])
+    parts = np.maximum(1, -(-count // block))
+
+    def route(batches):
+        for b in batches:
+            if b.num_rows:
+                x = _unit(b.column(1), spare + 1)
+                far = _distances(x, centres)[:, used]
+                # the k nearest lie within the least distance inside which k vectors lie for certain
+                reach = far + radius
+                order = np.argsort(reach, axis=1)
+                enough = (np.cumsum(count[order], axis=1) >= k).argmax(1)
+                sure = np.take_along_axis(reach, order, 1)[np.arange(len(x)), enough] if count.sum() >= k else np.full(len(x), np.inf)
+                row, at = np.nonzero(far - radius <= sure[:, None] + 1e-9)
+                row, at = np.repeat(row, parts[at]), np.repeat(at, parts[at])
+                first = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1])]
+                part = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), _rows(x).take(take), pa.array(used[at].astype(np.int32)), pa.array(part.astype(np.int32))], names=["query", "unit", "cell", "part"])
+
+    n = asked.count()
+    slices = max(1, -(-n // query_block))
+    routed = asked.select(F.col(query_id).alias("query"), query_vector).mapInArrow(route, f"query {queries.schema[query_id].dataType.simpleString()}, unit binary, cell int, part int")
+    routed = routed.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int"))
+    of = F.create_map(*[F.lit(v) for c, m in zip(used.tolist(), parts.tolist()) for v in (c, m)])
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(of, F.col("cell"))).cast("int"))
+    dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))) if slices > 1 else F.lit(0))
+    return dealt, routed, n * int(count.sum()), dict(zip(used.tolist(), (count / parts).tolist()))
+
+
+def vector_topk(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", vector="vector", query_id="query_id", query_vector="query_vector",
+                block: int = BLOCK, query_block: int = QUERY_BLOCK, cells: int = CELLS, order_time: str | None = None) -> DataFrame:
     """The ``k`` most similar vectors (cosine) per query, exact.
 
-    Queries are shipped to the scan of ``base`` in blocks of bounded size; each partition returns at most ``k``
-    candidates per query and the final ranking sees only those. More queries mean more passes, never a larger
-    broadcast. Ties go to the lower id. ``order_time`` names a column of ``base`` carried along for display order.
+    A coarse quantiser deals the base vectors to cells around at most ``cells`` of them. A query is sent to a cell only if, by the triangle
+    inequality, the cell may hold one of its ``k`` nearest: cells that are nearer for certain and hold ``k`` vectors rule the others out.
+    Cells above ``block`` rows are split, as are more than ``query_block`` queries, and every pair of a block of each is one matrix
+    product in one task; it returns at most ``k`` rows per query, which Spark ranks. Neither side passes through the driver.
+
+    Similarities are compared to 12 decimals; ties go to the lower id. A zero vector has similarity 0 to all. Rows whose vector is null,
+    empty or holds a null or NaN are left out; vectors of different lengths are an error. ``order_time`` names a column of ``base`` carried
+    along for display order. Query ids are distinct.
     """
-    total, dim = queries.select(F.count(F.lit(1)), F.max(F.size(query_vector))).first()
-    per_block = block or max(1, QUERY_BYTES // (8 * max(1, dim or 1)))
-    blocks = max(1, -(-total // per_block))
     extra = [order_time] if order_time else []
-    dt = {f.name: f.dataType for f in base.schema.fields}
-    qt = queries.schema[query_id].dataType
-    schema = T.StructType([T.StructField(query_id, qt), T.StructField(id, dt[id]),
-                           *[T.StructField(c, dt[c]) for c in extra], T.StructField("similarity", T.DoubleType())])
-    slim = base.select(id, vector, *extra)
-    parts = []
-    for n in range(blocks):
-        rows = (queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n)
-                .select(query_id, query_vector).toPandas())
-        if not len(rows):
-            continue
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in rows[query_vector]])
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        parts.append(slim.mapInPandas(_partial_topk(rows[query_id].to_numpy(), q, k, id, vector, extra, query_id), schema))
-    if not parts:
-        return base.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    kinds = [f"`{query_id}` {queries.schema[query_id].dataType.simpleString()}", f"`{id}` {base.schema[id].dataType.simpleString()}",
+             *(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in extra), "similarity double"]
+    found = _routed(base, queries, k, id, vector, query_id, query_vector, extra, block, query_block, cells)
+    if found is None:
+        out = base.sparkSession.createDataFrame([], ", ".join(kinds))
+    else:
+        dealt, routed, _, _ = found
+        out = routed.groupBy("cell", "part", "slice").cogroup(dealt.groupBy("cell", "part", "slice")).applyInArrow(_nearest(k, id, query_id, extra), ", ".join(kinds))
     return top_rows(out, by=query_id, order=[F.col("similarity").desc(), F.col(id)], k=k, rank="rank")
 
 
-def _partial_topk(qids, q, k, id, vector, extra, query_id) -> Callable:
-    def run(batches):
-        best = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            sim = q @ x.T
-            ids = pdf[id].to_numpy()
-            n = min(k, sim.shape[1])
-            frames = [] if best is None else [best]
-            for r in range(len(q)):
-                # everything tied with the k-th value stays, so the lower id can win
-                edge = np.partition(sim[r], -n)[-n]
-                pick = np.flatnonzero(sim[r] >= edge)
-                frames.append(pd.DataFrame({query_id: qids[r], id: ids[pick], **{c: pdf[c].to_numpy()[pick] for c in extra},
-                                            "similarity": sim[r][pick]}))
-            merged = pd.concat(frames, ignore_index=True).sort_values([query_id, "similarity", id], ascending=[True, False, True])
-            best = merged.groupby(query_id, sort=False).head(k)
-        if best is not None:
-            yield best
+def vector_topk_work(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", vector="vector", query_id="query_id", query_vector="query_vector",
+                     cells: int = CELLS) -> DataFrame:
+    """One row: ``pairs`` of a query and a base vector, and how many of them :func:`vector_topk` compares (``compared``)."""
+    found = _routed(base, queries, k, id, vector, query_id, query_vector, [], 1 << 62, QUERY_BLOCK, cells)
+    if found is None:
+        return base.sparkSession.createDataFrame([(0, 0)], "pairs bigint, compared bigint")
+    _, routed, pairs, sizes = found
+    of = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, int(n))])
+    return routed.agg(F.lit(pairs).cast("bigint").alias("pairs"), F.coalesce(F.sum(F.element_at(of, F.col("cell"))), F.lit(0)).cast("bigint").alias("compared"))
+
+
+def _nearest(k: int, id: str, query_id: str, extra: list[str]) -> Callable:
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = [query_id, id, *extra, "similarity"]
+        ids = held.column("id").to_numpy()
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        parts = []
+        if asked.num_rows and held.num_rows:
+            q, x = _matrix(asked.column("unit")), _matrix(held.column("unit"))
+            n, step = min(k, len(x)), max(1, STEP // len(x))
+            for lo in range(0, len(q), step):
+                near = np.round(q[lo : lo + step] @ x.T, 12)
+                edge = np.partition(near, -n, axis=1)[:, -n]
+                row, at = np.nonzero(near >= edge[:, None])
+                value = near[row, at]
+                order = np.lexsort((rank[at], -value, row))     # of ties with the k-th the lower ids stay
+                row, at, value = row[order], at[order], value[order]
+                first = np.searchsorted(row, row, "left")
+                keep = np.arange(len(row)) - first < k
+                parts.append((row[keep] + lo, at[keep], value[keep]))
+        row, at, value = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        take = pa.array(at)
+        return pa.Table.from_arrays([asked.column("query").take(pa.array(row)), *(held.column(c).take(take) for c in ("id", *extra)), pa.array(value)], names=names)
+
     return run
 
 

@@ -42,6 +42,16 @@ def test_admission_in_slot_order(spark, limit):
     assert got == sorted(want)
 
 
+def test_a_chain_of_overlaps_is_decided_by_doubling(spark, monkeypatch):
+    """Each proposal overlaps the one before it only, in slot order: every second one is accepted."""
+    written, plain = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: written.append(1) or plain(df))
+    df = spark.range(10_000).select(F.lit(1).alias("timeline_id"), "id", F.col("id").alias("slot"), (F.col("id") * 2.0).alias("start"), (F.col("id") * 2.0 + 3).alias("end"))
+    got = C.admit_clips(df, max_component=100, cell=1000.0).filter("accepted")
+    assert got.count() == 5_000 and got.filter("id % 2 = 1").isEmpty()
+    assert len(written) < 30       # about 14 doublings in one round
+
+
 def test_unreadable_score_passes(spark):
     df = spark.createDataFrame([(1, "cannot {"), (2, '{"overall_aesthetic_score": 2.9}'), (3, 'x {"overall_aesthetic_score": 3.0} y')], "id int, response string")
     assert rows(C.aesthetic_gate(df), "id", "passed") == [(1, True), (2, False), (3, True)]
@@ -53,12 +63,49 @@ def test_integer_list_violation(spark):
     assert got == [[], ["ids holds a non-integer"], ["missing a", "ids is not a list"]]
 
 
-def test_vector_blocks_give_the_same_neighbours(spark):
-    base = spark.range(200).select("id", F.array(*[F.sin(F.col("id") * (i + 1)) for i in range(6)]).alias("vector"))
+def _vectors(spark, n=300, dim=6):
+    rng = random.Random(5)
+    heart = [[rng.gauss(0, 1) for _ in range(dim)] for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.1) for x in heart[i % 8]], float(i)) for i in range(n)]
+    rows += [(n, [0.0] * dim, 0.0), (n + 1, rows[3][1], 1.0), (n + 2, [5 * x for x in rows[3][1]], 2.0)] + [(n + 10 + i, rows[7][1], 3.0) for i in range(40)]
+    return rows, spark.createDataFrame([*rows, (900, None, 0.0), (901, [1.0, None] + [0.0] * (dim - 2), 0.0)], "id bigint, vector array<double>, t double")
+
+
+@pytest.mark.parametrize("block,query_block,cells", [(65_536, 16_384, 64), (7, 50, 9), (1000, 1000, 1)])
+def test_nearest_vectors_equal_brute_force(spark, block, query_block, cells):
+    """Ties by id (forty copies of one vector), a zero vector, null vectors; blocks of both sides, one cell and many."""
+    import numpy as np
+
+    rows_, base = _vectors(spark)
+    q = base.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = X.vector_topk(base, q, 5, block=block, query_block=query_block, cells=cells, order_time="t").collect()
+    x = np.array([r[1] for r in rows_])
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    near, ids = np.round(u @ u.T, 12), np.array([r[0] for r in rows_])
+    want = {}
+    for i, row in zip(ids.tolist(), near):
+        order = np.lexsort((ids, -row))[:5]
+        for n, j in enumerate(order.tolist(), 1):
+            want[i, n] = (ids[j], row[j], rows_[j][2])
+    assert len(got) == len(want)
+    for r in got:
+        i, v, t = want[r.query_id, r["rank"]]
+        assert (r.id, r.t) == (i, t) and abs(r.similarity - v) < 1e-11
+
+
+def test_cells_rule_out_most_pairs(spark):
+    _, base = _vectors(spark, 2000)
     q = base.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    one, many = (rows(X.vector_topk(base, q, 5, block=b), "query_id", "rank", "id") for b in (None, 17))
-    assert one == many and len(one) == 1000
-    assert all(a == c for a, r, c in one if r == 1)
+    w = X.vector_topk_work(base, q, 5).first()
+    assert w.pairs == 2043 ** 2 and 0 < w.compared < 0.6 * w.pairs
+
+
+def test_vectors_of_no_rows_and_of_two_lengths(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id int, vector array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<float>")
+    assert X.vector_topk(base.filter("id = 3"), q).count() == 0 and X.vector_topk(base.filter("id = 1"), q.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        X.vector_topk(base, q)
 
 
 def test_batch_scores_distinct_inputs_once_and_retries(spark, tmp_path):
