@@ -237,6 +237,16 @@ _TABLE = "_i bigint, _te double, _ve double, _tx double, _vx double, _d double,
 _ENTRY = ["_te", "_ve", "_tx", "_vx"]
 
 
+def _tables(pdf: pd.DataFrame, keys: list[str], parts: list[tuple]) -> pd.DataFrame:
+    """Entries of several tables as one frame; each comes with a row that holds its key."""
+    size = np.array([len(e[0]) for _, e in parts])
+    at = np.repeat([a for a, _ in parts], size)
+    out = {c: pdf[c].to_numpy()[at] for c in (*keys, CELL)}
+    out["_i"] = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out |= {c: np.concatenate([e[n] for _, e in parts]) for n, c in enumerate(_ENTRY)}
+    return pd.DataFrame(out | {c: pdf[c].to_numpy()[at] for c in ("_d", "_o")})
+
+
 def _join_tables(keys: list[str], scored: bool):
     """Tables of neighbouring cells composed into the table of their stretch; composition is associative."""
 
@@ -267,13 +277,8 @@ def _join_tables(keys: list[str], scored: bool):
                 # states that have met go on as one; a chain point is a row, so its time names it
                 state_t, first, back = np.unique(state_t, return_index=True, return_inverse=True)
                 state_v, of = state_v[first], back[of]
-            entries = _merged(te, ve, state_t[of], state_v[of])
-            part = pd.DataFrame(dict(zip(_ENTRY, entries)))
-            for k in (*keys, CELL, "_d", "_o"):
-                part[k] = pdf[k].iat[a]
-            part["_i"] = np.arange(len(part))
-            out.append(part)
-        return pd.concat(out, ignore_index=True)[[*keys, CELL, "_i", *_ENTRY, "_d", "_o"]]
+            out.append((a, _merged(te, ve, state_t[of], state_v[of])))
+        return _tables(pdf, keys, out)
 
     return run
 
@@ -326,7 +331,7 @@ def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | Non
 
     def summarise(pdf, b):
         out = []
-        T, V, D, O = (pdf[c].to_numpy() for c in ("_t", "_v", "_d", "_o"))
+        T, V, D = (pdf[c].to_numpy() for c in ("_t", "_v", "_d"))
         for a, z in zip(b[:-1], b[1:]):
             ts, vs, d = T[a:z], V[a:z], D[a]
             n = z - a
@@ -337,13 +342,8 @@ def chain(df: DataFrame, *, by="timeline_id", t="t", dist: str, score: str | Non
                     leave[i] = leave[nxt[i]]
             # the arriving state is at or before the cell, so the entry is within the first d (or just past it)
             last = min(int(np.searchsorted(ts, ts[0] + d, side="left")) + 1, n - 1) + 1
-            entries = _merged(ts[:last], vs[:last], ts[leave[:last]], vs[leave[:last]])
-            part = pd.DataFrame(dict(zip(_ENTRY, entries)))
-            for k in (*keys, CELL):
-                part[k] = pdf[k].iat[a]
-            part["_i"], part["_d"], part["_o"] = np.arange(len(part)), d, O[a]
-            out.append(part)
-        return pd.concat(out, ignore_index=True)[[*keys, CELL, "_i", *_ENTRY, "_d", "_o"]]
+            out.append((a, _merged(ts[:last], vs[:last], ts[leave[:last]], vs[leave[:last]])))
+        return _tables(pdf, keys, out)
 
     table_schema = f"{key_schema}, {CELL} bigint, {_TABLE}"
     table = grouped_stream(slim, [*keys, CELL], ["_t"], summarise, table_schema)
