@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of rules over blocks.
 
 A page is cut into blocks at block tags. First pass: a block is decided by its share of links, its length and its share of
-stop words; short blocks stay open. Where it stands is one more feature: menus, forms, notices and the like are out; in an
+stop words; short and preformatted blocks stay open. On a page in whose blocks none of the listed stop words are found, which is in
+another language, length, sentence ends and links decide alone. Where it stands is one more feature: menus, forms, notices and the like are out; in an
 article element short text is in, and text of few stop words or many links stays open; outside of the page's articles only
 long running text is in. Articles count for nothing if they are cards, beside which the page has more running text. Second
 pass: an open block takes the label of the nearest decided block, the earlier one if two are as near, measured in blocks; in
@@ -61,6 +62,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S | re.I)
 NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+#: Kana, ideographs and Hangul; ends of sentences.
+SYLLABLES = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
+SENTENCE = re.compile("[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4\u0589\u1362]")
 
 
 @dataclass
@@ -70,6 +74,7 @@ class Block:
     place: str  # "out", "article", "main" (around an article) or ""
     heading: bool
     article: int = -1  # the article it stands in
+    code: bool = False  # preformatted, so no running text to look for
 
 
 @dataclass
@@ -125,7 +130,7 @@ def _parse(html: str) -> tuple[list[tuple[Block, int]], list[Element]]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(unescape("".join(linked)).split()))
-                out.append((Block(text, links, "", bool(stack) and stack[-1][0] in HEADINGS), stack[-1][1] if stack else -1))
+                out.append((Block(text, links, "", bool(stack) and stack[-1][0] in HEADINGS, code=opened["pre"] > 0), stack[-1][1] if stack else -1))
             parts.clear()
             linked.clear()
 
@@ -210,15 +215,22 @@ def _placed(found: list[tuple[Block, int]], elements: list[Element], trust: int)
                 place = "out"
         places.append(place)
         articles.append(article)
-    return [Block(b.text, b.links, places[k] if k >= 0 else "", b.heading, articles[k] if k >= 0 else -1) for b, k in found]
+    return [Block(b.text, b.links, places[k] if k >= 0 else "", b.heading, articles[k] if k >= 0 else -1, b.code) for b, k in found]
 
 
-def plain_pass(block: Block, stops: float) -> bool | None:
-    """In, out or open, by the text alone."""
+def _extent(text: str) -> int:
+    """Characters, ideographs and syllables that stand for a word or half of one counted thrice."""
+    return len(text) + 2 * len(SYLLABLES.findall(text))
+
+
+def plain_pass(block: Block, stops: float, foreign: bool = False) -> bool | None:
+    """In, out or open, by the text alone. On a ``foreign`` page, in whose blocks no stop words are found, by length and links."""
     if block.links > LINKS * len(block.text):
         return False
-    if len(block.text) < SHORT:
+    if len(block.text) < SHORT and not foreign or block.code:
         return None
+    if foreign:
+        return True if _extent(block.text) >= LONG and SENTENCE.search(block.text) else None
     if stops >= STOPS_HIGH or stops >= STOPS_LOW and len(block.text) >= LONG:
         return True
     return None if stops >= STOPS_LOW else False
@@ -227,7 +239,8 @@ def plain_pass(block: Block, stops: float) -> bool | None:
 def first_pass(found: list[Block]) -> tuple[list[bool | None], bool]:
     """Of each block in, out or open, and whether the articles of the page hold its main text."""
     stops = [_stops(b.text) for b in found]
-    plain = [False if b.place == "out" else plain_pass(b, s) for b, s in zip(found, stops)]
+    foreign = not any(b.place != "out" and b.links <= LINKS * len(b.text) and len(b.text) >= SHORT and s >= STOPS_LOW for b, s in zip(found, stops))
+    plain = [False if b.place == "out" else plain_pass(b, s, foreign) for b, s in zip(found, stops)]
     chars: Counter[int] = Counter()  # of each article outside links
     running: Counter[int] = Counter()  # its stop words, by characters
     beside = 0

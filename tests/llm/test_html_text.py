@@ -1,5 +1,6 @@
 import pytest
 
+from spanloom.llm import html_text
 from spanloom.llm.html_text import extract, main_text
 
 LONG = "The cat and the dog went to the park with a ball that was in the shed of the house, and it is what it was for all of them."
@@ -46,6 +47,47 @@ def test_the_article_element_is_one_feature():
     assert main_text(page("<article><p>" + "kissa istuu matolla ja nukkuu " * 9 + "<p>" + "koira juoksee " * 9 + f"</article><footer>{LONG}</footer>")).count("koira") == 9
 
 
+FOREIGN = {
+    "fi": "Kissa istui matolla ja katseli ikkunasta, kun lumi satoi hiljalleen pihalle. Koira nukkui uunin vieressä eikä välittänyt mistään. ",
+    "pl": "Kot siedział przy oknie i patrzył, jak śnieg powoli pada na podwórko. Pies spał obok pieca i niczym się nie przejmował. ",
+    "tr": "Kedi pencerenin önünde oturmuş, karın bahçeye yavaşça yağışını izliyordu. Köpek sobanın yanında uyuyordu. ",
+    "ru": "Кот сидел у окна и смотрел, как снег медленно падает во двор. Собака спала у печки и ни о чём не беспокоилась. ",
+    "zh": "猫坐在窗边，看着雪慢慢地落在院子里。狗睡在炉子旁边，什么都不在乎。",
+    "ar": "جلست القطة بجانب النافذة تراقب الثلج وهو يتساقط ببطء في الفناء. نام الكلب بجوار الموقد ولم يهتم بشيء. ",
+}
+
+
+@pytest.mark.parametrize("language", FOREIGN)
+@pytest.mark.parametrize("wrapper", ["div", "article"])
+def test_languages_without_listed_stop_words(language, wrapper):
+    text = (FOREIGN[language] * 8)[:400].strip()
+    html = page(f"<nav><a href=1>{text[:9]}</a> <a href=2>{text[:12]}</a></nav><{wrapper}><h1>{text[:20].strip()}</h1><p>{text}</p><p>{text[:30].strip()}</p><p>{text}</p></{wrapper}><div><a href=3>{text[:90]}</a></div><footer>{text}</footer>")
+    assert main_text(html) == "\n\n".join([text[:20].strip(), text, text[:30].strip(), text])
+
+
+@pytest.mark.parametrize("wrapper", ["div", "article"])
+def test_code_takes_the_side_of_its_neighbours(wrapper):
+    text, code = f"{LONG} {LONG}", "def f(x):\n    return [y ** 2 for y in x if y % 3 == 1] + [len(x)] * 12"
+    html = page(f"<{wrapper}><p>{text}</p><pre><code>{code}</code></pre><p>{text}</p></{wrapper}><footer><pre>{code}</pre></footer>")
+    assert main_text(html) == f"{text}\n\n{' '.join(code.split())}\n\n{text}"
+
+
+def test_first_pass_on_labelled_blocks():
+    """The rules of the first pass, block by block: in, out or open."""
+    listed, cards = f"{LONG} {LONG}", "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron"
+    for text, links, code, foreign, label in [(listed, 0, False, False, True), (LONG, 0, False, False, True), (listed, len(listed), False, False, False), ("Short one.", 0, False, False, None), (cards, 0, False, False, False),
+                                              (cards, 0, True, False, None), (FOREIGN["fi"] * 2, 0, False, True, True), (FOREIGN["fi"] * 2, 300, False, True, False), (FOREIGN["fi"][:60], 0, False, True, None),
+                                              (cards * 4, 0, False, True, None), ("", 0, False, True, None)]:
+        assert html_text.plain_pass(html_text.Block(text, links, "", False, code=code), html_text._stops(text), foreign) is label, text
+
+
+def test_ties_of_the_second_pass_go_to_the_earlier_block():
+    make = lambda heading=False: html_text.Block("x", 0, "", heading)
+    for labels, heading, want in [([True, None, False], False, True), ([False, None, True], False, False), ([False, None, True], True, True), ([None, True], False, True), ([True, None, None, False], False, True)]:
+        found = [make(heading) for _ in labels]
+        assert html_text.second_pass(found, labels, False)[labels.index(None)] is want
+
+
 def test_nested_main_and_article():
     assert main_text("<main><main><p>one</p></main></main>") == main_text("<article><main>one") == main_text("<main><article>one") == "one"
 
