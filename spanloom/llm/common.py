@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer single text is a step of its own.
@@ -149,15 +149,21 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | N
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fit: Column, limit: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fit: Column, limit: int, doc_id: str = "doc_id", text: str = "text",
+             most: int | None = None) -> DataFrame:
     """Text and label (0 or 1) of at most ``limit`` labelled rows for which ``fit`` (on column ``id``) holds.
 
-    The rows are those of smallest hash of the id, the same on every run. ``limit`` bounds what is broadcast and collected.
+    The rows are those of smallest hash of the id, the same on every run. ``limit`` bounds what is broadcast and collected;
+    with ``most``, rows end where their texts would exceed so many bytes in all.
     A null label counts as none; of repeated labels of one id the larger counts, of repeated documents one row.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null")
     known = known.filter(fit).groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(limit)
+    if most is not None:  # narrow rows, at most ``limit`` of them
+        sizes = docs.select(F.col(doc_id).alias("id"), F.octet_length(text).alias("size")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max("size").alias("size"))
+        so_far = F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+        chosen = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= most).select("id", "label")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     return rows.dropDuplicates(["id"]).select("id", "text", "label")
 

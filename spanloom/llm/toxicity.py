@@ -2,8 +2,10 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where x_i is 1 if term i occurs. The factors v give a
 weight to every pair of terms, so a word may count only in company of another, which additive weights cannot say. Terms are
-words and beginnings of words (``STEMS`` bytes), hashed to ``BUCKETS``; those whose occurrence depends on the label (chi-square over ``CHI``) get weights. Fitted by
-stochastic gradient steps in numpy on at most ``ROWS`` labelled rows; scoring is a map without shuffle.
+words and beginnings of words (``STEMS`` bytes), hashed to ``BUCKETS``. Weights go to terms that tell alone (their occurrence depends on the label, chi-square
+over ``CHI``) and to pairs that tell only together: with one of them the other means something else than without it (difference of
+its correlations with the label, squared and over its variance, above ``PAIR_CHI``; all pairs of such terms in ``PAIR_LEAST`` rows or more are tried). Fitted by
+stochastic gradient steps in numpy on at most ``ROWS`` labelled rows of at most ``BYTES`` in all; scoring is a map without shuffle.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import BYTE_VALUES, Spans, Words, by_batch, fold, labelled, mix, scored, sigmoid, steps
+from spanloom.llm.common import BYTE_VALUES, Spans, Words, by_batch, fold, labelled, mix, scored, sigmoid, steps, stretches
 from spanloom.session import materialize
 
 BUCKETS = 1 << 20
 ROWS = 20_000
 STEMS = (4, 6)
+BYTES = 1 << 28
 CHI, LEAST = 15.0, 5
+PAIR_CHI, PAIR_LEAST = 200.0, 20
 RANK, EPOCHS, BATCH, RATE = 8, 40, 128, 0.02
 SHRINK = 1e-4
 
@@ -78,31 +82,88 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", doc_id: s
         return out
 
     schema = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
-    sample = materialize(labelled(docs, labels, label, use, rows, doc_id, text).orderBy("id").mapInArrow(by_batch(extract, schema), "label int, terms array<int>"))
+    sample = materialize(labelled(docs, labels, label, use, rows, doc_id, text, BYTES).orderBy("id").mapInArrow(by_batch(extract, schema), "label int, terms array<int>"))
     n, p = sample.agg(F.count("label"), F.sum("label")).first()
     if not n:
         return Model(np.full(BUCKETS, -1, np.int32), -np.inf, np.zeros(1), np.zeros((1, RANK)))
-    good = [r["term"] for r in telling(sample, n, p or 0).collect()]
+    known = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("pos"))
+    known = known.filter(F.col("df") >= LEAST).toPandas().sort_values("term", ignore_index=True)  # at most BUCKETS rows
+    alone = telling(known["df"].to_numpy(), known["pos"].to_numpy(), n, p or 0)
+    often = known["df"].to_numpy() >= PAIR_LEAST
+    some, silent = known["term"].to_numpy()[alone | often], (often & ~alone)[alone | often]
+    row, term, y = _gathered(sample, some, schema)
+    good = np.union1d(known["term"].to_numpy()[alone], some[_pairs(docs.sparkSession, row, term, y, silent)])
     keep = np.full(BUCKETS, -1, np.int32)
     keep[good] = np.arange(len(good))
-    shared = docs.sparkSession.sparkContext.broadcast(keep)
+    term = keep[some[term]].astype(np.int64)
+    return train(keep, row[term >= 0], term[term >= 0], y)
+
+
+def _gathered(sample: DataFrame, wanted: np.ndarray, schema: pa.Schema) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and place in ``wanted`` of each occurrence of these terms, and the labels of all rows, on the driver."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[wanted] = np.arange(len(wanted))
+    shared = sample.sparkSession.sparkContext.broadcast(place)
 
     def pick(b: pa.RecordBatch) -> dict[str, list]:
         ends, flat = b.column(1).offsets.to_numpy(), shared.value[b.column(1).values.to_numpy()]
         return {"label": b.column(0), "terms": [x[x >= 0] for x in np.split(flat[ends[0] : ends[-1]], ends[1:-1] - ends[0])]}
 
     got = sample.mapInArrow(by_batch(pick, schema), "label int, terms array<int>").toPandas()
-    sizes = got["terms"].map(len).to_numpy()
-    flat = np.concatenate([np.asarray(t, np.int64) for t in got["terms"]])
-    return train(keep, np.repeat(np.arange(len(got)), sizes), flat, got["label"].to_numpy(np.float64))
+    flat = np.concatenate([np.asarray(t, np.int32) for t in got["terms"]]) if len(got) else np.zeros(0, np.int32)
+    return np.repeat(np.arange(len(got)), got["terms"].map(len).to_numpy(np.int64)), flat, got["label"].to_numpy(np.float64)
+
 
+def telling(df: np.ndarray, pos: np.ndarray, n: int, p: int) -> np.ndarray:
+    """Terms whose presence and the label depend on each other. ``n`` rows, ``p`` of them with label 1."""
+    if not 0 < p < n:
+        return np.zeros(len(df), bool)
+    return (df < n) & (n * (pos * n - df * p) ** 2 >= CHI * df * np.maximum(n - df, 1) * p * (n - p))
 
-def telling(sample: DataFrame, n: int, p: int) -> DataFrame:
-    """Terms whose presence and the label depend on each other; at most ``BUCKETS``. ``n`` rows, ``p`` of them with label 1."""
-    df, pos = F.col("df"), F.col("pos")
-    chi = n * (pos * n - df * p) ** 2 / (df * (n - df) * p * (n - p))
-    count = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("pos"))
-    return count.filter((df >= LEAST) & (df < n) & (chi >= CHI)).select("term").orderBy("term") if 0 < p < n else count.filter("false").select("term")
+
+def interaction(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Evidence that a term goes with the label otherwise in one set of rows than in another: squared difference of the correlations over its variance.
+
+    ``n`` rows with the term, ``p`` of them positive, ``m`` without, ``q`` positive; shape (2, terms).
+    """
+    spread = n * m * (p + q) * (n + m - p - q)
+    phi = np.where(spread > 0, (p * m - q * n) / np.sqrt(np.maximum(spread, 1)), 0.0)
+    return (phi[0] - phi[1]) ** 2 / (1 / np.maximum(n + m, 1)).sum(0)
+
+
+def _pairs(spark, row: np.ndarray, term: np.ndarray, y: np.ndarray, silent: np.ndarray) -> np.ndarray:
+    """Terms of pairs of ``silent`` terms that tell together. Each task counts the companions of some terms in the bounded sample."""
+    keep = silent[term]
+    row, term, k = row[keep], (np.cumsum(silent) - 1)[term[keep]], int(silent.sum())
+    df = np.bincount(term, minlength=k)
+    if not len(term) or not 0 < y.sum() < len(y):
+        return np.zeros(0, np.int64)
+    order = np.argsort(term, kind="stable")
+    data = (term, np.searchsorted(row, np.arange(len(y) + 1)), row[order].astype(np.int32), np.r_[0, np.cumsum(df)], y > 0.5)
+    shared = spark.sparkContext.broadcast(data)
+
+    def search(batches):
+        term, start, holders, first, label = shared.value
+        df, pos = np.diff(first).astype(float), np.bincount(term, np.repeat(label, np.diff(start)), k)
+        n, p = len(label), int(label.sum())
+        for b in batches:
+            found: set[int] = set()
+            for a in b.column(0).to_numpy():
+                rows = holders[first[a] : first[a + 1]]
+                good = rows[label[rows]]
+                here = np.bincount(term[stretches(start[rows], start[rows + 1] - start[rows])], minlength=k)
+                hit = np.bincount(term[stretches(start[good], start[good + 1] - start[good])], minlength=k)
+                b_ = np.flatnonzero(here >= LEAST)
+                x, h = here[b_], hit[b_]
+                z = interaction(np.stack([x, df[b_] - x]), np.stack([h, pos[b_] - h]), np.stack([len(rows) - x, n - len(rows) - df[b_] + x]), np.stack([len(good) - h, p - len(good) - pos[b_] + h]))
+                z[b_ == a] = 0
+                both = b_[z >= PAIR_CHI]
+                found.update(both.tolist(), [int(a)] if len(both) else [])
+            yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(found), pa.int32())})
+
+    tasks = max(1, min(64, int(len(term) // 100_000)))
+    got = spark.range(0, k, 1, tasks).mapInArrow(search, "term int").distinct().toPandas()  # at most k rows
+    return np.flatnonzero(silent)[np.sort(got["term"].to_numpy(np.int64))]
 
 
 def train(keep: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:

@@ -93,6 +93,48 @@ def test_pairs_of_terms_count():
     assert ((raw > 0) == (np.array(y) == 1)).all()
 
 
+def test_pairs_of_terms_are_learned_from_documents(spark):
+    """2,000 texts that are toxic if they hold an insult or a group's name, but not both; neither tells alone."""
+    rng = np.random.default_rng(3)
+    filler = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(2000):
+        a, b = i % 2, i // 2 % 2
+        words = [*rng.choice(filler, 30), "insult" if a else "praise", "group" if b else "nobody"]
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(a ^ b)))
+    table = docs(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id bigint, toxic int"), F.col("id") % 5 != 0)
+    out = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    right = [(out[i] > 0.5) == bool(t) for i, t in labels if i % 5 == 0]
+    assert np.mean(right) > 0.97
+
+
+def test_interaction_is_a_difference_of_correlations():
+    cell = lambda *v: np.array(v, float)[:, None]
+    same = toxicity.interaction(cell(100, 1000), cell(90, 900), cell(100, 1000), cell(10, 100))
+    turned = toxicity.interaction(cell(1000, 1000), cell(900, 100), cell(1000, 1000), cell(100, 900))
+    assert same[0] < 1e-9 and turned[0] > toxicity.PAIR_CHI and toxicity.interaction(cell(0, 5), cell(0, 5), cell(9, 9), cell(1, 1))[0] < 10
+
+
+def test_scores_equal_a_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Model(np.zeros(1, np.int32), -0.3, rng.normal(0, 1, 20), rng.normal(0, 1, (20, toxicity.RANK)))
+    sets = [sorted(rng.choice(20, n, replace=False).tolist()) for n in (0, 1, 2, 7, 20)]
+    raw = m.raw(np.repeat(np.arange(5), [len(x) for x in sets]), np.array([t for x in sets for t in x], int), 5)
+    plain = [m.bias + sum(m.weight[i] for i in x) + sum(m.factor[i] @ m.factor[j] for i in x for j in x if i < j) for x in sets]
+    assert np.allclose(raw, plain)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from spanloom.llm.common import labelled
+
+    table = docs(spark, [(i, "x" * 1000) for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
+    assert labelled(table, labels, "toxic", F.lit(True), 40, most=10_500).count() == 10
+    assert labelled(table, labels, "toxic", F.lit(True), 40, most=1 << 30).count() == 40
+
+
 def test_pairs_of_features_count():
     rng = np.random.default_rng(1)
     x = rng.uniform(0, 1, (4000, 3))
