@@ -58,3 +58,15 @@ def _(s, d):
     x = raw.select(F.col("user_id").alias("timeline_id"), F.col("ts").cast("timestamp").alias("ts"), (t + F.col("value") * 100).alias("end"),
                    F.col("event_type").alias("label"), F.col("event_type").alias("text"))
     return forms.run_available(forms.stream_merge_turns(x, 40_000.0, "1 hour"), _folder(s))
+
+
+@check("stream_sessions", sql("kp", f"""e AS (SELECT user_id, event_type, epoch_us(ts) AS u, event_id FROM events),
+n AS (SELECT *, CASE WHEN u - lag(u) OVER w <= 200000000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY u)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY u ROWS UNBOUNDED PRECEDING) AS g FROM n),
+s AS (SELECT user_id AS timeline_id, event_type AS label, min(u) AS a, max(u) AS z, count(*) AS "rows" FROM g GROUP BY user_id, event_type, g)
+SELECT timeline_id, label, a / 1e6 AS "start", z / 1e6 AS "end", "rows" FROM s WHERE (z + 200000000000) / 1e6 <= {MARK}"""))
+def _(s, d):
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    raw = s.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    x = raw.select(F.col("user_id").alias("timeline_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
+    return forms.run_available(forms.stream_sessions(x, 200_000.0, "1 hour"), _folder(s))

@@ -3,60 +3,103 @@
 They are derived work: windows are aligned to the epoch (a stream has no first row), rows behind the
 watermark of the batch before are dropped by Spark, and a result is emitted once the watermark shows that nothing can change it. State per
 key is bounded: the best ``k`` rows of a window, or the rows newer than the watermark plus one open group.
+
+State is typed and kept by ``transformWithStateInPandas``: a list of waiting rows, one open group, one event-time timer. A batch appends its
+rows without reading what waits; that is read when the watermark passes the timer. Such queries need the RocksDB state store
+(``STATE_STORE``), which :func:`run_available` sets for its query.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def _seconds(column: pd.Series) -> pd.Series:
     return column.astype("datetime64[us]").astype("int64") / 1e6
 
 
-def _ordered(df: DataFrame, keys: list[str], ts: str, columns: list[str], out: str, step: Callable, close: Callable,
-             wake: Callable) -> DataFrame:
+class _Ordered(StatefulProcessor):
     """Rows of a key in time order, as far as the watermark has come.
 
     ``step(open, row)`` returns (open, finished or None); ``close(open, now)`` says whether the open group is
     final at watermark ``now``; ``wake(open)`` is the time that can make it final. ``row[0]`` is the time.
     """
-    names = [c.split()[0] for c in out.split(", ")]
 
-    def run(key, frames, state):
-        held = json.loads(state.get[0]) if state.exists else {"open": None, "rows": []}
-        rows, open_ = held["rows"], held["open"]
-        for pdf in frames:
-            t = _seconds(pdf[ts])
-            rows.extend([a, *b] for a, b in zip(t.tolist(), pdf[columns].values.tolist()))
-        now = state.getCurrentWatermarkMs() / 1000.0
-        rows.sort()
-        done = []
-        ready = [r for r in rows if r[0] <= now]
-        rows = rows[len(ready):]
-        for r in ready:
-            open_, finished = step(open_, r)
+    def __init__(self, ts: str, columns: list[str], row: str, group: str, names: list[str], step: Callable, close: Callable, wake: Callable):
+        self.ts, self.columns, self.row, self.group, self.names = ts, columns, row, group, names
+        self.step, self.close_group, self.wake = step, close, wake
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.open = handle.getValueState("open", self.group)
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake_at(self, seconds: float, now: int) -> None:
+        """One timer a key: the earliest time that matters, just after the watermark at least."""
+        at = max(math.floor(seconds * 1000) + 1, now + 1)
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if held is None or at < held or held <= now:
+            if held is not None and held > now:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = math.inf
+        for pdf in rows:
+            t = _seconds(pdf[self.ts])
+            if len(t):
+                first = min(first, float(t.min()))
+                self.waiting.appendList([(a, *b) for a, *b in zip(t.tolist(), *(pdf[c].tolist() for c in self.columns))])
+        if first < math.inf:
+            self._wake_at(first, timerValues.getCurrentWatermarkInMs())
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        now, done = mark / 1000.0, []
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        open_ = list(self.open.get()) if self.open.exists() else None
+        ready = sum(r[0] <= now for r in rows)
+        for r in rows[:ready]:
+            open_, finished = self.step(open_, r)
             if finished is not None:
                 done.append(finished)
-        if open_ is not None and close(open_, now):
+        rows = rows[ready:]
+        if open_ is not None and self.close_group(open_, now):
             done.append(open_)
             open_ = None
-        if open_ is None and not rows:
-            state.remove()
-        else:
-            state.update((json.dumps({"open": open_, "rows": rows}),))
-            times = ([wake(open_)] if open_ is not None else []) + ([rows[0][0]] if rows else [])
-            state.setTimeoutTimestamp(int(max(min(times), now) * 1000) + 1)
+        if ready:
+            self.waiting.put(rows) if rows else self.waiting.clear()
+        self.open.update(tuple(open_)) if open_ is not None else self.open.clear()
+        self.timer.clear()
+        times = ([self.wake(open_)] if open_ is not None else []) + ([rows[0][0]] if rows else [])
+        if times:
+            self._wake_at(min(times), mark)
         if done:
-            yield pd.DataFrame([[*key, *g[:len(names) - len(key)]] for g in done], columns=names)
+            yield pd.DataFrame([[*key, *g[:len(self.names) - len(key)]] for g in done], columns=self.names)
 
+    def close(self) -> None:
+        pass
+
+
+def _ordered(df: DataFrame, keys: list[str], ts: str, columns: list[str], out: str, group: str, step: Callable, close: Callable,
+             wake: Callable) -> DataFrame:
+    types = dict(df.dtypes)
+    names = [c.split()[0] for c in out.split(", ")]
+    row = ", ".join(["t double", *(f"c{n} {types[c]}" for n, c in enumerate(columns))])
+    processor = _Ordered(ts, columns, row, group, names, step, close, wake)
     return (df.select(*keys, ts, *columns).groupBy(*keys)
-            .applyInPandasWithState(run, out, "s string", "append", "EventTimeTimeout"))
+            .transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="EventTime"))
 
 
 def stream_min_interval(df: DataFrame, d: float, delay: str = "10 minutes", *, key="timeline_id", ts="ts", id="id",
@@ -74,7 +117,8 @@ def stream_min_interval(df: DataFrame, d: float, delay: str = "10 minutes", *, k
             return ([t, i, v, open_[3]] if v > open_[2] else open_), None
         return [t, i, v, t], open_
 
-    return _ordered(df.withWatermark(ts, delay), [key], ts, [id, score], out, step,
+    group = f"t double, id {types[id]}, v double, anchor double"
+    return _ordered(df.withWatermark(ts, delay), [key], ts, [id, score], out, group, step,
                     lambda g, now: now - g[3] >= d, lambda g: g[3] + d)
 
 
@@ -90,7 +134,8 @@ def stream_merge_turns(df: DataFrame, gap: float = 1.0, delay: str = "10 minutes
             return [open_[0], e, who, open_[3] + " " + said, open_[4] + 1], None
         return [t, e, who, said, 1], open_
 
-    return _ordered(df.withWatermark(ts, delay), [key], ts, [end, label, text], out, step,
+    group = "start double, end double, label string, text string, turns bigint"
+    return _ordered(df.withWatermark(ts, delay), [key], ts, [end, label, text], out, group, step,
                     lambda g, now: now - g[1] > gap, lambda g: g[1] + gap)
 
 
@@ -109,33 +154,77 @@ def stream_window_topk(df: DataFrame, size: float, k: int = 1, delay: str = "10
         start = F.unix_micros(F.col("window.start").cast("timestamp")) / 1e6
         return agg.select(key, start.alias("window_start"), F.lit(1).cast("bigint").alias("rank"), F.col("_b.id").alias(id), F.col("_b.v").alias(score))
     out = f"{key} {types[key]}, window_start double, rank bigint, {id} {types[id]}, {score} double"
-
-    def run(group, frames, state):
-        held = json.loads(state.get[0]) if state.exists else {}
-        for pdf in frames:
-            t = _seconds(pdf[ts])
-            win = (t // size).astype("int64")
-            best = pd.DataFrame({"w": win, "v": -pdf[score], "t": t, "i": pdf[id]}).sort_values(["w", "v", "t", "i"]).groupby("w").head(k)
-            for w, v, at, i in zip(best["w"].tolist(), best["v"].tolist(), best["t"].tolist(), best["i"].tolist()):
-                held.setdefault(str(w), []).append([v, at, i])
-            held = {w: sorted(rows)[:k] for w, rows in held.items()}
-        now = state.getCurrentWatermarkMs()
-        closed = [w for w in held if (int(w) + 1) * size * 1000 <= now]
-        out_rows = [(group[0], int(w) * float(size), n, r[2], -r[0]) for w in closed for n, r in enumerate(held.pop(w), 1)]
-        if held:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(int((min(map(int, held)) + 1) * size * 1000))
-        else:
-            state.remove()
-        if out_rows:
-            yield pd.DataFrame(out_rows, columns=[key, "window_start", "rank", id, score])
-
     return (marked.select(key, ts, id, score).groupBy(key)
-            .applyInPandasWithState(run, out, "s string", "append", "EventTimeTimeout"))
+            .transformWithStateInPandas(statefulProcessor=_Best(key, ts, id, score, float(size), k, types[id]), outputStructType=out, outputMode="append", timeMode="EventTime"))
+
+
+class _Best(StatefulProcessor):
+    """Best ``k`` rows of each open window: a map from (window, rank) to row, a timer at each window's end."""
+
+    def __init__(self, key: str, ts: str, id: str, score: str, size: float, k: int, kind: str):
+        self.key, self.ts, self.id, self.score, self.size, self.k, self.kind = key, ts, id, score, size, k, kind
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.best = handle.getMapState("best", "w bigint, n bigint", f"v double, t double, i {self.kind}")
+
+    def _held(self, w: int) -> list[tuple]:
+        out = []
+        while len(out) < self.k and self.best.containsKey((w, len(out))):
+            out.append(tuple(self.best.getValue((w, len(out)))))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            t = _seconds(pdf[self.ts])
+            new = pd.DataFrame({"w": (t // self.size).astype("int64"), "v": -pdf[self.score], "t": t, "i": pdf[self.id]}).sort_values(["w", "v", "t", "i"]).groupby("w").head(self.k)
+            for w, some in new.groupby("w"):
+                w, held = int(w), self._held(int(w))
+                for n, r in enumerate(sorted(held + list(zip(some["v"].tolist(), some["t"].tolist(), some["i"].tolist())))[:self.k]):
+                    if n >= len(held) or held[n] != r:
+                        self.best.updateValue((w, n), r)
+                if not held:
+                    self.handle.registerTimer(int((w + 1) * self.size * 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        w = round(expiredTimerInfo.getExpiryTimeInMs() / 1000 / self.size) - 1
+        rows = self._held(w)
+        for n in range(len(rows)):
+            self.best.removeKey((w, n))
+        if rows:
+            yield pd.DataFrame([(key[0], w * self.size, n, r[2], -r[0]) for n, r in enumerate(rows, 1)], columns=[self.key, "window_start", "rank", self.id, self.score])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(df: DataFrame, gap: float = 1.0, delay: str = "10 minutes", *, key="timeline_id", ts="ts", label="label") -> DataFrame:
+    """Turns without ends: instants of one key and label at most ``gap`` seconds apart are one turn; columns key, label, start, end, rows.
+
+    The built-in session window: partial sessions merge map-side, and Spark keeps one row of state per open session. ``end`` is the last instant.
+    """
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    marked = df.withWatermark(ts, delay)
+    session = F.session_window(ts, f"{round(gap * 1e6)} microseconds")
+    out = marked.groupBy(session, key, label).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("rows"))
+    return out.select(key, label, seconds(F.col("_first")).alias("start"), seconds(F.col("_last")).alias("end"), "rows")
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
     """Drive a streaming query over everything available into Parquet files below ``folder`` and read them back."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        conf.set(k, v)
+    try:
+        return _run(stream, folder)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
+
+
+def _run(stream: DataFrame, folder: str) -> DataFrame:
     q = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()

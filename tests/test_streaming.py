@@ -44,3 +44,17 @@ def test_merged_turns(spark, feed, tmp_path):
     x = s.select("timeline_id", "ts", (base + F.col("intensity")).alias("end"), F.lit("a").alias("label"), F.col("id").cast("string").alias("text"))
     out = forms.run_available(forms.stream_merge_turns(x, 1.0, "20 seconds"), str(tmp_path / "out"))
     assert rows(out, "text", "turns") == [("1 2 3", 3), ("4", 1)]
+
+
+def test_sessions(spark, feed, tmp_path):
+    s = feed([[(1, 1, 0, 1.0), (1, 2, 8, 1.0)], [(1, 3, 4, 1.0), (2, 4, 5, 1.0)], [(1, 5, 19, 1.0), (1, 6, 200, 1.0)], [(1, 7, 201, 1.0)]])
+    out = forms.run_available(forms.stream_sessions(s.withColumn("label", F.lit("a")), 10.0, "20 seconds"), str(tmp_path / "out"))
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp()
+    assert rows(out, "timeline_id", "start", "end", "rows") == [(1, t0, t0 + 8, 3), (1, t0 + 19, t0 + 19, 1), (2, t0 + 5, t0 + 5, 1)]
+
+
+def test_state_is_typed(spark, feed):
+    """No text holds the state; a batch appends rows, and only the timer reads them."""
+    s = feed([[(1, 1, 0, 1.0)]])
+    plan = forms.stream_min_interval(s, 10.0)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "InPandasWithState" not in plan.replace("TransformWithStateInPandas", "")
