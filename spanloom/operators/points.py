@@ -193,17 +193,21 @@ def nms_time(df: DataFrame, min_dist: float, threshold: float | Column | None =
 def _nms_rounds(df: DataFrame, keys: list[str], t: str, score: str, dist: float, cell: float) -> DataFrame:
     """Suppression for one huge component. Each round decides, per bounded cell plus a margin of ``dist`` on
     both sides, every instant whose stronger neighbours are all decided; the rest waits for the next round.
-    The strongest undecided instant is always decided, so the rounds end; state between rounds is checkpointed.
+    The strongest undecided instant is always decided, so the rounds end; state between rounds is stored.
+
+    What rounds alone would decide one cell at a time are ramps, where every instant waits for a stronger one on the same side. There
+    the survivors are a chain of instants ``dist`` apart from the top down, which :func:`_ramps` follows at once.
     """
     cell = max(cell, 4 * dist)
     dt = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {dt[k]}" for k in (*keys, t, score)) + ", kept boolean"
+    schema = ", ".join(f"`{k}` {dt[k]}" for k in (*keys, t, score)) + ", kept boolean, side int"
 
     def decide(pdf, b):
         T, V, K, core = (pdf[c].to_numpy() for c in (t, score, "kept", "_core"))
         state = np.where(K.astype(bool), 1, 0)           # 1 kept, 0 open, -1 dropped
+        side = np.zeros(len(pdf), dtype=np.int32)        # 1 waits for later instants only, 2 for earlier ones only
         for a, z in zip(b[:-1], b[1:]):
-            ts, st = T[a:z], state[a:z]
+            ts, st, vs = T[a:z], state[a:z], V[a:z]
             kept = sorted(ts[st == 1].tolist())
             waiting: list[float] = []
 
@@ -211,19 +215,23 @@ def _nms_rounds(df: DataFrame, keys: list[str], t: str, score: str, dist: float,
                 k = bisect.bisect_left(xs, x)
                 return (k > 0 and x - xs[k - 1] < dist) or (k < len(xs) and xs[k] - x < dist)
 
-            for i in np.lexsort((ts, -V[a:z])):
+            for i in np.lexsort((ts, -vs)):
                 if st[i] != 0:
                     continue
                 if near(kept, ts[i]):
                     st[i] = -1
                 elif not core[a + i] or near(waiting, ts[i]):
-                    bisect.insort(waiting, ts[i])
+                    k = bisect.bisect_left(waiting, ts[i])
+                    if core[a + i]:     # all that waits so far is stronger
+                        before, after = k > 0 and ts[i] - waiting[k - 1] < dist, k < len(waiting) and waiting[k] - ts[i] < dist
+                        side[a + i] = 1 if after and not before else 2 if before and not after else 0
+                    waiting.insert(k, ts[i])
                 else:
                     st[i] = 1
                     bisect.insort(kept, ts[i])
         take = core.astype(bool) & (state >= 0)
         out = pdf.loc[take, [*keys, t, score]].copy()
-        out["kept"] = state[take] == 1
+        out["kept"], out["side"] = state[take] == 1, side[take]
         return out
 
     rows = df.withColumn("kept", F.lit(False))
@@ -231,12 +239,36 @@ def _nms_rounds(df: DataFrame, keys: list[str], t: str, score: str, dist: float,
         home = cell_of(t, cell)
         reach = F.array_distinct(F.array(home, cell_of(F.col(t) - dist, cell), cell_of(F.col(t) + dist, cell)))
         placed = (rows.withColumn("_home", home).withColumn(CELL, F.explode(reach))
-                  .withColumn("_core", F.col(CELL) == F.col("_home")).drop("_home"))
+                  .withColumn("_core", F.col(CELL) == F.col("_home")).drop("_home", "side"))
         rows = materialize(grouped_stream(placed, [*keys, CELL], [t], decide, schema))
+        for side in (1, 2):
+            if not rows.filter(~F.col("kept") & (F.col("side") == side)).isEmpty():
+                rows = _ramps(rows, side, keys, t, dist, cell)
         if rows.filter(~F.col("kept")).isEmpty():
             return rows.select(*keys, t)
 
 
+def _ramps(rows: DataFrame, side: int, keys: list[str], t: str, dist: float, cell: float) -> DataFrame:
+    """Decide the stretches of neighbouring open instants that wait for one side only, if nothing open lies ahead of them within ``dist``.
+
+    Of any two instants of a stretch nearer than ``dist`` the one ahead is stronger, so the survivors are the chain that starts ``dist`` from
+    the nearest kept instant ahead. Time is turned so that ahead comes first.
+    """
+    ahead = rows.withColumn("_m", F.col(t) * (-1.0 if side == 1 else 1.0))
+    seen = scan(ahead, by=keys, t="_m", cell=cell, run={"_origin": ("last", F.when(F.col("kept"), F.col("_m")))}).filter("not kept")
+    open_ = scan(seen, by=keys, t="_m", cell=cell, prev={"_pm": "_m"}, island_on={"s": "side", "m": "_m"}, island_name="_stretch",
+                 island=lambda p, c: (p("s") != c("s")) | (c("m") - p("m") >= dist))
+    open_ = materialize(open_)
+    tops = open_.filter(F.col("side") == side).groupBy(*keys, "_stretch").agg(F.min_by(F.struct("_m", "_pm", "_origin"), "_m").alias("_top"))
+    free = tops.filter(F.col("_top._pm").isNull() | (F.col("_top._m") - F.col("_top._pm") >= dist)).select(*keys, "_stretch", F.col("_top._origin").alias("_from"))
+    ramp = open_.join(free, [*keys, "_stretch"]).select(*rows.columns, "_m", "_stretch", "_from").withColumn("_dist", F.lit(float(dist)))
+    ramp = materialize(ramp)
+    hits = chain(ramp, by=[*keys, "_stretch"], t="_m", dist="_dist", origin="_from", cell=cell).filter("hit")
+    decided = ramp.select(*keys, t)
+    kept = hits.select(*rows.columns).withColumn("kept", F.lit(True))
+    return materialize(rows.join(decided, [*keys, t], "left_anti").select(*rows.columns).unionByName(kept))
+
+
 def nms_adaptive(df: DataFrame, min_dist: float, ratio: float = 0.5, *, by="timeline_id", t="t", value="intensity",
                  **kw) -> DataFrame:
     """Suppression with a threshold relative to the strongest value of the timeline."""

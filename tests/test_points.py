@@ -35,11 +35,24 @@ def test_suppression_matches_the_greedy_pass(spark, limit, cell):
     assert got == want
 
 
-def test_suppression_of_a_rising_ramp_in_rounds(spark):
-    """The worst case for rounds: each row waits for its right neighbour."""
-    pdf = pd.DataFrame({"timeline_id": 0, "id": range(300), "t": [i * 1.0 for i in range(300)], "intensity": [float(i) for i in range(300)]})
+@pytest.mark.parametrize("shape", ["rising", "falling", "saw"])
+def test_suppression_of_ramps_in_rounds(spark, monkeypatch, shape):
+    """The worst case for rounds: each row waits for its neighbour. 10^5 rows in cells of 50 end after a few rounds."""
+    rounds, plain = [], P.grouped_stream
+    monkeypatch.setattr(P, "grouped_stream", lambda *a: rounds.append("kept boolean, side int" in a[4]) or plain(*a))
+    n = 100_000 if shape == "rising" else 3_000
+    value = {"rising": lambda i: i, "falling": lambda i: -i, "saw": lambda i: (i % 700 if i % 1400 < 700 else 1400 - i % 1400) + i / 1e6}[shape]
+    pdf = pd.DataFrame({"timeline_id": 0, "id": range(n), "t": [i * 1.0 for i in range(n)], "intensity": [float(value(i)) for i in range(n)]})
     got = rows(P.nms_time(spark.createDataFrame(pdf), 2.5, max_component=10, cell=50.0), "id")
-    assert got == sorted((r["id"],) for r in greedy(pdf, 2.5))
+    kept, ts = [], []
+    import bisect
+    for i in sorted(range(n), key=lambda i: (-pdf.intensity[i], i)):
+        k = bisect.bisect_left(ts, i)
+        if (k == 0 or i - ts[k - 1] >= 2.5) and (k == len(ts) or ts[k] - i >= 2.5):
+            ts.insert(k, i)
+            kept.append((i,))
+    assert got == sorted(kept)
+    assert sum(rounds) <= 8, sum(rounds)
 
 
 def test_suppression_cap_equals_early_stop(spark):
