@@ -25,7 +25,7 @@ ROWS = 20_000
 STEMS = (4, 6)
 BYTES = 1 << 28
 CHI, LEAST = 15.0, 5
-PAIR_CHI, PAIR_LEAST = 200.0, 20
+PAIR_CHI, PAIR_LEAST = 200.0, 50  # fewer rows cannot give so much evidence
 RANK, EPOCHS, BATCH, RATE = 8, 40, 128, 0.02
 SHRINK = 1e-4
 
@@ -91,27 +91,30 @@ def fit(docs: DataFrame, labels: DataFrame, use, label: str = "toxic", doc_id: s
     alone = telling(known["df"].to_numpy(), known["pos"].to_numpy(), n, p or 0)
     often = known["df"].to_numpy() >= PAIR_LEAST
     some, silent = known["term"].to_numpy()[alone | often], (often & ~alone)[alone | often]
-    row, term, y = _gathered(sample, some, schema)
+    row, term, y = _gathered(sample, some)
     good = np.union1d(known["term"].to_numpy()[alone], some[_pairs(docs.sparkSession, row, term, y, silent)])
     keep = np.full(BUCKETS, -1, np.int32)
     keep[good] = np.arange(len(good))
-    term = keep[some[term]].astype(np.int64)
-    return train(keep, row[term >= 0], term[term >= 0], y)
+    place = keep[some][term]
+    return train(keep, row[place >= 0].astype(np.int64), place[place >= 0].astype(np.int64), y)
 
 
-def _gathered(sample: DataFrame, wanted: np.ndarray, schema: pa.Schema) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(sample: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and place in ``wanted`` of each occurrence of these terms, and the labels of all rows, on the driver."""
     place = np.full(BUCKETS, -1, np.int32)
     place[wanted] = np.arange(len(wanted))
     shared = sample.sparkSession.sparkContext.broadcast(place)
 
-    def pick(b: pa.RecordBatch) -> dict[str, list]:
+    def pick(b: pa.RecordBatch) -> pa.RecordBatch:
         ends, flat = b.column(1).offsets.to_numpy(), shared.value[b.column(1).values.to_numpy()]
-        return {"label": b.column(0), "terms": [x[x >= 0] for x in np.split(flat[ends[0] : ends[-1]], ends[1:-1] - ends[0])]}
+        parts = [x[x >= 0].astype(np.int32).tobytes() for x in np.split(flat[ends[0] : ends[-1]], ends[1:-1] - ends[0])]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["label", "terms"])
 
-    got = sample.mapInArrow(by_batch(pick, schema), "label int, terms array<int>").toPandas()
-    flat = np.concatenate([np.asarray(t, np.int32) for t in got["terms"]]) if len(got) else np.zeros(0, np.int32)
-    return np.repeat(np.arange(len(got)), got["terms"].map(len).to_numpy(np.int64)), flat, got["label"].to_numpy(np.float64)
+    got = sample.mapInArrow(by_batch(pick), "label int, terms binary").collect()
+    size = np.fromiter((len(r["terms"]) // 4 for r in got), np.int64, len(got))
+    y = np.fromiter((r["label"] for r in got), np.float64, len(got))
+    term = np.frombuffer(b"".join(r["terms"] for r in got), np.int32)
+    return np.repeat(np.arange(len(got), dtype=np.int32), size), term, y
 
 
 def telling(df: np.ndarray, pos: np.ndarray, n: int, p: int) -> np.ndarray:
@@ -133,18 +136,17 @@ def interaction(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> n
 
 def _pairs(spark, row: np.ndarray, term: np.ndarray, y: np.ndarray, silent: np.ndarray) -> np.ndarray:
     """Terms of pairs of ``silent`` terms that tell together. Each task counts the companions of some terms in the bounded sample."""
-    keep = silent[term]
-    row, term, k = row[keep], (np.cumsum(silent) - 1)[term[keep]], int(silent.sum())
-    df = np.bincount(term, minlength=k)
+    keep, k = silent[term], int(silent.sum())
+    term, size = (np.cumsum(silent, dtype=np.int32) - np.int32(1))[term[keep]], np.bincount(row[keep], minlength=len(y))
     if not len(term) or not 0 < y.sum() < len(y):
         return np.zeros(0, np.int64)
-    order = np.argsort(term, kind="stable")
-    data = (term, np.searchsorted(row, np.arange(len(y) + 1)), row[order].astype(np.int32), np.r_[0, np.cumsum(df)], y > 0.5)
-    shared = spark.sparkContext.broadcast(data)
+    shared = spark.sparkContext.broadcast((term, size, y > 0.5))
 
     def search(batches):
-        term, start, holders, first, label = shared.value
-        df, pos = np.diff(first).astype(float), np.bincount(term, np.repeat(label, np.diff(start)), k)
+        term, size, label = shared.value
+        start, row = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(size), dtype=np.int32), size)
+        df, pos = np.bincount(term, minlength=k).astype(float), np.bincount(term, label[row], k)
+        holders, first = row[np.argsort(term, kind="stable")], np.r_[0, np.cumsum(df)].astype(np.int64)
         n, p = len(label), int(label.sum())
         for b in batches:
             found: set[int] = set()
