@@ -86,10 +86,12 @@ def _scan(shared, type_: pa.DataType, last: bool):
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
-        spans, items, n_words = b.column(3).to_pylist(), b.column(4).to_pylist(), np.zeros(b.num_rows, np.int64)
+        spans, n_words = b.column(3).to_pylist(), np.zeros(b.num_rows, np.int64)
+        items = [set(x) for x in b.column(4).to_pylist()]
         for k, (start, size), of in _found(shared.value, b.column(1), n_words):
             spans[k].append({"start": start, "size": size})
-            items[k] = sorted({*items[k], *(x for x in of if x is not None)})
+            items[k].update(x for x in of if x is not None)
+        items = [sorted(x) for x in items]
         text = pa.nulls(b.num_rows, pa.string()) if last else b.column(1)
         return pa.RecordBatch.from_arrays([b.column(0), text, pa.array(n_words), pa.array(spans, schema.field(3).type), pa.array(items, schema.field(4).type)], schema=schema)
 
@@ -97,12 +99,15 @@ def _scan(shared, type_: pa.DataType, last: bool):
 
 
 def _passes(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_windows: int):
-    """Broadcast indexes of the benchmark's windows, each of about ``max_windows`` rows at most; one for an empty benchmark."""
+    """Broadcast indexes of the benchmark's windows, each of about ``max_windows`` rows, and whether it is the last; one for an empty benchmark.
+
+    An index is built when it is asked for, so that only one is held at a time.
+    """
     cut = materialize(benchmark_windows(benchmark, item_id, item_text, window))
     n = max(1, math.ceil(cut.count() / max_windows))
     for k in range(n):
         part = cut.filter(F.pmod(F.col("hash"), F.lit(n)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(_index([(r["item"], r["size"], r["hash"], r["words"]) for r in part]))
+        yield benchmark.sparkSession.sparkContext.broadcast(_index([(r["item"], r["size"], r["hash"], r["words"]) for r in part])), k == n - 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -116,9 +121,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     schema = HITS.format(id=kind.simpleString())
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
                        F.array().cast("array<struct<start:int,size:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    indexes = list(_passes(benchmark, item_id, item_text, window, max_windows))
-    for shared in indexes:
-        rows = rows.mapInArrow(_scan(shared, to_arrow_type(kind), shared is indexes[-1]), schema)
+    for shared, last in _passes(benchmark, item_id, item_text, window, max_windows):
+        rows = rows.mapInArrow(_scan(shared, to_arrow_type(kind), last), schema)
+        if not last:  # run, so that its index can go before the next one comes
+            rows = materialize(rows)
+            shared.unpersist()
     return rows.select(F.col("id").alias(doc_id), "n_words", "spans", "items")
 
 
@@ -141,7 +148,14 @@ def _sieve(shared, at: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                       window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The documents without any benchmark window, all columns as they are; a narrow map, without join or shuffle."""
-    for shared in _passes(benchmark, item_id, item_text, window, max_windows):
+    """The documents without any benchmark window, all columns as they are; a narrow map, without join or shuffle.
+
+    Null and empty texts are kept, repeated rows stay or go alike; an empty benchmark drops nothing. Of a benchmark of several passes all but
+    the last are stored in between.
+    """
+    for shared, last in _passes(benchmark, item_id, item_text, window, max_windows):
         docs = docs.mapInArrow(_sieve(shared, docs.columns.index(text)), docs.schema)
+        if not last:
+            docs = materialize(docs)
+            shared.unpersist()
     return docs

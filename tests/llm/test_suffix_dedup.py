@@ -51,5 +51,20 @@ def test_interleave_of_shards(monkeypatch):
             assert mask.tolist() == [count[c[i : i + length]] > 1 for i in range(len(c) - length + 1)]
 
 
+def test_passages_of_399_400_and_401_bytes(spark):
+    """Passages of over 50 words in two documents each, at the contract's length: one byte short of it nothing goes."""
+    rng = random.Random(12)
+    rows = []
+    for size in (399, 400, 401):
+        for k in range(4):
+            passage = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(4, 8))) for _ in range(90))[:size]
+            assert len(passage.split()) > 50
+            for half in (0, 1):
+                rows.append((len(rows), "".join(rng.choices("qrstuvwxyz", k=700)) + "qr"[half] + passage + "st"[half] + "".join(rng.choices("qrstuvwxyz", k=900))))
+    out = {r.doc_id: r for r in suffix_dedup.report(suffix_dedup.cut(docs(spark, rows, 11))).collect()}
+    assert [out[i].n_removed for i in range(24)] == [0] * 8 + [400] * 8 + [401] * 8
+    assert {out[i].n_spans for i in range(8, 24)} == {1}
+
+
 def test_empty_table(spark):
     assert suffix_dedup.cut(docs(spark, [])).count() == 0
