@@ -13,6 +13,7 @@ from spanloom.operators import scenes as S
 from spanloom.session import ensure_checkpoint_dir
 from spanloom.sources import cues as Q
 from spanloom.sources import docs as D
+from spanloom.sources import plans as L
 
 
 def _folder(s) -> str:
@@ -183,3 +184,64 @@ def _(s, d):
     plans = paths.filter("page_id % 2 = 0").select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.concat(F.lit("plan Movie"), i % 7, F.lit("Song_"), i % 3).alias("plan")).distinct()
     c = D.catalog_rows(paths, plans, movies)
     return c.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "movie", "audio", "type", "asset", "plan")
+
+
+# a plan per user: a section per day of events, a slot per event; related scenes as a number, a list or absent
+
+
+def _plans(s, d):
+    k = F.col("k")
+    scene = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.format_string("[%d, %d]", k, k + 1))
+    slot = F.format_string('{"id": %d, "time_duration": %s, "content": "c%d", "emotion": "e"%s}', F.col("id"), (k / 4.0).cast("string"), k, F.coalesce(F.concat(F.lit(', "related_scene": '), scene), F.lit("")))
+    x = keypoints(s, d).withColumn("day", F.floor(F.col("t") / 86400)).groupBy("timeline_id", "day").agg(F.array_sort(F.collect_list(F.struct("id", slot.alias("slot")))).alias("a"), F.min("k").alias("m"))
+    shots = F.array_join(F.transform("a", lambda p: p["slot"]), ", ")
+    section = F.when(F.col("m") % 5 == 0, F.format_string('{"content": "flat", "emotion": "x"}')).otherwise(
+        F.concat(F.format_string('{"audio_section": "S%d", "start_time": %d, "end_time": "00:%02d:00", "shot_plan": {"shots": [', F.col("day"), F.col("m"), F.col("day")), shots, F.lit("]}}")))
+    doc = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", section.alias("x")))), lambda p: p["x"]), ", ")
+    return x.groupBy("timeline_id").agg(F.concat(F.lit('{"overall_theme": "t", "video_structure": ['), doc, F.when(F.col("timeline_id") % 7 == 0, "broken").otherwise("]}")).alias("body"))
+
+
+PLAN = """e AS (SELECT *, CAST(floor(t / 86400) AS BIGINT) AS day FROM kp WHERE timeline_id % 7 <> 0), sc AS (SELECT timeline_id, day, min(k) AS m, CAST(row_number() OVER (PARTITION BY timeline_id ORDER BY day) - 1 AS INT) AS section_idx FROM e GROUP BY 1, 2)"""
+
+
+@check("plan_slots", sql("kp", PLAN + """ SELECT timeline_id, section_idx, CAST(row_number() OVER (PARTITION BY timeline_id, day ORDER BY id) - 1 AS INT) AS shot_idx, CAST(id AS VARCHAR) AS id, k / 4e0 AS time_duration, 'c' || k AS content,
+ CASE k % 3 WHEN 0 THEN k::VARCHAR WHEN 1 THEN k || ',' || (k + 1) ELSE '' END AS scenes FROM e JOIN sc USING (timeline_id, day) WHERE m % 5 <> 0"""))
+def _(s, d):
+    return L.plan_slots(_plans(s, d)).select("timeline_id", "section_idx", "shot_idx", "id", "time_duration", "content", F.array_join(F.col("scenes").cast("array<string>"), ",").alias("scenes"))
+
+
+@check("plan_sections", sql("kp", PLAN + """ SELECT timeline_id, section_idx, CASE WHEN m % 5 = 0 THEN NULL ELSE 'S' || day END AS audio_section, CASE WHEN m % 5 = 0 THEN NULL ELSE m::DOUBLE END AS start_time, CASE WHEN m % 5 = 0 THEN NULL ELSE day * 60e0 END AS end_time FROM sc"""))
+def _(s, d):
+    return L.plan_sections(_plans(s, d)).select("timeline_id", "section_idx", "audio_section", "start_time", "end_time")
+
+
+def _chosen(s, d):
+    """A selection per event, one or two clips each, a frame detection per clip."""
+    k = F.col("k")
+    x = keypoints(s, d).withColumn("at", F.floor(F.col("t") % 80000).cast("double"))
+    sel = x.select("timeline_id", F.col("id").alias("selection"), F.when(k % 4 == 0, "failed").otherwise("success").alias("status"), (k % 6).alias("section_idx"), (k % 3).alias("shot_idx"),
+                   (k * 1.0).alias("total_duration"), F.lit(5.0).alias("target_duration"), (k % 2 + 1).alias("num_clips"), (k % 2 == 1).alias("is_stitched"))
+    clip = x.withColumn("clip", F.explode(F.sequence(F.lit(0), k % 2)))
+    clips = clip.select("timeline_id", F.col("id").alias("selection"), "clip", (F.col("clip") + 1).alias("shot"), (F.col("at") + F.col("clip") * 10).alias("start"), (F.col("at") + F.col("clip") * 10 + k % 9 + 0.25).alias("end"), (k % 9 + 0.25).alias("duration"))
+    det = clip.select("timeline_id", F.col("id").alias("selection"), F.col("clip").cast("bigint").alias("frame_idx"), (F.col("at") + F.col("clip")).alias("time_sec"), (k % 3 != 0).alias("protagonist_detected"),
+                      F.when(k % 5 != 0, F.struct(k.alias("x"), F.lit(1).alias("y"), (k + 10).alias("width"), F.lit(20).alias("height"))).alias("bounding_box"))
+    return L.selection_docs(sel, clips, det)
+
+
+SELECTED = """x AS (SELECT *, floor(t % 80000) AS a0, CAST(row_number() OVER (PARTITION BY timeline_id ORDER BY id) - 1 AS INT) AS selection FROM kp)"""
+
+
+@check("load_selections", sql("kp", SELECTED + """ SELECT timeline_id, selection, CASE WHEN k % 4 = 0 THEN 'failed' ELSE 'success' END AS status, k % 6 AS section_idx, k % 3 AS shot_idx, k::DOUBLE AS total_duration, k % 2 + 1 AS num_clips, k % 2 = 1 AS is_stitched,
+ k % 2 + 1 AS frames, CASE WHEN k % 3 <> 0 THEN 1e0 ELSE 0e0 END AS ratio FROM x"""))
+def _(s, d):
+    return L.load_selections(_chosen(s, d)).select("timeline_id", "selection", "status", "section_idx", "shot_idx", "total_duration", "num_clips", "is_stitched", "frames", "ratio")
+
+
+@check("selection_clips", sql("kp", SELECTED + """ SELECT timeline_id, selection, CAST(c AS INT) AS clip, CAST(c + 1 AS INT) AS shot, a0 + c * 10 AS "start", a0 + c * 10 + k % 9 + 0.25 AS "end" FROM x, (VALUES (0), (1)) v(c) WHERE c <= k % 2"""))
+def _(s, d):
+    return L.selection_clips(_chosen(s, d)).select("timeline_id", "selection", "clip", "shot", "start", "end")
+
+
+@check("selection_detections", sql("kp", SELECTED + """ SELECT timeline_id, selection, CAST(c AS BIGINT) AS frame_idx, a0 + c AS time_sec, k % 3 <> 0 AS protagonist_detected, CASE WHEN k % 5 <> 0 THEN k + 10 END AS width FROM x, (VALUES (0), (1)) v(c) WHERE c <= k % 2"""))
+def _(s, d):
+    return L.selection_detections(_chosen(s, d)).select("timeline_id", "selection", "frame_idx", "time_sec", "protagonist_detected", F.col("bounding_box.width").alias("width"))

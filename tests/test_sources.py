@@ -1,5 +1,6 @@
 from conftest import rows
 
+from spanloom.sources import plans as L
 from spanloom.sources import cues as Q
 from spanloom.sources import docs as D
 
@@ -39,3 +40,34 @@ def test_catalog_reads_listing_only(spark, tmp_path):
     (d / "shot_point_1.json").write_text("not even json")
     (d / "other.json").write_text("{}")
     assert rows(D.artifact_catalog(spark, f"{tmp_path}/*/*/*.json"), "movie", "audio", "type") == [("Film", "Song", "short")]
+
+
+PLANS = [
+    (1, '{"overall_theme": "x", "video_structure": [{"content": "c", "audio_section": "Intro", "start_time": 0, "end_time": 22.6, "related_scenes": [5, 6], "shot_plan": {"shots": ['
+        '{"id": 1, "time_duration": 7.3, "content": "a", "emotion": "e", "related_scene": 4}, {"id": 2, "time_duration": 2, "related_scene": [3, 9]}, {"id": 3, "related_scene": "none"}, {"id": 4}]}},'
+        '{"emotion": "flat", "start_time": "00:30"}]}'),
+    (2, '{"video_structure": []}'), (3, "not json"), (4, None), (5, '{"video_structure": [{"shot_plan": {"shots": []}}]}'),
+]
+
+
+def test_plans(spark):
+    docs = spark.createDataFrame(PLANS, "timeline_id int, body string")
+    slots = {r.shot_idx: r for r in L.plan_slots(docs).collect()}
+    assert len(slots) == 4 and [slots[i].scenes for i in range(4)] == [[4], [3, 9], [], []]
+    assert (slots[0].section_idx, slots[0].id, slots[0].time_duration, slots[0].audio_section, slots[2].time_duration) == (0, "1", 7.3, "Intro", None)
+    got = sorted((r.timeline_id, r.section_idx, r.start_time, r.end_time, r.scenes) for r in L.plan_sections(docs).collect())
+    assert got == [(1, 0, 0.0, 22.6, [5, 6]), (1, 1, 30.0, None, []), (5, 0, None, None, [])]
+
+
+def test_selections_there_and_back(spark):
+    body = ('[{"status": "success", "section_idx": 0, "shot_idx": 1, "target_duration": 3.0, "clips": [{"shot": 1, "start": "00:01:05.500", "end": "00:01:07.000", "duration": 1.5},'
+            '{"shot": 2, "start": "00:02:00", "end": "00:02:01"}], "protagonist_detection": {"method": "vlm", "total_frames_analyzed": 2, "frame_detections": [{"frame_idx": 7, "time_sec": 65.5, "protagonist_detected": true,'
+            '"bounding_box": {"x": 1, "y": 2, "width": 30, "height": 40}}, {"frame_idx": 3, "protagonist_detected": false}]}}, {"status": "failed"}]')
+    docs = spark.createDataFrame([(1, body), (2, '{"status": "single"}'), (3, "["), (4, None), (5, "[]")], "timeline_id int, body string")
+    assert rows(L.load_selections(docs), "timeline_id", "selection", "status") == [(1, 0, "success"), (1, 1, "failed"), (2, 0, "single")]
+    assert rows(L.selection_clips(docs), "selection", "clip", "shot", "start", "end") == [(0, 0, 1, 65.5, 67.0), (0, 1, 2, 120.0, 121.0)]
+    assert rows(L.selection_detections(docs), "frame_idx", "protagonist_detected") == [(3, False), (7, True)]
+    again = L.selection_docs(L.load_selections(docs), L.selection_clips(docs), L.selection_detections(docs))
+    assert rows(L.selection_clips(again), "timeline_id", "selection", "clip", "start", "end") == rows(L.selection_clips(docs), "timeline_id", "selection", "clip", "start", "end")
+    r = {x.timeline_id: x for x in L.load_selections(again).filter("selection = 0").collect()}[1]
+    assert (r.frames, r.frames_with_protagonist, r.ratio, r.status) == (2, 1, 0.5, "success")
