@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.roles import check, keypoints, points, sql, table, vectors
 from spanloom.operators import signal as G
 from spanloom.operators import vectors as V
+from spanloom.session import ensure_checkpoint_dir
 
 
 @check("vector_topk", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -40,6 +43,18 @@ def _(s, d):
     return scored.select("doc_id", "lang", "score")
 
 
+@check("batch_score_stored", "SELECT doc_id, source, length(source) + ord(substr(source, 1, 1)) + 0e0 AS score FROM documents")
+def _(s, d):
+    """Scores kept in a folder: the second run asks for the inputs that the first had not seen only."""
+    def score(items):
+        return [float(len(x) + ord(x[0])) for x in items]
+
+    x = table(s, d, "documents").select("doc_id", "source")
+    store = f"{ensure_checkpoint_dir(s)}/scores-{uuid.uuid4().hex}"
+    V.batch_score(x.filter("doc_id % 2 = 0"), score, column="source", schema="double", store=store)
+    return V.batch_score(x, score, column="source", schema="double", store=store).select("doc_id", "source", "score")
+
+
 # a chroma per user and day: event counts by hour, folded to twelve classes
 CHROMA = """h AS (SELECT timeline_id, CAST(floor(t / 259200) AS BIGINT) AS win, CAST(floor(t / 3600) AS INT) % 12 AS pc, count(*)::DOUBLE AS n FROM kp GROUP BY ALL),
 ch AS (SELECT timeline_id, win, list_transform(generate_series(0, 11), lambda i: coalesce(list_sum(list_transform(list_filter(l, lambda y: y.pc = i), lambda y: y.n)), 0e0)) AS c FROM (SELECT timeline_id, win, list({'pc': pc, 'n': n}) AS l FROM h GROUP BY ALL)),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,10 +167,15 @@ def _nearest(k: int, id: str, query_id: str, extra: list[str]) -> Callable:
 
 
 def batch_score(df: DataFrame, fn: Callable[[Sequence], Sequence], *, column: str, schema: str, name: str = "score",
-                batch: int = 128, retries: int = 3) -> DataFrame:
+                batch: int = 128, retries: int = 3, store: str | None = None) -> DataFrame:
     """Score a column with a user-supplied batch function. Distinct inputs are scored once; a failing call or a
-    wrong number of results is retried; the result type is given by ``schema``, e.g. ``array<float>``."""
+    wrong number of results is retried; the result type is given by ``schema``, e.g. ``array<float>``.
+
+    With ``store``, a folder that all executors share, scores are kept across runs: inputs that it holds are not scored
+    again, new ones are appended to it by one job, before the result is read from there.
+    """
     dt = dict(df.dtypes)[column]
+    spark, kept = df.sparkSession, f"`{column}` {dt}, `{name}` {schema}"
 
     def call(items):
         error: Exception | None = None
@@ -191,8 +197,16 @@ def batch_score(df: DataFrame, fn: Callable[[Sequence], Sequence], *, column: st
                 got.extend(call(items[i:i + batch]))
             yield pd.DataFrame({column: items, name: got})
 
-    scored = df.select(column).filter(F.col(column).isNotNull()).distinct().mapInPandas(run, f"`{column}` {dt}, `{name}` {schema}")
-    return df.join(scored, column, "left")
+    inputs = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    if store is None:
+        return df.join(inputs.mapInPandas(run, kept), column, "left")
+    try:
+        inputs = inputs.join(spark.read.schema(kept).parquet(store), column, "left_anti")
+    except AnalysisException as e:      # the first run
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    inputs.mapInPandas(run, kept).write.mode("append").parquet(store)
+    return df.join(spark.read.schema(kept).parquet(store).dropDuplicates([column]), column, "left")
 
 
 def timeline_end(df: DataFrame, *, by="timeline_id", key: Column | str = "key") -> DataFrame:

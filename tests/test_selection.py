@@ -121,3 +121,20 @@ def test_batch_scores_distinct_inputs_once_and_retries(spark, tmp_path):
     df = spark.createDataFrame([("aa",), ("b",), ("aa",), (None,)], "x string").repartition(1)
     got = sorted(((r.x, r.score) for r in X.batch_score(df, fn, column="x", schema="int", batch=8).collect()), key=str)
     assert got == [("aa", 2), ("aa", 2), ("b", 1), (None, None)]
+
+
+def test_stored_scores_are_not_asked_for_again(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def fn(items):
+        with open(str(log), "a") as f:
+            f.write("".join(f"{i}\n" for i in items))
+        return [len(i) for i in items]
+
+    store = str(tmp_path / "store")
+    one = spark.createDataFrame([("a",), ("bb",), (None,)], "x string")
+    two = spark.createDataFrame([("bb",), ("ccc",), ("a",), ("a",)], "x string")
+    for df, want in ((one, [("a", 1), ("bb", 2), (None, None)]), (two, [("a", 1), ("a", 1), ("bb", 2), ("ccc", 3)]), (two, [("a", 1), ("a", 1), ("bb", 2), ("ccc", 3)])):
+        got = X.batch_score(df, fn, column="x", schema="int", store=store).collect()
+        assert sorted(((r.x, r.score) for r in got), key=str) == want
+    assert sorted(log.read_text().split()) == ["a", "bb", "ccc"]
