@@ -144,17 +144,24 @@ def _pairs(spark, row: np.ndarray, term: np.ndarray, y: np.ndarray, silent: np.n
 
     def search(batches):
         term, size, label = shared.value
-        start, row = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(size), dtype=np.int32), size)
-        df, pos = np.bincount(term, minlength=k).astype(float), np.bincount(term, label[row], k)
-        holders, first = row[np.argsort(term, kind="stable")], np.r_[0, np.cumsum(df)].astype(np.int64)
+        start = np.r_[0, np.cumsum(size)]
+        df, pos = np.bincount(term, minlength=k).astype(float), np.bincount(term[np.repeat(label, size)], minlength=k)
         n, p = len(label), int(label.sum())
+
+        def counted(rows: np.ndarray) -> np.ndarray:  # in steps of about a million occurrences
+            parts = np.array_split(rows, 1 + int(size[rows].sum()) // (1 << 20))
+            return sum(np.bincount(term[stretches(start[x], size[x])], minlength=k) for x in parts)
+
         for b in batches:
             found: set[int] = set()
-            for a in b.column(0).to_numpy():
-                rows = holders[first[a] : first[a + 1]]
+            first, last = (int(b.column(0)[i].as_py()) for i in (0, -1))  # a stretch of terms
+            places = np.flatnonzero((term >= first) & (term <= last))
+            places = places[np.argsort(term[places], kind="stable")]
+            holders, ends = np.searchsorted(start, places, "right") - 1, np.r_[0, np.cumsum(np.bincount(term[places] - first, minlength=last - first + 1))]
+            for a in range(first, last + 1):
+                rows = holders[ends[a - first] : ends[a - first + 1]]
                 good = rows[label[rows]]
-                here = np.bincount(term[stretches(start[rows], start[rows + 1] - start[rows])], minlength=k)
-                hit = np.bincount(term[stretches(start[good], start[good + 1] - start[good])], minlength=k)
+                here, hit = counted(rows), counted(good)
                 b_ = np.flatnonzero(here >= LEAST)
                 x, h = here[b_], hit[b_]
                 z = interaction(np.stack([x, df[b_] - x]), np.stack([h, pos[b_] - h]), np.stack([len(rows) - x, n - len(rows) - df[b_] + x]), np.stack([len(good) - h, p - len(good) - pos[b_] + h]))
