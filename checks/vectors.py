@@ -28,8 +28,8 @@ def _(s, d):
     """Searches of the rows whose id is divisible by 20 against all rows, and whether cells spare comparisons."""
     v = vectors(s, d)
     q = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    work = V.vector_topk_work(v, q, 3).select("pairs", (F.col("compared") <= F.col("pairs")).alias("fewer"))
-    near = V.vector_topk(v, q, 3).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    work = V.vector_topk_work(v, q, 3, cells=64).select("pairs", (F.col("compared") <= F.col("pairs")).alias("fewer"))
+    near = V.vector_topk(v, q, 3, cells=64).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
     return near.withColumn("_one", F.lit(1)).join(work.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from spanloom.operators.ordered import top_rows
 from spanloom.session import materialize
 
-#: Cells of the coarse quantiser; rows of a block of base vectors and of queries; values of a similarity matrix.
-CELLS, BLOCK, QUERY_BLOCK, STEP = 64, 65_536, 16_384, 1 << 22
+#: Cells of the coarse quantiser at most, and base vectors that a cell should hold; rows of a block of base vectors and of queries; values of a similarity matrix.
+CELLS, CELL_ROWS, BLOCK, QUERY_BLOCK, STEP = 64, 2048, 65_536, 16_384, 1 << 22
 
 
 def _unit(vectors: pa.Array, spare: int) -> np.ndarray:
@@ -51,6 +51,8 @@ def _routed(base, queries, k, id, vector, query_id, query_vector, extra, block,
     """Base vectors with cell and block, queries with every (cell, block) that may hold one of their ``k`` nearest; counts."""
     known = base.filter(_usable(vector))
     asked = queries.filter(_usable(query_vector))
+    if cells is None:
+        cells = max(1, min(CELLS, known.count() // CELL_ROWS))
     chosen = known.orderBy(F.xxhash64(id), id).limit(cells).select(vector).collect()
     if not chosen:
         return None
@@ -105,10 +107,10 @@ def _routed(base, queries, k, id, vector, query_id, query_vector, extra, block,
 
 
 def vector_topk(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", vector="vector", query_id="query_id", query_vector="query_vector",
-                block: int = BLOCK, query_block: int = QUERY_BLOCK, cells: int = CELLS, order_time: str | None = None) -> DataFrame:
+                block: int = BLOCK, query_block: int = QUERY_BLOCK, cells: int | None = None, order_time: str | None = None) -> DataFrame:
     """The ``k`` most similar vectors (cosine) per query, exact.
 
-    A coarse quantiser deals the base vectors to cells around at most ``cells`` of them. A query is sent to a cell only if, by the triangle
+    A coarse quantiser deals the base vectors to cells around at most ``cells`` of them (by default 64, fewer for a small table). A query is sent to a cell only if, by the triangle
     inequality, the cell may hold one of its ``k`` nearest: cells that are nearer for certain and hold ``k`` vectors rule the others out.
     Cells above ``block`` rows are split, as are more than ``query_block`` queries, and every pair of a block of each is one matrix
     product in one task; it returns at most ``k`` rows per query, which Spark ranks. Neither side passes through the driver.
@@ -130,7 +132,7 @@ def vector_topk(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", ve
 
 
 def vector_topk_work(base: DataFrame, queries: DataFrame, k: int = 16, *, id="id", vector="vector", query_id="query_id", query_vector="query_vector",
-                     cells: int = CELLS) -> DataFrame:
+                     cells: int | None = None) -> DataFrame:
     """One row: ``pairs`` of a query and a base vector, and how many of them :func:`vector_topk` compares (``compared``)."""
     found = _routed(base, queries, k, id, vector, query_id, query_vector, [], 1 << 62, QUERY_BLOCK, cells)
     if found is None:
